@@ -238,6 +238,6 @@ def lr_train_score(spark, sf):
     numbers = features.RATING_NUMBERS
     encode = training.fit_encoder(rows, features.RATING_CATEGORIES, numbers)
     trained = training.train_rating(rows, encode, numbers)
-    return training.score_rating(trained.pipeline, rows).select("transporter_id", "label", "score")
+    return training.score_rating(trained.pipeline, rows).select("transporter_id", "label", "prob")
 
 

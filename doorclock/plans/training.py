@@ -100,9 +100,9 @@ def train_rating(rows: DataFrame, encode: PipelineModel, numbers: list[str]) ->
 
 
 def score_rating(pipeline: PipelineModel, rows: DataFrame) -> DataFrame:
-    """Add `score`, the probability of class 1."""
+    """Add `prob`, the probability of class 1."""
     scored = pipeline.transform(rows)
-    return scored.select(*rows.columns, vector_to_array("probability")[1].alias("score"))
+    return scored.select(*rows.columns, vector_to_array("probability")[1].alias("prob"))
 
 
 def importance(trained: Trained, rows: DataFrame) -> DataFrame:
