@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from doorclock import settings as S
 from doorclock.functions.times import date_of_epoch, epoch_of_ntz, format_epoch
-from doorclock.plans.warehouse import Warehouse
 
 ZONE = "UTC"
 DATES = S.DateRange("2024-01-01", "2024-02-01")
@@ -18,14 +17,27 @@ def _case(test: Column, yes, no) -> Column:
     return F.when(test, yes).otherwise(no)
 
 
+def _spread(df: DataFrame, key: str) -> DataFrame:
+    """Use all cores where the input has fewer splits than that.
+
+    The wide texts and positions are derived from these narrow rows, so they are what to move.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 def trips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One trip per purchase or click: who, where and four unix times."""
     e = F.col("event_id")
     city, poi = F.col("city_id"), F.col("poi_k")
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").where(
+        F.col("event_type").isin("purchase", "click")
+    )
+    # A one-row generator: filters on texts derived from the time stay above the spread.
+    accepted = F.inline(F.array(F.struct(epoch_of_ntz(F.col("ts")).alias("accept_u"))))
     return (
-        spark.read.parquet(f"{sf_dir}/events.parquet")
-        .where(F.col("event_type").isin("purchase", "click"))
-        .select("event_id", "value", F.col("user_id").alias("transporter_id"), epoch_of_ntz(F.col("ts")).alias("accept_u"))
+        _spread(events.select("event_id", "ts", "user_id", "value"), "event_id")
+        .select("event_id", "value", F.col("user_id").alias("transporter_id"), accepted)
         .withColumns(
             {
                 "city_id": _case(e % 97 == 0, (F.col("transporter_id") + 1) % 25, F.col("transporter_id") % 25),
@@ -270,14 +282,29 @@ def scored(trips: DataFrame) -> DataFrame:
     )
 
 
-def warehouse(spark: SparkSession, sf_dir: str) -> Warehouse:
-    base = trips(spark, sf_dir)
-    return Warehouse(
-        orders=orders(base),
-        deliveries=deliveries(base),
-        coords=coords(base),
-        suppliers=suppliers(base),
-        poi_info=poi_info(base),
-        poi_difficulty=poi_difficulty(base),
-        biz_log=biz_log(base),
-    )
+class DerivedWarehouse:
+    """The input tables of the jobs, each derived when it is first asked for."""
+
+    _tables = {
+        "orders": orders,
+        "deliveries": deliveries,
+        "coords": coords,
+        "suppliers": suppliers,
+        "poi_info": poi_info,
+        "poi_difficulty": poi_difficulty,
+        "biz_log": biz_log,
+    }
+
+    def __init__(self, base: DataFrame):
+        self._base = base
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name not in self._tables:
+            raise AttributeError(name)
+        table = self._tables[name](self._base)
+        setattr(self, name, table)
+        return table
+
+
+def warehouse(spark: SparkSession, sf_dir: str) -> DerivedWarehouse:
+    return DerivedWarehouse(trips(spark, sf_dir))

@@ -16,7 +16,8 @@ def wall_clock(text: Column) -> Column:
 
 
 def _seconds_since_start(ntz: Column) -> Column:
-    return F.timestamp_diff("SECOND", F.expr(_EPOCH_START), ntz)
+    # A difference of zone-less timestamps does not depend on the session's zone.
+    return (ntz - F.expr(_EPOCH_START)).cast("interval second").cast("long")
 
 
 def parse_epoch(text: Column, zone: str = WAREHOUSE_ZONE) -> Column:

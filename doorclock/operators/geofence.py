@@ -100,7 +100,9 @@ def pings_in_circle(
             < rules.circle_m
         )
     )
-    return positions.join(probes, inside).select(
+    # Both sides grow with the data, and neither's size is known before it is repeated or derived,
+    # so neither may be broadcast on an estimate: sort-merge, which spills and can be split.
+    return positions.join(probes.hint("merge"), inside).select(
         *orders.columns, "t_lat", "t_lng", "dada_report_unixtime"
     )
 
