@@ -75,35 +75,38 @@ def point_key(degrees: Column) -> Column:
     return F.round(degrees * 100000).cast("long")
 
 
-def _spread_bits(value: Column) -> Column:
-    """Move bit i to bit 2i (values below 2**18)."""
-    for shift, mask in (
-        (16, 0x0000FFFF0000FFFF),
-        (8, 0x00FF00FF00FF00FF),
-        (4, 0x0F0F0F0F0F0F0F0F),
-        (2, 0x3333333333333333),
-        (1, 0x5555555555555555),
-    ):
-        value = value.bitwiseOR(F.shiftleft(value, shift)).bitwiseAND(F.lit(mask))
-    return value
+def _woven(first: int, second: int, width: int) -> int:
+    """The bits of both numbers in turn, beginning with the first one's highest."""
+    bits = [((first, second)[i % 2] >> ((width - 1 - i) // 2)) & 1 for i in range(width)]
+    return int("".join(map(str, bits)), 2)
+
+
+# A letter holds five bits. Where longitude comes first it is woven from three longitude and two
+# latitude bits, in every other letter from three latitude and two longitude bits; in both cases a
+# table is indexed by the three bits followed by the two.
+_LETTERS = "".join(
+    GEOHASH_ALPHABET[_woven(three, two, 5)] for three in range(8) for two in range(4)
+)
 
 
 def geohash7(lng: Column, lat: Column) -> Column:
     """Seven-character geohash: 18 longitude and 17 latitude bits, interleaved."""
 
     def steps(value: Column, low: float, width: float, bits: int) -> Column:
-        index = F.floor((value - low) / width * float(2**bits)).cast("long")
-        return F.greatest(F.least(index, F.lit(2**bits - 1)), F.lit(0).cast("long"))
-
-    code = _spread_bits(steps(lng, -180.0, 360.0, 18)).bitwiseOR(
-        F.shiftleft(_spread_bits(steps(lat, -90.0, 180.0, 17)), 1)
-    )
-    letters = [
-        F.substr(
-            F.lit(GEOHASH_ALPHABET),
-            F.shiftright(code, 5 * (6 - i)).bitwiseAND(F.lit(31)).cast("int") + 1,
-            F.lit(1),
-        )
-        for i in range(7)
-    ]
+        index = F.floor((value - low) / width * float(2**bits))
+        return F.greatest(F.least(index, F.lit(2**bits - 1)), F.lit(0)).cast("int")
+
+    halves = {"x": (steps(lng, -180.0, 360.0, 18), 18), "y": (steps(lat, -90.0, 180.0, 17), 17)}
+    used = {"x": 0, "y": 0}
+
+    def take(axis: str, count: int) -> Column:
+        value, bits = halves[axis]
+        used[axis] += count
+        return F.shiftright(value, bits - used[axis]).bitwiseAND(F.lit(2**count - 1))
+
+    letters = []
+    for i in range(7):
+        leading, other = ("x", "y") if i % 2 == 0 else ("y", "x")
+        index = take(leading, 3) * 4 + take(other, 2)
+        letters.append(F.substr(F.lit(_LETTERS), index + 1, F.lit(1)))
     return F.concat(*letters)

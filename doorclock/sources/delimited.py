@@ -18,7 +18,8 @@ def parse_lines(lines: DataFrame, columns: list[str], column: str = "value") ->
     fields = split_fields(mask_null_words(line))
     return (
         lines.where(line != "")
-        .select(fields.alias("_fields"))
+        # A one-element generator: the line is split once, however many later filters read a field.
+        .select(F.explode(F.array(fields)).alias("_fields"))
         .select(*[F.get("_fields", i).alias(name) for i, name in enumerate(columns)])
     )
 
