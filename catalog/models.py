@@ -101,12 +101,8 @@ def feature_crossing(spark, sf):
 def class_counts(spark, sf):
     rows = _rating_rows(spark, sf)
     categories = [F.count_distinct(c) for c in features.RATING_CATEGORIES]
-    dimension = rows.agg(
-        (sum(categories, F.lit(0)) + len(features.RATING_NUMBERS)).alias("dimension"),
-        F.lit(1).alias("_one"),
-    )
-    counts = binary.class_counts(rows).withColumn("_one", F.lit(1))
-    return counts.join(F.broadcast(dimension), "_one").drop("_one")  # one row each
+    dimension = rows.agg(sum(categories, F.lit(len(features.RATING_NUMBERS)))).scalar()
+    return binary.class_counts(rows).withColumn("dimension", dimension)
 
 
 @query(

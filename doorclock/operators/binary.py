@@ -47,11 +47,11 @@ def roc_points(scored: DataFrame) -> DataFrame:
         _falling(F.col("score")),
         [F.desc("score")],
         {"pos": "tp", "neg": "fp"},
-    ).select("score", "tp", "fp", F.lit(1).alias("_one"))
-    sizes = scored.agg(
-        F.count(F.when(F.col("label") == 1, 1)).alias("n_pos"),
-        F.count(F.when(F.col("label") == -1, 1)).alias("n_neg"),
-    ).withColumn("_one", F.lit(1))
+    )
+
+    def size(label: int) -> Column:
+        return scored.where(F.col("label") == label).agg(F.count(F.lit(1))).scalar()
+
     origin = scored.sparkSession.range(1).select(
         F.lit(None).cast("double").alias("threshold"),
         F.lit(0).cast("long").alias("fp"),
@@ -59,12 +59,12 @@ def roc_points(scored: DataFrame) -> DataFrame:
         F.lit(0.0).alias("fpr"),
         F.lit(0.0).alias("tpr"),
     )
-    points = counts.join(F.broadcast(sizes), "_one").select(  # one row
+    points = counts.select(
         F.col("score").alias("threshold"),
         "fp",
         "tp",
-        F.try_divide("fp", "n_neg").alias("fpr"),
-        F.try_divide("tp", "n_pos").alias("tpr"),
+        F.try_divide(F.col("fp"), size(-1)).alias("fpr"),
+        F.try_divide(F.col("tp"), size(1)).alias("tpr"),
     )
     return origin.unionByName(points)
 
@@ -128,8 +128,7 @@ def threshold_sweep(scored: DataFrame, thresholds: list[float] = SWEEP) -> DataF
     tp, fp, tn, fn = (F.col(c) for c in ("tp", "fp", "tn", "fn"))
     return (
         table.withColumns(_scores(tp, fp, tn, fn))
-        .withColumn("_one", F.lit(1))
-        .join(F.broadcast(auc(scored).withColumn("_one", F.lit(1))), "_one")  # one row
+        .withColumn("auc", auc(scored).scalar())
         .select(
             F.round("prob", 2).alias("prob"),
             (tn + fn).alias("neg_num"),
@@ -157,8 +156,7 @@ def binary_metrics(scored: DataFrame, threshold: float = 0.5) -> DataFrame:
     tp, fp, tn, fn = (F.col(c) for c in ("tp", "fp", "tn", "fn"))
     return (
         table.withColumns(_scores(tp, fp, tn, fn))
-        .withColumn("_one", F.lit(1))
-        .join(F.broadcast(auc(scored).withColumn("_one", F.lit(1))), "_one")  # one row
+        .withColumn("auc", auc(scored).scalar())
         .select(
             (tp + fp + tn + fn).alias("num"),
             (tp + fn).alias("pos"),

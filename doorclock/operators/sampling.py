@@ -45,13 +45,8 @@ def balance_ratio(labelled: DataFrame) -> DataFrame:
 
 def undersampled(labelled: DataFrame, key: str, salt: str = "balance") -> DataFrame:
     """Thin out the larger class until both have about the same size."""
-    rule = balance_ratio(labelled).select("sample_type", "ratio", F.lit(1).alias("_one"))
-    kept = (F.col("label") != F.col("sample_type")) | (
-        digest_share(F.col(key), salt) <= F.col("ratio")
-    )
-    return (
-        labelled.withColumn("_one", F.lit(1))
-        .join(F.broadcast(rule), "_one")  # one row
-        .where(kept)
-        .select(*labelled.columns)
+    rule = balance_ratio(labelled).select(F.struct("sample_type", "ratio")).scalar()
+    kept = (F.col("label") != rule["sample_type"]) | (
+        digest_share(F.col(key), salt) <= rule["ratio"]
     )
+    return labelled.where(kept)

@@ -115,11 +115,6 @@ def coefficients(trained: Trained, rows: DataFrame) -> DataFrame:
 
 def read_quality(lines: DataFrame, parsed: DataFrame) -> DataFrame:
     """How many lines a sample has and how many of them gave no feature row."""
+    good = parsed.agg(F.count(F.lit(1))).scalar()
     total = lines.where(F.trim("value") != "").agg(F.count(F.lit(1)).alias("n_lines"))
-    good = parsed.agg(F.count(F.lit(1)).alias("n_good"))
-    one = F.lit(1)
-    return (
-        total.withColumn("_one", one)
-        .join(F.broadcast(good.withColumn("_one", one)), "_one")  # one row
-        .select("n_lines", (F.col("n_lines") - F.col("n_good")).alias("n_failed"))
-    )
+    return total.select("n_lines", (F.col("n_lines") - good).alias("n_failed"))
