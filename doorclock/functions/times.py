@@ -45,7 +45,9 @@ def format_epoch(epoch: Column, zone: str = WAREHOUSE_ZONE) -> Column:
 
 def date_of_epoch(epoch: Column, zone: str = WAREHOUSE_ZONE) -> Column:
     """Unix seconds as `yyyy-MM-dd` text in the zone."""
-    return F.substring(format_epoch(epoch, zone), 1, 10)
+    if zone == "UTC":
+        return F.date_from_unix_date(F.floor(epoch / 86400).cast("int")).cast("string")
+    return _at(epoch, zone).cast("date").cast("string")
 
 
 def hour_of(text: Column) -> Column:

@@ -16,8 +16,8 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "128MB",
     "spark.sql.files.maxPartitionBytes": "128MB",
     "spark.sql.session.timeZone": "UTC",
-    # The JVM never compiles methods above 8000 bytes; smaller generated ones run much faster.
-    "spark.sql.codegen.hugeMethodLimit": "8000",
+    # Query-context capture costs several JVM calls for every Column function.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
