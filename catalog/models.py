@@ -227,6 +227,34 @@ def gbt_train_score(spark, sf):
     )
 
 
+@query("gbt_pickup_report")
+def gbt_pickup_report(spark, sf):
+    """Both pick-up models: trained on four fifths of the rows, their errors on either part."""
+    rows = staged(_pickup_rows(spark, sf), "pickup-features")
+    train, _ = sampling.train_test(rows, "delivery_id")
+    numbers = features.PICKUP_NUMBERS
+    encode = training.fit_encoder(rows, features.PICKUP_CATEGORIES, numbers)
+    return training.pickup_report(training.train_pickup(train, encode, numbers), rows)
+
+
+@query(
+    "sample_read_quality",
+    """select count(*) as n_lines, count(*) - (select count(*) from f_rating) as n_failed
+    from d_rating""",
+)
+def sample_read_quality(spark, sf):
+    lines = fx.rating_lines(fx.trips(spark, sf))
+    return training.read_quality(lines, _rating_rows(spark, sf))
+
+
+@query("lr_coefficients")
+def lr_coefficients(spark, sf):
+    rows = staged(_rating_rows(spark, sf), "rating-features")
+    numbers = features.RATING_NUMBERS
+    encode = training.fit_encoder(rows, features.RATING_CATEGORIES, numbers)
+    return training.coefficients(training.train_rating(rows, encode, numbers), rows)
+
+
 @query("lr_train_score")
 def lr_train_score(spark, sf):
     """Trained on the courier-rating rows; every row scored."""

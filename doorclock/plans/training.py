@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
@@ -79,6 +80,29 @@ def fit_report(scored: DataFrame, key: str, label: str) -> DataFrame:
     )
 
 
+PICKUP_LABELS = ["label_a1", "label_a2"]
+
+
+def train_pickup(
+    rows: DataFrame, encode: PipelineModel, numbers: list[str], trees: int = 80
+) -> dict[str, Trained]:
+    """One model for riding to the shop and one for waiting there, on the same features."""
+    return {
+        label: train_duration(rows, label, encode, numbers, trees) for label in PICKUP_LABELS
+    }
+
+
+def pickup_report(models: dict[str, Trained], rows: DataFrame) -> DataFrame:
+    """Errors of both pick-up models on training and test rows."""
+    reports = [
+        fit_report(score_duration(trained.pipeline, rows), "delivery_id", label).select(
+            F.lit(label.removeprefix("label_")).alias("model"), "*"
+        )
+        for label, trained in models.items()
+    ]
+    return reduce(DataFrame.unionByName, reports)
+
+
 def train_rating(rows: DataFrame, encode: PipelineModel, numbers: list[str]) -> Trained:
     """Logistic regression with L2 penalty (C = 1) and fixed class weights; label is 1 or -1."""
     weighted = encode.transform(rows).select(

@@ -19,6 +19,15 @@ def rows(spark):
     )
 
 
+def test_two_pickup_models(spark, rows):
+    data = rows.select(F.col("key").alias("delivery_id"), "city", "x", F.col("label").alias("label_a1"), (F.col("label") * 2).alias("label_a2"))
+    encode = training.fit_encoder(data, ["city"], ["x"])
+    models = training.train_pickup(data, encode, ["x"], trees=3)
+    report = training.pickup_report(models, data).collect()
+    assert {(r["model"], r["segment"]) for r in report} == {(m, s) for m in ("a1", "a2") for s in ("train", "test")}
+    assert sum(r["n"] for r in report) == 1200
+
+
 def test_unseen_category_gives_zeros(spark, rows):
     model = training.fit_encoder(rows, ["city"], ["x"])
     names = encoding.feature_names(model, ["x"])
