@@ -8,10 +8,9 @@ from catalog.registry import query
 from doorclock import fixtures as fx
 from doorclock import settings as S
 from doorclock.functions import geo, scaling, text, times
-from doorclock.operators import binary, first_ping, peak, sampling
-from doorclock.operators.prefix import dense_ids
+from doorclock.operators import peak, sampling
 from doorclock.operators.history import delivery_history
-from doorclock.plans import phase_a, phase_c
+from doorclock.operators.prefix import dense_ids
 from doorclock.schemas import RATING_SAMPLE
 from doorclock.sources import tables
 from doorclock.sources.delimited import parse_lines
