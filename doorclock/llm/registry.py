@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from doorclock.llm import mixing, quality, urls, warc
+from doorclock.llm import embeddings, language, mixing, quality, urls, warc
 
 QUERIES = {
     "op1_quality_rules": quality.query,
     "op4_mixing": mixing.query,
     "op5_url_filters": urls.query,
     "op7_warc_fixity": warc.query,
+    "op8_language_id": language.query,
+    "op10_embedding_dedup": embeddings.query,
 }
 
 ORACLE_SQL = {
