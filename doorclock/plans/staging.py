@@ -46,3 +46,11 @@ def dropped(df: DataFrame) -> None:
     for path in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
         where = _path(spark, path)
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def released(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of steps that are staged by now and that nothing refers to."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
