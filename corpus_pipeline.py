@@ -1,14 +1,18 @@
 """A training corpus from raw documents: each stage decides on what the one before it kept.
 
 Every stage takes (spark, docs, sf_dir) and returns documents. Stages but the last return the
-columns they were given; `run` writes each stage's result and reads it for the next one.
+columns they were given, the last one adds the ids of each text's pieces; `run` writes each stage's
+result and reads it for the next one. No SQL expresses the stages on sets, bytes and pieces, so the
+tests compare them with brute force.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from doorclock.llm import mixing, quality
+from doorclock.llm import minhash, mixing, pieces, quality, substrings
+from doorclock.llm.columns import packed, unpacked
 from doorclock.plans.staging import staged
 
 
@@ -17,14 +21,40 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.judged(docs).where("kept").select(*docs.columns)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, the one with the least id; those without id stay."""
+    verdicts = minhash.verdicts(docs.select("doc_id", "text"))
+    kept = verdicts.where("kept and doc_id is not null").select(F.col("doc_id").alias("_kept")).distinct()
+    rows = packed(docs)
+    first = rows.join(kept, F.col("row.doc_id") == F.col("_kept")).groupBy("_kept").agg(
+        F.min_by("row", F.xxhash64("row.text")).alias("row")
+    )
+    return unpacked(first.select("row").unionByName(rows.where("row.doc_id is null")), docs.columns)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the byte strings that occur earlier; halves of characters at the cuts go too."""
+    left = substrings.deduplicated(packed(docs).select("row", "row.doc_id", "row.text"), as_text=True)
+    text = F.when(F.col("text").isNotNull(), F.col("kept"))
+    return left.select(F.col("row").withField("text", text).alias("row")).select("row.*")
+
+
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
     return mixing.repeated(mixing.mixed(docs, mixing.cyclic_weights), docs.columns)
 
 
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with the ids of their pieces."""
+    return pieces.encoded(docs, pieces.Vocabulary.read())
+
+
 STAGES = [
     ("quality rules", quality_rules),
+    ("MinHash near-dedup", near_duplicates),
+    ("suffix-array dedup", repeated_passages),
     ("mixing sources", source_mix),
+    ("SentencePiece encoding", encoded),
 ]
 
 ORACLE_SQL = None

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from doorclock.llm import embeddings, language, minhash, mixing, quality, substrings, urls, warc
+from doorclock.llm import embeddings, language, minhash, mixing, pieces, quality, substrings, tokens, urls, warc
 
 QUERIES = {
     "op1_quality_rules": quality.query,
+    "op2_sentencepiece": pieces.query,
     "op3_minhash_dedup": minhash.query,
     "op4_mixing": mixing.query,
     "op5_url_filters": urls.query,
+    "op6_token_counts": tokens.query,
     "op7_warc_fixity": warc.query,
     "op8_language_id": language.query,
     "op9_substring_dedup": substrings.query,

@@ -298,8 +298,8 @@ def _kept(data: bytes, starts: np.ndarray, n: np.ndarray) -> tuple[bytes, int, i
     return np.frombuffer(data, np.uint8)[~gone].tobytes(), int(gone.sum()), spans
 
 
-def _removal():
-    """A Pandas UDF of (text, gone) to what is kept."""
+def _removal(as_text: bool):
+    """A Pandas UDF of (text, gone) to what is kept; as text, without halves of characters at the cuts."""
 
     def remove(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for texts, spans in batches:
@@ -307,16 +307,18 @@ def _removal():
             for text, gone in zip(texts, spans, strict=True):
                 data = text.encode()
                 if gone is None or not len(gone):
-                    out.append((data, 0, 0))
+                    kept, n_removed, n_spans = data, 0, 0
                 else:
-                    out.append(_kept(data, np.array([g["start"] for g in gone]), np.array([g["n"] for g in gone])))
+                    kept, n_removed, n_spans = _kept(data, np.array([g["start"] for g in gone]), np.array([g["n"] for g in gone]))
+                out.append((kept.decode("utf-8", "ignore") if as_text else kept, n_removed, n_spans))
             yield pd.DataFrame(out, columns=["kept", "n_removed", "n_spans"])
 
-    return F.pandas_udf(remove, "kept binary, n_removed long, n_spans long")  # type: ignore[call-overload]
+    kind = "string" if as_text else "binary"
+    return F.pandas_udf(remove, f"kept {kind}, n_removed long, n_spans long")  # type: ignore[call-overload]
 
 
-def deduplicated(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Every document with `kept` (binary: the bytes left), `n_bytes`, `n_removed` and `n_spans`."""
+def deduplicated(docs: DataFrame, text: str = "text", key: str = "doc_id", as_text: bool = False) -> DataFrame:
+    """Every document with `kept` (the bytes left, or the text), `n_bytes`, `n_removed` and `n_spans`."""
     spark = docs.sparkSession
     rows = packed(docs)
     own = F.col("row").getField(text)
@@ -339,7 +341,7 @@ def deduplicated(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Da
     gone = gone.groupBy("id", "hash").agg(F.collect_list(F.struct("start", "n")).alias("gone"))
 
     joined = rows.join(gone, ["id", "hash"], "left")
-    result = joined.withColumn("_kept", _removal()(F.col("text"), F.col("gone")))
+    result = joined.withColumn("_kept", _removal(as_text)(F.col("text"), F.col("gone")))
     return unpacked(result, docs.columns, {
         "kept": F.col("_kept.kept"), "n_bytes": F.octet_length("text").cast("long"),
         "n_removed": F.col("_kept.n_removed"), "n_spans": F.col("_kept.n_spans"),
