@@ -33,5 +33,8 @@ def packed(df: DataFrame) -> DataFrame:
 def unpacked(df: DataFrame, columns: list[str], added: dict[str, Column] | None = None) -> DataFrame:
     """The rows' columns again, with `added` ones after them; an added name replaces an equal one."""
     added = added or {}
+    if added:
+        # Apart from the output names, which expressions could be taken to mean.
+        df = df.select("row", F.struct(*[value.alias(name) for name, value in added.items()]).alias("added"))
     kept = [F.col("row").getField(c).alias(c) for c in columns if c not in added]
-    return df.select(*kept, *[value.alias(name) for name, value in added.items()])
+    return df.select(*kept, *[F.col("added").getField(c).alias(c) for c in added])
