@@ -27,13 +27,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from doorclock.llm.columns import packed, unpacked
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 SEGMENT = re.compile(" +[^ \n]*|\n+|[^ \n]+")
-PART_CHARS = 4 << 20
+PART_CHARS = 2 << 20
 MEMORY_BITS = 21
 START, CHARACTER = -1, -2
 
@@ -265,36 +266,37 @@ class Encoder:
         return ids[flat], upto[ends] - upto[ends - np.array(counts)]
 
 
-def _parts(texts: pa.Array) -> Iterator[list[str | None]]:
-    held, size = [], 0
-    for text in texts.to_pylist():
-        held.append(text)
-        size += len(text or "")
+def _parts(texts: pa.Array) -> Iterator[tuple[int, list[str | None]]]:
+    """Neighbouring texts of about `PART_CHARS` together, and the place of the first."""
+    start, held, size = 0, [], 0
+    for text in texts:
+        value = text.as_py()
+        held.append(value)
+        size += len(value or "")
         if size >= PART_CHARS:
-            yield held
-            held, size = [], 0
+            yield start, held
+            start, held, size = start + len(held), [], 0
     if held:
-        yield held
+        yield start, held
 
 
 def encoded(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", name: str = "pieces") -> DataFrame:
     """Every row with the ids of its text's pieces."""
+    kept = [c for c in docs.columns if c != name]
+    schema = T.StructType([*[f for f in docs.schema if f.name != name], T.StructField(name, T.ArrayType(T.IntegerType()))])
 
-    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(vocabulary)
         for batch in batches:
-            ids, sizes = [], []
-            for part in _parts(batch):
-                found = encoder.encode(part)
-                ids.append(found[0])
-                sizes.append(found[1])
-            offsets = np.concatenate([[0], np.cumsum(np.concatenate(sizes or [np.zeros(0, np.int64)]))]).astype(np.int32)
-            values = pa.array(np.concatenate(ids or [np.zeros(0, np.int32)]), pa.int32())
-            yield pa.ListArray.from_arrays(pa.array(offsets), values, mask=batch.is_null() if batch.null_count else None)
-
-    run = F.arrow_udf(encode, "array<int>")  # type: ignore[call-overload]
-    rows = packed(docs).withColumn("_ids", run(F.col("row").getField(text)))
-    return unpacked(rows, docs.columns, {name: F.col("_ids")})
+            for start, part in _parts(batch.column(text)):
+                ids, sizes = encoder.encode(part)
+                offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+                missing = pa.array([t is None for t in part])
+                lists = pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32()), mask=missing)
+                rows = batch.slice(start, len(part))
+                yield pa.RecordBatch.from_arrays([*[rows.column(c) for c in kept], lists], [*kept, name])
+
+    return docs.mapInArrow(encode, schema)
 
 
 def decoded(docs: DataFrame, vocabulary: Vocabulary, pieces: str = "pieces", name: str = "decoded") -> DataFrame:
