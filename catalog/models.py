@@ -12,6 +12,7 @@ from doorclock.operators import binary, encoding, errors, features, sampling
 from doorclock.plans import training
 from doorclock.plans.staging import staged
 from doorclock.schemas import RATING_SAMPLE
+from doorclock.sources import sinks
 from doorclock.sources.delimited import parse_lines
 
 A_ROUNDS = {
@@ -39,7 +40,7 @@ def _pickup_rows(spark, sf):
 
 def _rating_rows(spark, sf):
     lines = fx.rating_lines(fx.trips(spark, sf))
-    return features.rating_features(parse_lines(lines, RATING_SAMPLE))
+    return features.rating_features(parse_lines(lines, RATING_SAMPLE, mask_nulls=False))
 
 
 @query("c_features", "select * from f_handover", C_ROUNDS)
@@ -175,6 +176,21 @@ def roc_points(spark, sf):
     return binary.roc_points(fx.scored(fx.trips(spark, sf)))
 
 
+@query(
+    "threshold_report",
+    f"""select '  prob   neg_num   pos_num    pk_ratio    accuracy   precison  recall       auc' as value
+    union all
+    select printf('%6.2f%10d%10d%10.2f%%%10.2f%%%10.2f%%%10.2f%%%10.4f', i * 0.05e0, count(*) filter (score < i * 0.05e0),
+      count(*) filter (score >= i * 0.05e0), 100e0 * count(*) filter (score >= i * 0.05e0) / count(*),
+      100e0 * avg(case when (score >= i * 0.05e0) = (label = 1) then 1e0 else 0e0 end),
+      100e0 * count(*) filter (score >= i * 0.05e0 and label = 1) / count(*) filter (score >= i * 0.05e0),
+      100e0 * count(*) filter (score >= i * 0.05e0 and label = 1) / count(*) filter (label = 1), {_AUC})
+    from d_scored, (select unnest(range(1, 20)) as i) group by i""",
+)
+def threshold_report(spark, sf):
+    return sinks.threshold_lines(binary.threshold_sweep(fx.scored(fx.trips(spark, sf))))
+
+
 _PAIRS = "\n      union all ".join(
     f"select '{c}=' || {c} as feature, cast(count(*) as double) as value from f_pickup group by {c}"
     for c in features.PICKUP_CATEGORIES
@@ -213,28 +229,68 @@ def top_features(spark, sf):
     return encoding.top_features(counts)
 
 
-@query("gbt_train_score")
-def gbt_train_score(spark, sf):
-    """Trained on four fifths of the hand-over rows; every row scored."""
+def _trained_handover(spark, sf):
+    """Rows and the duration model trained on four fifths of them."""
     rows = staged(_handover_rows(spark, sf), "handover-features")
     train, _ = sampling.train_test(rows, "order_id")
     numbers = features.HANDOVER_NUMBERS
-    encode = training.fit_encoder(rows, features.HANDOVER_CATEGORIES, numbers)
-    trained = training.train_duration(train, "label", encode, numbers)
-    scored = training.score_duration(trained.pipeline, rows)
-    return scored.select(
-        "order_id", sampling.split_name(F.col("order_id")).alias("split"), "label", "predicted"
+    encode = training.fit_tree_encoder(rows, features.HANDOVER_CATEGORIES, numbers)
+    return rows, training.train_duration(train, "label", encode, numbers)
+
+
+@query(
+    "gbt_train_score",
+    """select order_id, case when cast('0x' || substr(md5(order_id), 1, 7) as bigint) % 100 < 80 then 'train' else 'test' end as split,
+      label, true as is_finite, true as is_positive from f_handover""",
+)
+def gbt_train_score(spark, sf):
+    """Trained on four fifths of the hand-over rows; every row scored.
+
+    The predictions themselves depend on the learner; their presence, range and split do not.
+    """
+    rows, trained = _trained_handover(spark, sf)
+    predicted = F.col("predicted")
+    return training.score_duration(trained.pipeline, rows).select(
+        "order_id", sampling.split_name(F.col("order_id")).alias("split"), "label",
+        (predicted.isNotNull() & ~F.isnan(predicted) & (F.abs(predicted) < float("inf"))).alias("is_finite"),
+        (predicted > 0).alias("is_positive"),
     )
 
 
-@query("gbt_pickup_report")
+@query(
+    "gbt_beats_median",
+    """select 'train' as split, count(*) as n, true as beats_median from f_handover
+    where cast('0x' || substr(md5(order_id), 1, 7) as bigint) % 100 < 80""",
+)
+def gbt_beats_median(spark, sf):
+    """On the rows it was trained on: is the mean absolute error below that of their median?"""
+    rows, trained = _trained_handover(spark, sf)
+    train, _ = sampling.train_test(rows, "order_id")
+    scored = training.score_duration(trained.pipeline, train).withColumn("split", F.lit("train"))
+    scored = staged(scored.select("split", "label", "predicted"), "scored")
+    median = errors.exact_percentiles(scored, F.col("label"), (0.5,)).select("p50").scalar()
+    return scored.groupBy("split").agg(
+        F.count(F.lit(1)).alias("n"),
+        (F.avg(F.abs(F.col("predicted") - F.col("label"))) < F.avg(F.abs(median - F.col("label")))).alias("beats_median"),
+    )
+
+
+@query(
+    "gbt_pickup_report",
+    """select model, split as segment, count(*) as n, count(*) filter (false) as n_missing, true as ordered from (
+      select case when cast('0x' || substr(md5(delivery_id), 1, 7) as bigint) % 100 < 80 then 'train' else 'test' end as split,
+        unnest(['a1', 'a2']) as model from f_pickup) group by model, split""",
+)
 def gbt_pickup_report(spark, sf):
     """Both pick-up models: trained on four fifths of the rows, their errors on either part."""
     rows = staged(_pickup_rows(spark, sf), "pickup-features")
     train, _ = sampling.train_test(rows, "delivery_id")
     numbers = features.PICKUP_NUMBERS
-    encode = training.fit_encoder(rows, features.PICKUP_CATEGORIES, numbers)
-    return training.pickup_report(training.train_pickup(train, encode, numbers), rows)
+    encode = training.fit_tree_encoder(rows, features.PICKUP_CATEGORIES, numbers)
+    report = training.pickup_report(training.train_pickup(train, encode, numbers), rows)
+    figures = [F.col(c) for c in ("p50", "p67", "p80", "p95")]
+    ordered = (figures[0] >= 0) & (figures[0] <= figures[1]) & (figures[1] <= figures[2]) & (figures[2] <= figures[3])
+    return report.select("model", "segment", "n", "n_missing", ordered.alias("ordered"))
 
 
 @query(
@@ -247,21 +303,33 @@ def sample_read_quality(spark, sf):
     return training.read_quality(lines, _rating_rows(spark, sf))
 
 
-@query("lr_coefficients")
-def lr_coefficients(spark, sf):
+def _trained_rating(spark, sf):
     rows = staged(_rating_rows(spark, sf), "rating-features")
     numbers = features.RATING_NUMBERS
     encode = training.fit_encoder(rows, features.RATING_CATEGORIES, numbers)
-    return training.coefficients(training.train_rating(rows, encode, numbers), rows)
+    return rows, training.train_rating(rows, encode, numbers)
 
 
-@query("lr_train_score")
-def lr_train_score(spark, sf):
-    """Trained on the courier-rating rows; every row scored."""
-    rows = staged(_rating_rows(spark, sf), "rating-features")
-    numbers = features.RATING_NUMBERS
-    encode = training.fit_encoder(rows, features.RATING_CATEGORIES, numbers)
-    trained = training.train_rating(rows, encode, numbers)
-    return training.score_rating(trained.pipeline, rows).select("transporter_id", "label", "prob")
+_RATING_NAMES = "\n      union all ".join(
+    [f"select distinct '{c}=' || {c} as feature from f_rating" for c in features.RATING_CATEGORIES]
+    + [f"select '{c}'" for c in features.RATING_NUMBERS]
+    + ["select '(bias)'"]
+)
+
+
+@query("lr_coefficients", f"select feature, true as at_optimum from ({_RATING_NAMES})")
+def lr_coefficients(spark, sf):
+    """Every coefficient of the regression, and whether the penalised loss is flat there.
+
+    The loss is convex, so that is what makes the coefficients the right ones.
+    """
+    rows, trained = _trained_rating(spark, sf)
+    return training.gradient(trained, rows).select("feature", (F.abs("slope") < 1e-3).alias("at_optimum"))
 
 
+@query("lr_train_score", "select transporter_id, label, true as in_range from f_rating")
+def lr_train_score(spark, sf):
+    """Trained on the courier-rating rows; every row scored."""
+    rows, trained = _trained_rating(spark, sf)
+    scored = training.score_rating(trained.pipeline, rows)
+    return scored.select("transporter_id", "label", F.col("prob").between(0, 1).alias("in_range"))

@@ -1,73 +1,61 @@
 -- @table g1
-select a.*, b.logging_unixtime as dada_report_unixtime,
-  row_number() over (partition by a.order_id order by b.logging_unixtime, b.lat, b.lng) as row_num
-from order_scan a join coords b on a.transporter_id = b.user_id
-where haversine_m(a.r_lng, a.r_lat, b.lng, b.lat) < 80
-  and b.logging_unixtime > a.fetch_time_unix and b.logging_unixtime <= a.finish_time_unix
-
--- @table g2
-select * from g1 where row_num = 1 and dada_report_unixtime < finish_time_unix - 800
+select order_scan.*, logging_unixtime as report_unixtime
+from coords join order_scan on coords.user_id = order_scan.transporter_id
+  and logging_unixtime > fetch_time_unix and logging_unixtime <= finish_time_unix
+where haversine_m(r_lng, r_lat, lng, lat) < 80
 
 -- @table g4
-select order_id, receiver_id, supplier_id, transporter_id, r_lng, r_lat, s_r_line_distance, finish_time, city_id,
-  finish_time_unix - min(dada_report_unixtime) as delivery_time1,
-  max(dada_report_unixtime) - min(dada_report_unixtime) as delivery_time2,
-  count(*) as point_cnt, receiver_address, cargo_type_id, cargo_weight
-from g1 where order_id not in (select order_id from g2)
-group by order_id, receiver_id, supplier_id, transporter_id, r_lng, r_lat, s_r_line_distance, finish_time,
-  finish_time_unix, city_id, receiver_address, cargo_type_id, cargo_weight
+with stay as (
+  select order_id, any_value(transporter_id) as transporter_id, any_value(supplier_id) as supplier_id,
+    any_value(receiver_id) as receiver_id, any_value(city_id) as city_id, any_value(finish_time) as finish_time,
+    any_value(finish_time_unix) as finished, any_value(r_lng) as r_lng, any_value(r_lat) as r_lat,
+    any_value(s_r_line_distance) as s_r_line_distance, any_value(receiver_address) as receiver_address,
+    any_value(cargo_type_id) as cargo_type_id, any_value(cargo_weight) as cargo_weight,
+    min(report_unixtime) as entered, max(report_unixtime) as left_at, count(*) as point_cnt
+  from g1 group by order_id)
+select * exclude (finished, entered, left_at), finished - entered as delivery_time1, left_at - entered as delivery_time2
+from stay where finished - entered <= 800
 
 -- @table g5
-select t1.*, t2.poi_id, t2.poi_name, t2.distance, t2.poi_lat, t2.poi_lng,
-  case when d.poi_id is null then 0 else 1 end as is_hard_poi, coalesce(d.difficulty, 0) as difficulty
-from (select * from g4 where point_cnt > 2 and delivery_time1 > 15) t1
-join (select * from d_poi_info where poi_name is not null and poi_type = 'landmark_l2') t2
-  on printf('%.5f_%.5f', t1.r_lng, t1.r_lat) = printf('%.5f_%.5f', t2.lng, t2.lat)
-left join d_poi_difficulty d on d.poi_id = t2.poi_id
+with point as (select *, printf('%.5f_%.5f', lng, lat) as spot from d_poi_info where poi_name is not null and poi_type = 'landmark_l2')
+select g4.*, point.poi_id, poi_name, distance, poi_lat, poi_lng,
+  cast(hard.poi_id is not null as int) as is_hard_poi, coalesce(difficulty, 0) as difficulty
+from g4 join point on printf('%.5f_%.5f', r_lng, r_lat) = spot left join d_poi_difficulty hard on hard.poi_id = point.poi_id
+where point_cnt > 2 and delivery_time1 > 15
 
 -- @table g6
-select poi_id, city_id, poi_lat, poi_lng,
-  quantile_cont(delivery_time1, 0.5) as percentile_delivery_time_poi,
-  round(avg(delivery_time1), 1) as avg_delivery_time_poi,
-  quantile_cont(cast(floor(distance) as int), 0.5) as percentile_distance_poi,
-  stddev_pop(distance) as std_distance_poi, stddev_pop(delivery_time1) as std_delivery_time_poi,
-  count(order_id) as order_cnt
-from g5 group by poi_id, city_id, poi_lat, poi_lng having count(order_id) >= 5
+select poi_id, city_id, poi_lat, poi_lng, count(*) as order_cnt,
+  median(delivery_time1) as percentile_delivery_time_poi, median(cast(floor(distance) as int)) as percentile_distance_poi,
+  round(avg(delivery_time1), 1) as avg_delivery_time_poi, stddev_pop(distance) as std_distance_poi,
+  stddev_pop(delivery_time1) as std_delivery_time_poi
+from g5 group by all having order_cnt >= 5
 
 -- @table g8
-select a.order_id, a.supplier_id, a.transporter_id, a.receiver_id, a.s_r_line_distance, a.finish_time,
-  a.receiver_address, a.cargo_type_id, a.cargo_weight, a.r_lng, a.r_lat, b.poi_id, b.poi_lat, b.poi_lng,
-  a.is_hard_poi, a.difficulty, a.distance as receiver_poi_distance, b.percentile_delivery_time_poi,
-  b.avg_delivery_time_poi, b.percentile_distance_poi, b.std_distance_poi, b.std_delivery_time_poi,
-  b.order_cnt, b.city_id, a.delivery_time1, a.delivery_time2,
-  abs(b.percentile_delivery_time_poi - a.delivery_time1) as error1,
-  abs(b.percentile_delivery_time_poi - a.delivery_time2) as error2,
-  t.history_order_num as t_history_order_num, t.avg_a1_time as t_avg_a1_time, t.avg_a2_time as t_avg_a2_time
-from g5 a
-join g6 b on a.poi_id = b.poi_id and a.city_id = b.city_id and a.poi_lat = b.poi_lat and a.poi_lng = b.poi_lng
-join courier_single t on a.transporter_id = t.transporter_id and b.city_id = t.city_id
+select order_id, city_id, transporter_id, supplier_id, receiver_id, finish_time, receiver_address, cargo_type_id, cargo_weight,
+  s_r_line_distance, r_lng, r_lat, delivery_time1, delivery_time2, is_hard_poi, difficulty, distance as receiver_poi_distance,
+  poi_id, poi_lat, poi_lng, percentile_delivery_time_poi, avg_delivery_time_poi, percentile_distance_poi,
+  std_distance_poi, std_delivery_time_poi, order_cnt, abs(percentile_delivery_time_poi - delivery_time1) as error1,
+  abs(percentile_delivery_time_poi - delivery_time2) as error2, t_history_order_num, t_avg_a1_time, t_avg_a2_time
+from g5 join g6 using (poi_id, city_id, poi_lat, poi_lng) join courier_means using (transporter_id, city_id)
 
 -- @table g9
+with timed as (select g8.*, peek_time from g8 join hour_classes on hour(finish_time::timestamp) = h)
 select transporter_id, city_id, count(*) as delivery_cnt,
-  cast(floor(avg(delivery_time1)) as int) as avg_delivery_time1, quantile_cont(delivery_time1, 0.5) as per_delivery_time1,
-  cast(floor(avg(delivery_time2)) as int) as avg_delivery_time2, quantile_cont(delivery_time2, 0.5) as per_delivery_time2,
+  cast(floor(avg(delivery_time1)) as int) as avg_delivery_time1, median(delivery_time1) as per_delivery_time1,
+  cast(floor(avg(delivery_time2)) as int) as avg_delivery_time2, median(delivery_time2) as per_delivery_time2,
   count(*) filter (peek_time = 1) as cnt_peek1, count(*) filter (peek_time = 2) as cnt_peek2,
   count(*) filter (peek_time = 3) as cnt_peek3, count(*) filter (peek_time = 0) as cnt_peek0,
-  quantile_cont(delivery_time1, 0.5) filter (peek_time = 1) as per_delivery_time1_peek1,
-  quantile_cont(delivery_time1, 0.5) filter (peek_time = 2) as per_delivery_time1_peek2,
-  quantile_cont(delivery_time1, 0.5) filter (peek_time = 3) as per_delivery_time1_peek3,
-  quantile_cont(delivery_time1, 0.5) filter (peek_time = 0) as per_delivery_time1_peek0
-from (select *, case when h in (11, 12, 18, 19) then 1 when h in (9, 10, 15, 16, 20, 21) then 2
-    when h < 9 or h >= 23 then 3 else 0 end as peek_time
-  from (select *, hour(finish_time::timestamp) as h from g8))
-group by transporter_id, city_id
+  median(delivery_time1) filter (peek_time = 1) as per_delivery_time1_peek1,
+  median(delivery_time1) filter (peek_time = 2) as per_delivery_time1_peek2,
+  median(delivery_time1) filter (peek_time = 3) as per_delivery_time1_peek3,
+  median(delivery_time1) filter (peek_time = 0) as per_delivery_time1_peek0
+from timed group by transporter_id, city_id
 
 -- @table g10
-select a.*, b.* exclude (transporter_id, city_id)
-from g8 a join g9 b on a.transporter_id = b.transporter_id and a.city_id = b.city_id
+select * from g8 join g9 using (transporter_id, city_id)
 
 -- @table log_values
-select biz_type, json_extract_string(data, '$.recOrderId') as recorderid,
+select dt, biz_type, json_extract_string(data, '$.recOrderId') as recorderid,
   json_extract_string(data, '$.orderId') as orderid,
   try_cast(json_extract_string(data, '$.pickupTimeValue') as int) as pickuptimevalue,
   try_cast(json_extract_string(data, '$.receiverTimeValue') as int) as receivertimevalue,
@@ -87,21 +75,19 @@ from log_values t1 join a1 t2 on cast(t1.orderid as bigint) = t2.delivery_id
 where t1.biz_type = 10604
 
 -- @table m1
-select a.*, b.logging_unixtime as dada_report_unixtime,
-  row_number() over (partition by a.order_id order by b.logging_unixtime, b.lat, b.lng) as row_num
-from order_rows a join coords b on a.transporter_id = b.user_id
-where haversine_m(a.r_lng, a.r_lat, b.lng, b.lat) < 80
-  and b.logging_unixtime > a.fetch_time_unix and b.logging_unixtime <= a.finish_time_unix + 120
+select order_rows.*, logging_unixtime as report_unixtime, create_dt as order_day, log_dt
+from coords join order_rows on coords.user_id = order_rows.transporter_id
+  and logging_unixtime > fetch_time_unix and logging_unixtime <= finish_time_unix + 120
+where haversine_m(r_lng, r_lat, lng, lat) < 80
 
 -- @table m4
-select * from (
-  select order_id, transporter_id, finish_time_unix - min(dada_report_unixtime) as delivery_time1,
-    max(dada_report_unixtime) - min(dada_report_unixtime) as delivery_time2, count(*) as point_cnt,
-    receiver_address, cargo_type_id, cargo_weight
-  from m1 where order_id not in (
-    select order_id from m1 where row_num = 1 and dada_report_unixtime < finish_time_unix - 800)
-  group by order_id, transporter_id, finish_time_unix, receiver_address, cargo_type_id, cargo_weight)
-where point_cnt > 1 and delivery_time1 > 0 and delivery_time2 > delivery_time1
+with stay as (
+  select order_id, any_value(transporter_id) as transporter_id, any_value(finish_time_unix) as finished,
+    any_value(receiver_address) as receiver_address, any_value(cargo_type_id) as cargo_type_id,
+    any_value(cargo_weight) as cargo_weight, min(report_unixtime) as entered, max(report_unixtime) as left_at, count(*) as point_cnt
+  from m1 group by order_id)
+select * exclude (finished, entered, left_at), finished - entered as delivery_time1, left_at - entered as delivery_time2
+from stay where finished - entered <= 800 and point_cnt > 1 and finished > entered and left_at > finished
 
 -- @table ab_c
 select t1.receivertimevalue, t1.recorderid, t1.orderid, t1.isdowngrade, t1.test_id, t1.cityid, t1.transporterid,
@@ -138,7 +124,7 @@ from (
     cast(city_id as varchar) as city_id, cast(hour(finish_time::timestamp) as varchar) as hour,
     cast(isodow(finish_time::timestamp) - 1 as varchar) as weekday,
     cast(real_time_line_distance as double) as real_time_line_distance, cast(t_history_order_num as double) as t_history_order_num, cast(t_avg_a1_time as double) as t_avg_a1_time, cast(t_avg_a2_time as double) as t_avg_a2_time, cast(s_history_order_num as double) as s_history_order_num, cast(s_avg_a1_time as double) as s_avg_a1_time, cast(s_avg_a2_time as double) as s_avg_a2_time, cast(cargo_weight as double) as cargo_weight,
-    -- mean courier speed by city; the cities here are 0 to 24
+    -- Mean courier speed by city. Fixed values; the cities here are 0 to 24.
     case city_id
     when 0 then 4.5e0
     when 1 then 4.670976602114164e0
@@ -181,4 +167,4 @@ from (
   select transporter_id, grade, work_dt_cnt, not_first_invalid, cast(score as double) as score,
     cast(avg_dis as double) as avg_dis, cast(avg_speed as double) as avg_speed,
     case when invalid_label = '1' then 1 else -1 end as label
-  from d_rating where cast(avg_speed as double) <> 0 and invalid_label <> 'yes')
+  from d_rating where cast(avg_speed as double) <> 0 and invalid_label <> 'yes' and score <> 'NULL')

@@ -15,13 +15,13 @@ from (
         case when event_id % 31 = 0 then 8 else event_id % 8 end as poi_k,
         cast(floor(epoch(ts)) as bigint) as accept_u,
         cast(floor(epoch(ts)) as bigint) + 60 + (event_id * 37) % 600 as arrive_u
-      from events where event_type in ('purchase', 'click')
+      from events
     ) t3
   ) t4
 ) t5
 
 -- @table coords
-select transporter_id as user_id, log_time as logging_unixtime,
+select transporter_id as user_id, log_time - case when (event_id + i) % 197 = 0 then 432000 else 0 end as logging_unixtime,
   strftime(make_timestamp(log_time * 1000000), '%Y-%m-%d') as log_dt,
   case when lost then 0e0
     when log_time < arrive_u then s_lat + 0.004e0 * (arrive_u - accept_u - 30 * i) / (arrive_u - accept_u)
@@ -39,7 +39,8 @@ where log_time <= finish_u + case when event_id % 7 = 0 then 0 else 180 end
 -- @table d_orders
 select event_id as order_id, transporter_id, supplier_id, city_id * 100 + poi_k as receiver_id,
   case when event_id % 89 = 0 then '0000-00-00 00:00:00'
-    else strftime(make_timestamp(fetch_u * 1000000), '%Y-%m-%d %H:%M:%S') end as fetch_time,
+    else strftime(make_timestamp((fetch_u - case when event_id % 59 = 0 then 518400 when event_id % 67 = 0 then 691200 else 0 end) * 1000000),
+      '%Y-%m-%d %H:%M:%S') end as fetch_time,
   case when event_id % 83 = 0 then '2019-01-31 16:00:00'
     else strftime(make_timestamp(finish_u * 1000000), '%Y-%m-%d %H:%M:%S') end as finish_time,
   r_lat as receiver_lat, r_lng as receiver_lng, s_lat as supplier_lat, s_lng as supplier_lng,
@@ -57,13 +58,13 @@ select event_id as order_id, transporter_id, supplier_id, city_id * 100 + poi_k
 from trips
 
 -- @table d_deliveries
-select event_id as delivery_id, transporter_id, supplier_id,
+select case when event_id % 109 = 0 then event_id - 1 else event_id end as delivery_id, transporter_id, supplier_id,
   case when event_id % 101 = 0 then 0e0 else cast(event_id % 3000 + 500 as double) end as distance,
   event_id % 5 as cargo_type_id,
   strftime(make_timestamp(accept_u * 1000000), '%Y-%m-%d %H:%M:%S') as accept_time,
   case when event_id % 89 = 0 then '0000-00-00 00:00:00'
     else strftime(make_timestamp(arrive_u * 1000000), '%Y-%m-%d %H:%M:%S') end as arrive_time,
-  strftime(make_timestamp(fetch_u * 1000000), '%Y-%m-%d %H:%M:%S') as fetch_time,
+  strftime(make_timestamp(case when event_id % 127 = 0 then arrive_u - 40 else fetch_u end * 1000000), '%Y-%m-%d %H:%M:%S') as fetch_time,
   strftime(make_timestamp(finish_u * 1000000), '%Y-%m-%d %H:%M:%S') as finish_time,
   city_id, strftime(make_timestamp(accept_u * 1000000), '%Y-%m-%d') as create_dt,
   case when event_id % 41 = 0 then 3 else 4 end as delivery_status,
@@ -128,11 +129,11 @@ from trips
 
 -- @table d_rating
 select event_id, cast(transporter_id as varchar) as transporter_id,
-  case when event_id % 37 = 0 then '-1' else cast((event_id * 17) % 2500 as varchar) end as score,
+  case when event_id % 37 = 0 then 'NULL' else cast((event_id * 17) % 2500 as varchar) end as score,
   cast(event_id % 5 + 1 as varchar) as grade, cast(event_id % 30 + 1 as varchar) as work_dt_cnt,
   cast((event_id * 13) % 16000 + 300 as varchar) as avg_dis,
   cast((event_id % 8) * 0.5e0 as varchar) as avg_speed,
-  case when event_id % 29 = 0 then '-1' else cast(event_id % 3 as varchar) end as invalid_cnt,
+  case when event_id % 29 = 0 then 'None' else cast(event_id % 3 as varchar) end as invalid_cnt,
   cast(event_id % 2 as varchar) as not_first_invalid,
   case when event_id % 61 = 0 then 'yes' when event_id % 7 = 0 then '1' else '0' end as invalid_label
 from trips where event_id % 71 <> 0

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from catalog.registry import query
@@ -9,8 +11,9 @@ from doorclock import fixtures as fx
 from doorclock import settings as S
 from doorclock.operators import audit, errors, first_ping, geofence, history, peak, poi
 from doorclock.plans import ab_check, phase_a, phase_c
-from doorclock.plans.staging import staged
+from doorclock.plans.staging import stage_folder, staged
 from doorclock.sources import sinks, tables
+from doorclock.sources.delimited import read_evaluation, read_samples
 from doorclock import schemas
 
 Z, D = fx.ZONE, fx.DATES
@@ -27,7 +30,8 @@ LOOKUP = {**STAY, **LANDMARK, **STATISTICS}
 
 
 def _ranked(spark, sf):
-    return geofence.ranked_pings(phase_c.in_circle(fx.warehouse(spark, sf), D, Z), Z)
+    found, orders = phase_c.in_circle(fx.warehouse(spark, sf), D, Z)
+    return geofence.ranked_pings(geofence.with_orders(found, orders), Z)
 
 
 # --- hand-over phase ---------------------------------------------------------------------------
@@ -127,32 +131,33 @@ def poi_statistics(spark, sf):
 
 
 def _library(spark, sf):
-    """Warehouse, staged stays and landmark statistics."""
+    """Warehouse, stays, rows bound to landmarks (staged) and landmark statistics."""
     wh = fx.warehouse(spark, sf)
     stays = staged(phase_c.dwell(wh, D, Z), "dwell")
-    return wh, stays, poi.poi_statistics(phase_c.bound(wh, stays))
+    bound = staged(phase_c.bound(wh, stays), "bound")
+    return wh, stays, bound, poi.poi_statistics(bound)
 
 
 def _looked_up(spark, sf):
-    wh, stays, statistics = _library(spark, sf)
-    return wh, stays, poi.landmark_lookup(phase_c.bound(wh, stays), statistics)
+    wh, _, bound, statistics = _library(spark, sf)
+    return wh, poi.landmark_lookup(bound, statistics)
 
 
 @query("c_poi_lookup", "select * from c8", LOOKUP)
 def c_poi_lookup(spark, sf):
-    return _looked_up(spark, sf)[2]
+    return _looked_up(spark, sf)[1]
 
 
 @query("c_courier_history", "select * from c9", {**LOOKUP, **T_MEANS})
 def c_courier_history(spark, sf):
-    wh, _, rows = _looked_up(spark, sf)
+    wh, rows = _looked_up(spark, sf)
     return phase_c.with_courier_history(rows, phase_a.history_library(wh, D, "transporter_id", Z))
 
 
 def handover_sample(spark, sf):
-    wh, stays, statistics = _library(spark, sf)
+    wh, stays, bound, statistics = _library(spark, sf)
     couriers = phase_a.history_library(wh, D, "transporter_id", Z)
-    return phase_c.sample(wh, stays, statistics, couriers, peak.courier_peak(stays))
+    return phase_c.sample(bound, statistics, couriers, peak.courier_peak(stays))
 
 
 @query("c_sample", "select * from c10", {**LOOKUP, **T_MEANS})
@@ -185,7 +190,7 @@ def c_sample_first_generation(spark, sf):
 )
 def funnel_audit(spark, sf):
     wh = fx.warehouse(spark, sf)
-    stays = staged(geofence.stays(phase_c.in_circle(wh, D, Z)), "stays")
+    stays = staged(geofence.stays(*phase_c.in_circle(wh, D, Z)), "stays")
     dwell = stays.where(geofence.not_overdwell() & geofence.valid_stay()).drop("finish_time_unix")
     bound = phase_c.bound(wh, dwell)
     base = tables.delivery_history_base(wh.deliveries, D, Z)
@@ -291,6 +296,70 @@ def supplier_history_published(spark, sf):
     return schemas.conformed(published, schemas.SUPPLIER_HISTORY).drop("id")
 
 
+@query(
+    "courier_history_published",
+    f"""select transporter_id, cast(history_order_num as double) as history_order_num, avg_a1_time, avg_a2_time,
+      cast(city_id as int) as city_id, '{fx.RUN_TIME}' as create_time, '{fx.RUN_TIME}' as update_time
+    from courier_single""",
+    MEANS,
+)
+def courier_history_published(spark, sf):
+    rows = history.single_city(_history(spark, sf, "transporter_id"), "transporter_id")
+    published = history.published_history(rows, "transporter_id", fx.RUN_TIME)
+    return schemas.conformed(published, schemas.COURIER_HISTORY).drop("id")
+
+
+@query(
+    "poi_statistics_published",
+    f"""select poi_id, percentile_delivery_time_poi, avg_delivery_time_poi, percentile_distance_poi, std_distance_poi,
+      std_delivery_time_poi, cast(order_cnt as int) as order_cnt, cast(city_id as int) as city_id, poi_lat, poi_lng,
+      '{fx.RUN_TIME}' as create_time, '{fx.RUN_TIME}' as update_time from c7""",
+    {**LANDMARK, **STATISTICS},
+)
+def poi_statistics_published(spark, sf):
+    wh = fx.warehouse(spark, sf)
+    rows = poi.poi_statistics(phase_c.bound(wh, phase_c.dwell(wh, D, Z)))
+    return schemas.conformed(poi.published_statistics(rows, fx.RUN_TIME), schemas.POI_STATISTICS).drop("id")
+
+
+def _exported(rows, write):
+    """A folder of the shared stage that holds rows as a sink writes them."""
+    path = f"{stage_folder(rows.sparkSession)}/export-{uuid.uuid4().hex}"
+    write(rows, path)
+    return path
+
+
+@query(
+    "tsv_export_read_back",
+    """select cast(order_id as varchar) as order_id, fetch_time, finish_time, receiver_address,
+      case when order_id % 5 = 0 then '-1' else cast(cargo_type_id as varchar) end as cargo_type_id from d_orders""",
+)
+def tsv_export_read_back(spark, sf):
+    """The text export of orders, some fields null, read again as a sample."""
+    columns = ["order_id", "fetch_time", "finish_time", "receiver_address"]
+    kind = F.when(F.col("order_id") % 5 != 0, F.col("cargo_type_id")).alias("cargo_type_id")
+    path = _exported(fx.warehouse(spark, sf).orders.select(*columns, kind), sinks.export_tsv)
+    return read_samples(spark, path, [*columns, "cargo_type_id"])
+
+
+@query(
+    "evaluation_csv_read_back",
+    """select cast(isdowngrade as int) as isdowngrade, test_id, cast(pickuptimevalue as double) as pickuptimevalue,
+      cast(a2_time as double) as a2_time from ab_a""",
+)
+def evaluation_csv_read_back(spark, sf):
+    pairs = ab_check.pickup_pairs(fx.warehouse(spark, sf), D, D, Z)
+    columns = ["a2_time", "pickuptimevalue", "test_id", "isdowngrade", "orderid"]
+    path = _exported(pairs.select(*columns), sinks.export_csv)
+    return read_evaluation(spark, path, "pickuptimevalue", "a2_time")
+
+
+@query("table_read_back", "select * from supplier_hist", MEANS)
+def table_read_back(spark, sf):
+    rows = _history(spark, sf, "supplier_id")
+    return sinks.read_table(spark, _exported(rows, sinks.replace_table))
+
+
 @query(
     "history_duplicate_keys",
     "select supplier_id, count(*) as n_rows from supplier_hist group by supplier_id having count(*) > 1",
@@ -328,16 +397,54 @@ def ab_join_c(spark, sf):
     return ab_check.receiver_pairs(fx.warehouse(spark, sf), D, D, Z)
 
 
+DAY = "2024-01-10"
+_DAYS = ("create_dt >= '2024-01-09' and create_dt <= '2024-01-10'", "dt = '2024-01-10'")
+
+
+@query(
+    "ab_join_a_day",
+    f"""select ab_a.* from ab_a where cast(orderid as bigint) in (
+      select cast(json_extract_string(data, '$.orderId') as bigint) from d_log where biz_type = 10604 and {_DAYS[1]})
+      and cast(orderid as bigint) in (select delivery_id from d_deliveries where {_DAYS[0]})""",
+    {"real_time_line_distance": 3},
+)
+def ab_join_a_day(spark, sf):
+    """The job of one day: that day's log, the orders of it and of the day before."""
+    days = ab_check.previous_and(DAY)
+    return ab_check.pickup_pairs(fx.warehouse(spark, sf), S.DateRange(DAY, DAY), days, Z)
+
+
+@query(
+    "ab_join_c_day",
+    f"""with found as (
+      select * from m1 where log_dt >= '2024-01-09' and log_dt <= '2024-01-10' and order_day >= '2024-01-09' and order_day <= '2024-01-10'),
+    stay as (
+      select order_id, any_value(transporter_id) as transporter_id, any_value(finish_time_unix) as finished,
+        any_value(receiver_address) as receiver_address, any_value(cargo_type_id) as cargo_type_id,
+        any_value(cargo_weight) as cargo_weight, min(report_unixtime) as entered, max(report_unixtime) as left_at, count(*) as point_cnt
+      from found group by order_id)
+    select receivertimevalue, recorderid, orderid, isdowngrade, test_id, cityid, transporterid, now_timestamp,
+      left_at - entered as delivery_time2, finished - entered as delivery_time1, receiver_address, cargo_type_id, cargo_weight
+    from log_values join stay on cast(orderid as bigint) = order_id and cast(transporterid as bigint) = transporter_id
+    where biz_type = 10610 and dt = '2024-01-10' and finished - entered <= 800 and point_cnt > 1 and finished > entered and left_at > finished""",
+)
+def ab_join_c_day(spark, sf):
+    days = ab_check.previous_and(DAY)
+    return ab_check.receiver_pairs(fx.warehouse(spark, sf), S.DateRange(DAY, DAY), days, Z)
+
+
 _REPORT = """select segment, count(*) as n, cast(floor(avg(err)) as bigint) as mean_error_s,
       round(avg(rel) * 100, 1) as mape_pct,
-      round(avg(case when rel > 0.3e0 then 1e0 else 0e0 end) * 100, 1) as over30_pct,
-      round(avg(case when rel > 0.5e0 then 1e0 else 0e0 end) * 100, 1) as over50_pct,
-      round(avg(case when rel > 0.7e0 then 1e0 else 0e0 end) * 100, 1) as over70_pct,
-      cast(0 as bigint) as n_zero_truth,
+      round(avg(case when rel > 0.3e0 then 1e0 when rel is not null then 0e0 end) * 100, 1) as over30_pct,
+      round(avg(case when rel > 0.5e0 then 1e0 when rel is not null then 0e0 end) * 100, 1) as over50_pct,
+      round(avg(case when rel > 0.7e0 then 1e0 when rel is not null then 0e0 end) * 100, 1) as over70_pct,
+      count(*) filter (measured = 0) as n_zero_truth, any_value(n_missing) as n_missing,
       round(quantile_cont(err, 0.5), 1) as p50, round(quantile_cont(err, 0.67), 1) as p67,
       round(quantile_cont(err, 0.8), 1) as p80, round(quantile_cont(err, 0.95), 1) as p95
-    from (select segment, cast(abs(predicted - measured) as double) as err,
-      abs(predicted - measured) / cast(measured as double) as rel from ({rows}) where predicted is not null)
+    from (select segment, measured, cast(abs(predicted - measured) as double) as err,
+      abs(predicted - measured) / nullif(cast(measured as double), 0) as rel, n_missing
+      from (select *, count(*) filter (predicted is null or measured is null) over (partition by segment) as n_missing from ({rows}))
+      where predicted is not null and measured is not null)
     group by segment"""
 
 _AB_ROWS = """select 'isdowngrade=' || isdowngrade as segment, {p} as predicted, {m} as measured from {t}
@@ -367,14 +474,14 @@ def ab_error_report_c(spark, sf):
 )
 def error_report(spark, sf):
     pair = ["percentile_delivery_time_poi", "delivery_time2"]
-    rows = staged(_looked_up(spark, sf)[2].select(*pair), "estimates")  # a report reads it twice
+    rows = staged(_looked_up(spark, sf)[1].select(*pair), "estimates")  # a report reads it twice
     return errors.error_report(rows, *map(F.col, pair))
 
 
 @query(
     "median_value",
-    """select 'all' as segment, quantile_cont(a2_time, 0.5) as p50 from delivery_scan where a2_time >= 0""",
+    """select 'all' as segment, quantile_cont(a2_time, 0.5) as p50 from delivery_scan""",
 )
 def median_value(spark, sf):
-    rows = tables.delivery_scan(fx.warehouse(spark, sf).deliveries, D, Z).where("a2_time >= 0")
+    rows = tables.delivery_scan(fx.warehouse(spark, sf).deliveries, D, Z)
     return errors.exact_percentiles(rows, F.col("a2_time"), (0.5,))

@@ -35,23 +35,12 @@ def delivery_history_base(spark, sf):
 
 @query(
     "ping_scan",
-    """select user_id, count(*) as n_pings, min(logging_unixtime) as first_ping, max(logging_unixtime) as last_ping,
-      sum(lat) as lat_sum, sum(lng) as lng_sum
-    from coords where log_dt >= '2024-01-01' and log_dt <= '2024-02-01' and lat > 0 and lng > 0 group by user_id""",
-    {"lat_sum": 3, "lng_sum": 3},
+    """select user_id, lat, lng, logging_unixtime as log_time
+    from coords where log_dt >= '2024-01-01' and log_dt <= '2024-02-01' and lat > 0 and lng > 0""",
+    {"lat": 6, "lng": 6},
 )
 def ping_scan(spark, sf):
-    return (
-        tables.ping_scan(fx.warehouse(spark, sf).coords, D, positive_only=True)
-        .groupBy("user_id")
-        .agg(
-            F.count(F.lit(1)).alias("n_pings"),
-            F.min("log_time").alias("first_ping"),
-            F.max("log_time").alias("last_ping"),
-            F.sum("lat").alias("lat_sum"),
-            F.sum("lng").alias("lng_sum"),
-        )
-    )
+    return tables.ping_scan(fx.warehouse(spark, sf).coords, D, positive_only=True)
 
 
 @query(
@@ -76,12 +65,11 @@ def poi_scan(spark, sf):
 
 @query(
     "log_scan",
-    """select dt, biz_type, count(*) as n_rows from d_log
-    where dt >= '2024-01-01' and dt <= '2024-02-01' and biz_type = 10604 group by dt, biz_type""",
+    """select dt, biz_type, data from d_log where dt >= '2024-01-01' and dt <= '2024-02-01' and biz_type = 10604""",
 )
 def log_scan(spark, sf):
-    rows = tables.log_scan(fx.warehouse(spark, sf).biz_log, D, S.LOG_TYPE_PICKUP)
-    return rows.groupBy("dt", "biz_type").agg(F.count(F.lit(1)).alias("n_rows"))
+    log = fx.warehouse(spark, sf).biz_log
+    return tables.log_scan(log, D, S.LOG_TYPE_PICKUP).select("dt", "biz_type", "data")
 
 
 @query(
@@ -100,11 +88,8 @@ def phase_durations(spark, sf):
 
 @query(
     "peak_class",
-    """select event_id as delivery_id, cast(h as int) as finish_hour,
-      case when h >= 11 and h < 13 or h >= 18 and h < 20 then 1
-        when h >= 9 and h < 11 or h >= 15 and h < 17 or h >= 20 and h < 22 then 2
-        when h < 9 or h >= 23 then 3 else 0 end as peek_time
-    from (select event_id, hour(make_timestamp(finish_u * 1000000)) as h from trips)""",
+    """select delivery_id, cast(h as int) as finish_hour, peek_time
+    from d_deliveries join hour_classes on hour(finish_time::timestamp) = h""",
 )
 def peak_class(spark, sf):
     return peak.with_peak_class(fx.warehouse(spark, sf).deliveries).select(
@@ -114,9 +99,9 @@ def peak_class(spark, sf):
 
 @query(
     "time_features",
-    """select event_id as delivery_id, cast(hour(t) as int) as hour, cast(isodow(t) - 1 as int) as weekday,
+    """select delivery_id, cast(hour(t) as int) as hour, cast(isodow(t) - 1 as int) as weekday,
       case when isodow(t) in (6, 7) then 1 else 0 end as is_weekend
-    from (select event_id, make_timestamp(finish_u * 1000000) as t from trips)""",
+    from (select delivery_id, finish_time::timestamp as t from d_deliveries)""",
 )
 def time_features(spark, sf):
     finish = F.col("finish_time")
@@ -251,6 +236,15 @@ def event_props(spark, sf):
     "select transporter_id, score, grade, work_dt_cnt, avg_dis, avg_speed, invalid_cnt, not_first_invalid, invalid_label from d_rating",
 )
 def sample_parse(spark, sf):
+    return parse_lines(fx.rating_lines(fx.trips(spark, sf)), RATING_SAMPLE, mask_nulls=False)
+
+
+@query(
+    "sample_parse_masked",
+    """select transporter_id, replace(score, 'NULL', '-1') as score, grade, work_dt_cnt, avg_dis, avg_speed,
+      replace(invalid_cnt, 'None', '-1') as invalid_cnt, not_first_invalid, invalid_label from d_rating""",
+)
+def sample_parse_masked(spark, sf):
     return parse_lines(fx.rating_lines(fx.trips(spark, sf)), RATING_SAMPLE)
 
 
@@ -315,11 +309,11 @@ def address_building(spark, sf):
 @query(
     "label_transform",
     """select delivery_id, ln(1 + a_time) as target, cast(a_time as double) as back
-    from delivery_rows where a_time >= 0""",
+    from delivery_rows""",
     {"target": 6, "back": 6},
 )
 def label_transform(spark, sf):
-    rows = tables.with_phase_durations(fx.warehouse(spark, sf).deliveries, Z).where("a_time >= 0")
+    rows = tables.with_phase_durations(fx.warehouse(spark, sf).deliveries, Z)
     target = scaling.compress(F.col("a_time"))
     return rows.select("delivery_id", target.alias("target"), scaling.expand(target).alias("back"))
 

@@ -7,11 +7,10 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from doorclock.operators.prefix import running_totals
+from doorclock.operators.prefix import falling_totals
 
 # The sweep adds up its step, as the thresholds have always been formed.
 SWEEP = list(accumulate([0.05] * 19))
-_SCORE_STEPS = 65536
 
 
 def class_label(text: Column) -> Column:
@@ -36,22 +35,17 @@ def _score_counts(scored: DataFrame) -> DataFrame:
     )
 
 
-def _falling(score: Column) -> Column:
-    return -F.floor(score * _SCORE_STEPS)
-
-
 def roc_points(scored: DataFrame) -> DataFrame:
     """False and true positive rate for each distinct score taken as threshold, and the origin."""
-    counts = running_totals(
-        _score_counts(scored),
-        _falling(F.col("score")),
-        [F.desc("score")],
-        {"pos": "tp", "neg": "fp"},
+    counts = falling_totals(_score_counts(scored), "score", {"pos": "tp", "neg": "fp"})
+    # The lowest score accepts everything; per-score counts are what is read again, not the rows.
+    points = counts.select(
+        F.col("score").alias("threshold"),
+        "fp",
+        "tp",
+        F.try_divide(F.col("fp"), counts.agg(F.max("fp")).scalar()).alias("fpr"),
+        F.try_divide(F.col("tp"), counts.agg(F.max("tp")).scalar()).alias("tpr"),
     )
-
-    def size(label: int) -> Column:
-        return scored.where(F.col("label") == label).agg(F.count(F.lit(1))).scalar()
-
     origin = scored.sparkSession.range(1).select(
         F.lit(None).cast("double").alias("threshold"),
         F.lit(0).cast("long").alias("fp"),
@@ -59,21 +53,12 @@ def roc_points(scored: DataFrame) -> DataFrame:
         F.lit(0.0).alias("fpr"),
         F.lit(0.0).alias("tpr"),
     )
-    points = counts.select(
-        F.col("score").alias("threshold"),
-        "fp",
-        "tp",
-        F.try_divide(F.col("fp"), size(-1)).alias("fpr"),
-        F.try_divide(F.col("tp"), size(1)).alias("tpr"),
-    )
     return origin.unionByName(points)
 
 
 def auc(scored: DataFrame) -> DataFrame:
     """Area under the ROC curve, one row: equal scores count half."""
-    counts = running_totals(
-        _score_counts(scored), _falling(F.col("score")), [F.desc("score")], {"pos": "pos_through"}
-    )
+    counts = falling_totals(_score_counts(scored), "score", {"pos": "pos_through"})
     above = F.col("pos_through") - F.col("pos")
     pairs = (F.col("neg") * (above + F.col("pos") / 2)).cast("double")
     return counts.agg(

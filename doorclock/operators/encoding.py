@@ -3,25 +3,46 @@
 from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, StringIndexerModel, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, OneHotEncoderModel, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.linalg import Vector
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def _indexer(categories: list[str], indexed: list[str]) -> StringIndexer:
+    return StringIndexer(
+        inputCols=categories,
+        outputCols=indexed,
+        handleInvalid="keep",
+        stringOrderType="alphabetAsc",
+    )
+
+
+def tree_encoder(categories: list[str], numbers: list[str], output: str = "features") -> Pipeline:
+    """Categories as one indexed column each, which trees split by sets of values.
+
+    The vector names its categories, so that trees know them; unseen ones share an index of their own.
+    """
+    indexed = [f"{c}_index" for c in categories]
+    return Pipeline(
+        stages=[_indexer(categories, indexed), VectorAssembler(inputCols=indexed + numbers, outputCol=output)]
+    )
+
+
+def largest_category(model: PipelineModel) -> int:
+    """The number of values of the category that has most, the one for unseen values included."""
+    indexer = next(s for s in model.stages if isinstance(s, StringIndexerModel))
+    return max((len(labels) + 1 for labels in indexer.labelsArray), default=1)
+
+
 def encoder(categories: list[str], numbers: list[str], output: str = "features") -> Pipeline:
     """A category not seen in fitting gives zeros in all its columns."""
     indexed = [f"{c}_index" for c in categories]
     hot = [f"{c}_hot" for c in categories]
     return Pipeline(
         stages=[
-            StringIndexer(
-                inputCols=categories,
-                outputCols=indexed,
-                handleInvalid="keep",
-                stringOrderType="alphabetAsc",
-            ),
+            _indexer(categories, indexed),
             OneHotEncoder(inputCols=indexed, outputCols=hot, dropLast=True),
             VectorAssembler(inputCols=hot + numbers, outputCol=output),
         ]
@@ -29,8 +50,10 @@ def encoder(categories: list[str], numbers: list[str], output: str = "features")
 
 
 def feature_names(model: PipelineModel, numbers: list[str]) -> list[str]:
-    """Name of each vector element: `category=value`, then the numbers."""
+    """Name of each vector element: `category=value` (of trees: `category`), then the numbers."""
     indexer = next(s for s in model.stages if isinstance(s, StringIndexerModel))
+    if not any(isinstance(s, OneHotEncoderModel) for s in model.stages):
+        return [*indexer.getInputCols(), *numbers]
     hot = [
         f"{column}={label}"
         for column, labels in zip(indexer.getInputCols(), indexer.labelsArray)

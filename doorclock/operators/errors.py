@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 PERCENTILES = (0.5, 0.67, 0.8, 0.95)
 LARGE_ERRORS = (0.3, 0.5, 0.7)
 _STEPS_PER_E = 65536.0
+_STEPS_OF_BLOCK = 1024
 
 
 def _by_segment(df: DataFrame, segments: dict[str, Column]) -> DataFrame:
@@ -24,17 +25,23 @@ def _percentiles(values: DataFrame, histogram: DataFrame, probs: tuple[float, ..
     """Exact, linearly interpolated percentiles of `value` per segment.
 
     `histogram` counts rows per (segment, step), where a step is a fixed narrow band of values, so
-    its size is bounded by the number of bands. It tells which bands hold the wanted ranks; only
-    the values in those few bands are then ordered, equal values counted together first.
+    its size is bounded by the number of bands. Bands are summed to a few thousand blocks first, so
+    that no task orders all bands of a segment. They tell which bands hold the wanted ranks; only the
+    values in those few bands are then ordered, equal values counted together first.
     """
-    all_steps = Window.partitionBy("segment")
-    so_far = all_steps.orderBy("step").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = histogram.select(
-        "segment",
-        "step",
-        (F.sum("n").over(so_far) - F.col("n")).alias("before"),
-        F.sum("n").over(so_far).alias("through"),
-        F.sum("n").over(all_steps).alias("total"),
+    coarse = F.floor(F.col("step") / _STEPS_OF_BLOCK)
+    everything = Window.partitionBy("segment")
+    earlier = everything.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = histogram.groupBy("segment", coarse.alias("block")).agg(F.sum("n").alias("n"))
+    blocks = blocks.select(
+        "segment", "block",
+        F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_offset"),
+        F.sum("n").over(everything).alias("total"),
+    )
+    so_far = Window.partitionBy("segment", "block").orderBy("step").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    through = F.col("_offset") + F.sum("n").over(so_far)
+    placed = histogram.withColumn("block", coarse).join(blocks, ["segment", "block"]).select(
+        "segment", "step", (through - F.col("n")).alias("before"), through.alias("through"), "total"
     )
 
     def ranks(p: float) -> tuple[Column, Column, Column]:
@@ -75,8 +82,10 @@ def _percentiles(values: DataFrame, histogram: DataFrame, probs: tuple[float, ..
 
 
 def _stepped(value: Column) -> Column:
-    # Bands of 1/65536 on a logarithmic scale: values up to a billion fall into 1.4 million bands.
-    return F.floor(F.log1p(value) * _STEPS_PER_E)
+    # Bands of 1/65536 on a logarithmic scale, mirrored for negative values: values up to a billion
+    # fall into 1.4 million bands on either side of 0. A negative value's band is rounded towards it.
+    band = F.log1p(F.abs(value)) * _STEPS_PER_E
+    return F.when(value < 0, -F.ceil(band)).otherwise(F.floor(band))
 
 
 def exact_percentiles(
@@ -85,11 +94,11 @@ def exact_percentiles(
     probs: tuple[float, ...] = PERCENTILES,
     segments: dict[str, Column] | None = None,
 ) -> DataFrame:
-    """Percentiles of a non-negative value, overall or for a fixed list of segments."""
+    """Percentiles of a value, overall or for a fixed list of segments; null and NaN do not count."""
     values = (
         _by_segment(df, segments or {"all": F.lit(True)})
         .select("segment", value.cast("double").alias("value"))
-        .where(F.col("value").isNotNull())
+        .where(F.col("value").isNotNull() & ~F.isnan("value"))
         .withColumn("step", _stepped(F.col("value")))
     )
     histogram = values.groupBy("segment", "step").agg(F.count(F.lit(1)).alias("n"))
@@ -101,22 +110,25 @@ def error_report(
 ) -> DataFrame:
     """Absolute-error percentiles, mean error, mean relative error and shares of large errors.
 
-    Rows without a prediction or a measurement are left out. A measurement of zero has no relative
-    error; it counts in `n` and `n_zero_truth`, and the relative figures leave it out.
+    Rows without a prediction or a measurement count in `n_missing` alone. A measurement of zero has
+    no relative error; it counts in `n` and `n_zero_truth`, and the relative figures leave it out.
     """
     error = F.abs(predicted - measured).cast("double")
-    values = (
+    error = F.when(~F.isnan(error), error)
+    everything = (
         _by_segment(df, segments or {"all": F.lit(True)})
         .select(
             "segment",
             error.alias("value"),
             F.when(measured != 0, error / measured).alias("relative"),
         )
-        .where(F.col("value").isNotNull())
         .withColumn("step", _stepped(F.col("value")))
     )
-    histogram = values.groupBy("segment", "step").agg(
-        F.count(F.lit(1)).alias("n"),
+    values = everything.where(F.col("value").isNotNull())
+    # Rows without a value have a null step of their own.
+    histogram = everything.groupBy("segment", "step").agg(
+        F.count("value").alias("n"),
+        F.count(F.when(F.col("value").isNull(), 1)).alias("n_missing"),
         F.sum("value").alias("error_sum"),
         F.count("relative").alias("n_relative"),
         F.sum("relative").alias("relative_sum"),
@@ -138,8 +150,9 @@ def error_report(
             for t in LARGE_ERRORS
         ],
         (F.sum("n") - F.sum("n_relative")).alias("n_zero_truth"),
-    )
-    rounded = _percentiles(values, histogram, PERCENTILES).select(
+        F.sum("n_missing").alias("n_missing"),
+    ).where("n > 0")
+    rounded = _percentiles(values, histogram.where("step is not null"), PERCENTILES).select(
         "segment",
         *[F.round(f"p{round(p * 100)}", 1).alias(f"p{round(p * 100)}") for p in PERCENTILES],
     )

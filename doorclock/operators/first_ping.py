@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from doorclock.functions.geo import distance_m
 from doorclock.functions.times import format_epoch
 from doorclock.settings import PICKUP, WAREHOUSE_ZONE, PickupRules
 
-BUCKET_S = 600
+SLOT_S = 600
+SLOTS_OF_DAY = 144
+POSITION = "struct<time:bigint,lat:double,lng:double>"
 
 
 def supplier_enriched(deliveries: DataFrame, suppliers: DataFrame) -> DataFrame:
@@ -23,84 +25,78 @@ def supplier_enriched(deliveries: DataFrame, suppliers: DataFrame) -> DataFrame:
     return deliveries.join(shop, "supplier_id")
 
 
-def plausible_durations(deliveries: DataFrame, rules: PickupRules = PICKUP) -> DataFrame:
-    """The part of the plausibility filter that needs no position.
-
-    A delivery's durations do not depend on the position picked for it, so the filter may run
-    before the positions are searched, which also bounds the window each delivery spans.
-    """
-    return deliveries.where(
-        (F.col("a1_time") > 0)
-        & (F.col("a1_time") <= rules.max_a1_s)
+def plausible(rules: PickupRules = PICKUP) -> Column:
+    """Durations and speed that a real pick-up can have; distance within the search limit."""
+    return (
+        (F.col("a1_time") <= rules.max_a1_s)
         & (F.col("a2_time") <= rules.max_a2_s)
+        & (F.col("real_time_line_distance") < rules.max_distance_m)
+        & (rules.max_speed_m_s * F.col("a1_time") > F.col("real_time_line_distance"))
     )
 
 
-def first_pings(deliveries: DataFrame, pings: DataFrame) -> DataFrame:
-    """The first position of the courier at or after accepting and not after fetching.
+def _upcoming(probes: DataFrame, positions: DataFrame, group: str, place: str, open_probe: Column) -> DataFrame:
+    """Probes with the first position of the same courier and `group` at a later `place`.
 
-    Deliveries and positions are merged by courier and ten-minute bucket and read backwards in
-    time, so every delivery sees the next position without any pairs being formed: the work grows
-    with rows, also for a courier who holds a large share of them. A delivery enters every bucket
-    its window touches; the earliest hit wins.
+    Both are merged and read backwards, so no pairs are formed. Probes that need no position are spread
+    over keys of their own, so that a courier with very many of them is not one task's work.
     """
-
-    def bucket(time):
-        return F.floor(time / BUCKET_S)
-
-    probes = (
-        deliveries.where(F.col("accept_time_unix") <= F.col("fetch_time_unix"))
-        .select(
-            F.col("transporter_id").alias("user_id"),
-            "delivery_id",
-            "accept_time_unix",
-            "fetch_time_unix",
-            F.explode(
-                F.sequence(bucket(F.col("accept_time_unix")), bucket(F.col("fetch_time_unix")))
-            ).alias("bucket"),
-        )
-        .select(
-            "user_id",
-            "bucket",
-            F.col("accept_time_unix").alias("time"),
-            F.lit(None).cast("double").alias("lat"),
-            F.lit(None).cast("double").alias("lng"),
-            "delivery_id",
-            F.col("fetch_time_unix").alias("until"),
-        )
-    )
-    positions = pings.select(
-        "user_id",
-        bucket(F.col("log_time")).alias("bucket"),
-        F.col("log_time").alias("time"),
-        "lat",
-        "lng",
-        F.lit(None).cast("long").alias("delivery_id"),
-        F.lit(None).cast("long").alias("until"),
+    rows = probes.withColumns({
+        "_group": F.when(open_probe, F.col(group)), "_place": F.col(place), "_first": F.lit(None).cast(POSITION),
+        "_spread": F.when(~open_probe, F.pmod(F.xxhash64("delivery"), F.lit(1024))),
+    }).unionByName(
+        positions.select(
+            "user_id", F.col(group).alias("_group"), F.col(place).alias("_place"), F.col("first").alias("_first"),
+            F.lit(None).cast("long").alias("_spread"),
+        ),
+        allowMissingColumns=True,
     )
-    is_position = F.col("delivery_id").isNull()
     backwards = (
-        Window.partitionBy("user_id", "bucket")
-        .orderBy(
-            F.desc("time"), F.desc(is_position), F.desc("lat"), F.desc("lng"), F.desc("delivery_id")
-        )
+        Window.partitionBy("user_id", "_group", "_spread")
+        .orderBy(F.desc("_place"), F.desc("_first"), F.desc(F.col("delivery").isNotNull()))
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    upcoming = F.last(
-        F.when(is_position, F.struct("time", "lat", "lng")), ignorenulls=True
-    ).over(backwards)
+    found = rows.withColumn("_next", F.last("_first", ignorenulls=True).over(backwards)).where("delivery is not null")
+    return found.withColumn("hit", F.coalesce("hit", F.when(open_probe, F.col("_next")))).select(*probes.columns)
+
+
+def first_pings(deliveries: DataFrame, pings: DataFrame) -> DataFrame:
+    """Deliveries with the first position of their courier at or after accepting and not after fetching.
+
+    The position is looked for in the ten minutes of accepting, then among the first positions of the
+    later ten-minute slots of that day, then among those of later days. A delivery is one row in each
+    step, however long its window, and each step reads fewer positions than the one before it.
+
+    Of rows that share a delivery id, the one with the earliest position stays (of equals, the one
+    accepted first).
+    """
+    slot = F.floor(F.col("time") / SLOT_S)
+    day = F.floor(F.col("slot") / SLOTS_OF_DAY)
+    positions = pings.select("user_id", F.col("log_time").alias("time"), F.struct(F.col("log_time").alias("time"), "lat", "lng").alias("first"))
+    positions = positions.withColumn("slot", slot)
+    slots = positions.groupBy("user_id", "slot").agg(F.min("first").alias("first")).withColumn("day", day)
+    days = slots.groupBy("user_id", "day").agg(F.min("first").alias("first")).withColumn("ever", F.lit(0))
+    probes = deliveries.where(F.col("accept_time_unix") <= F.col("fetch_time_unix")).select(
+        F.col("transporter_id").alias("user_id"),
+        F.struct(*deliveries.columns).alias("delivery"),
+        F.col("accept_time_unix").alias("time"),
+        F.floor(F.col("accept_time_unix") / SLOT_S).alias("slot"),
+        F.lit(0).alias("ever"),
+        F.lit(None).cast(POSITION).alias("hit"),
+    ).withColumn("day", day)
+    until = F.col("delivery.fetch_time_unix")
+    found = _upcoming(probes, positions, "slot", "time", F.lit(True))
+    # The slot or day of accepting is done with: the probe moves on to the next one.
+    reaches = F.col("hit").isNull() & (until >= F.col("slot") * SLOT_S)
+    found = _upcoming(found.withColumn("slot", F.col("slot") + 1), slots, "day", "slot", reaches)
+    reaches = F.col("hit").isNull() & (until >= F.col("day") * (SLOT_S * SLOTS_OF_DAY))
+    found = _upcoming(found.withColumn("day", F.col("day") + 1), days, "ever", "day", reaches)
+    order = F.struct("hit", "delivery.accept_time_unix", F.xxhash64("delivery"))
     return (
-        probes.unionByName(positions)
-        .withColumn("hit", upcoming)
-        .where(~is_position & (F.col("hit.time") <= F.col("until")))
-        .groupBy("delivery_id")
-        .agg(F.min("hit").alias("hit"))
-        .select(
-            "delivery_id",
-            F.col("hit.time").alias("log_time"),
-            F.col("hit.lat").alias("lat"),
-            F.col("hit.lng").alias("lng"),
-        )
+        found.where(F.col("hit.time") <= until)
+        .groupBy("delivery.delivery_id")
+        .agg(F.min_by(F.struct("delivery", "hit"), order).alias("own"))
+        .select("own.delivery.*", F.col("own.hit.time").alias("log_time"), "own.hit.lat", "own.hit.lng")
     )
 
 
@@ -110,23 +106,21 @@ def accepted_positions(
     zone: str = WAREHOUSE_ZONE,
     rules: PickupRules = PICKUP,
 ) -> DataFrame:
-    """Plausible deliveries with the courier's position on accepting and its distance to the shop."""
-    candidates = plausible_durations(deliveries, rules)
-    hits = first_pings(candidates, pings)
+    """Plausible deliveries with the courier's position on accepting and its distance to the shop.
+
+    Limits apply to the position that was found first, as a delivery id may occur in several rows.
+    """
     line = distance_m(F.col("supp_lng"), F.col("supp_lat"), F.col("lng"), F.col("lat"))
     return (
-        candidates.join(hits, "delivery_id")
+        first_pings(deliveries, pings)
         .withColumns(
             {
-                "dada_report_time": format_epoch(F.col("log_time"), zone),
+                "report_time": format_epoch(F.col("log_time"), zone),
                 "row_num": F.lit(1).cast("long"),
                 "real_time_line_distance": line,
             }
         )
-        .where(
-            (F.col("real_time_line_distance") < rules.max_distance_m)
-            & (rules.max_speed_m_s * F.col("a1_time") > F.col("real_time_line_distance"))
-        )
+        .where(plausible(rules))
         .select(
             "delivery_id",
             "transporter_id",
@@ -141,7 +135,7 @@ def accepted_positions(
             "a_time",
             "a1_time",
             "a2_time",
-            "dada_report_time",
+            "report_time",
             "row_num",
             "supp_lat",
             "supp_lng",

@@ -6,11 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from doorclock.functions import geo
-from doorclock.functions.times import format_epoch, parse_epoch
-from doorclock.settings import CURRENT, WAREHOUSE_ZONE, DateRange, DwellRules
+from doorclock.functions.times import format_epoch
+from doorclock.settings import CURRENT, WAREHOUSE_ZONE, DwellRules
 
-BUCKET_S = 3600
-WEEK_S = 7 * 86400
+# A window is covered by the hours it touches or, beyond so many of them, by one block of all time.
+HOUR_S = 3600
+MOST_HOURS = 8
+ALL_TIME = -(2**62)
 
 # What a stay is grouped by: the order and everything that is constant for it.
 ORDER_ATTRIBUTES = [
@@ -30,47 +32,35 @@ ORDER_ATTRIBUTES = [
 ]
 
 
-def _day_bounds(dates: DateRange, zone: str) -> tuple[Column, Column]:
-    """First and last second that positions logged on these dates can have, a day's margin added."""
-    day = 86400
-    start = parse_epoch(F.lit(f"{dates.first} 00:00:00"), zone) - day
-    end = parse_epoch(F.lit(f"{dates.last} 23:59:59"), zone) + day
-    return start, end
+def _hour(time: Column) -> Column:
+    return F.floor(time / HOUR_S)
 
 
-def _bucket(time: Column) -> Column:
-    return F.floor(time / BUCKET_S)
+def _row_key() -> Column:
+    """Tells orders apart that share an id."""
+    return F.xxhash64(*ORDER_ATTRIBUTES)
 
 
-def pings_in_circle(
-    orders: DataFrame,
-    pings: DataFrame,
-    dates: DateRange,
-    zone: str = WAREHOUSE_ZONE,
-    rules: DwellRules = CURRENT,
-) -> DataFrame:
+def pings_in_circle(orders: DataFrame, pings: DataFrame, rules: DwellRules = CURRENT) -> DataFrame:
     """Every position of the order's courier within the circle between fetch and finish + slack.
 
-    Courier, hour and grid cell together form the equi-join key. A position has one hour and one
-    cell; an order is repeated for the few hours and cells its window and circle touch. One courier
-    with very many rows therefore spreads over many keys, and the pairs tested are those close in
-    time and place. Windows of more than a week (an order without a real fetch time) are cut to
-    the scanned days, because no other position is in the input.
+    Rows are narrow: (order_id, order_row, t_lat, t_lng, report_unixtime); `with_orders` adds the
+    order's columns, `stays` only after it has aggregated.
+
+    Courier, block of time and grid cell together form the equi-join key. A position has two blocks,
+    its hour and all time, and one cell; an order is repeated for the few blocks and cells that its
+    window and circle touch. One courier with very many rows therefore spreads over many keys, and the
+    pairs tested are those close in time and place. A long window (an order without a real fetch
+    time) has one block, however long it is, and finds positions whenever they were logged.
     """
-    first, last = _day_bounds(dates, zone)
-    fetched = F.col("fetch_time_unix")
     until = F.col("finish_time_unix") + rules.slack_s
-    endless = until - fetched > WEEK_S
+    first, last = _hour(F.col("fetch_time_unix")), _hour(until)
+    blocks = F.when(last - first >= MOST_HOURS, F.array(F.lit(ALL_TIME))).otherwise(F.sequence(first, last))
     probes = (
-        orders.withColumns(
-            {
-                "_from": F.when(endless, F.greatest(fetched, first)).otherwise(fetched),
-                "_until": F.when(endless, F.least(until, last)).otherwise(until),
-            }
-        )
-        .where(F.col("_from") <= F.col("_until"))
-        .withColumn(
-            "_bucket", F.explode(F.sequence(_bucket(F.col("_from")), _bucket(F.col("_until"))))
+        orders.where(F.col("fetch_time_unix") <= until)
+        .select(
+            "order_id", _row_key().alias("order_row"), "transporter_id", "r_lat", "r_lng",
+            "fetch_time_unix", until.alias("_until"), F.explode(blocks).alias("_block"),
         )
         .withColumn("_lat_cell", F.explode(geo.lat_cells_within(F.col("r_lat"), rules.circle_m)))
         .withColumn(
@@ -82,18 +72,18 @@ def pings_in_circle(
         F.col("user_id"),
         F.col("lat").alias("t_lat"),
         F.col("lng").alias("t_lng"),
-        F.col("log_time").alias("dada_report_unixtime"),
-        _bucket(F.col("log_time")).alias("_p_bucket"),
+        F.col("log_time").alias("report_unixtime"),
         geo.lat_cell(F.col("lat")).alias("_p_lat_cell"),
         geo.lng_cell(F.col("lng")).alias("_p_lng_cell"),
+        F.explode(F.array(_hour(F.col("log_time")), F.lit(ALL_TIME))).alias("_p_block"),
     )
     inside = (
         (F.col("transporter_id") == F.col("user_id"))
-        & (F.col("_bucket") == F.col("_p_bucket"))
+        & (F.col("_block") == F.col("_p_block"))
         & (F.col("_lat_cell") == F.col("_p_lat_cell"))
         & (F.col("_lng_cell") == F.col("_p_lng_cell"))
-        & (F.col("dada_report_unixtime") > F.col("fetch_time_unix"))
-        & (F.col("dada_report_unixtime") <= until)
+        & (F.col("report_unixtime") > F.col("fetch_time_unix"))
+        & (F.col("report_unixtime") <= F.col("_until"))
         & geo.near(F.col("r_lat"), F.col("t_lat"), rules.circle_m)
         & (
             geo.distance_m(F.col("r_lng"), F.col("r_lat"), F.col("t_lng"), F.col("t_lat"))
@@ -103,16 +93,28 @@ def pings_in_circle(
     # Both sides grow with the data, and neither's size is known before it is repeated or derived,
     # so neither may be broadcast on an estimate: sort-merge, which spills and can be split.
     return positions.join(probes.hint("merge"), inside).select(
-        *orders.columns, "t_lat", "t_lng", "dada_report_unixtime"
+        "order_id", "order_row", "t_lat", "t_lng", "report_unixtime"
+    )
+
+
+def _keyed(orders: DataFrame) -> DataFrame:
+    """Orders once each; equal order rows have doubled their positions already."""
+    return orders.withColumn("order_row", _row_key()).dropDuplicates(["order_id", "order_row"])
+
+
+def with_orders(in_circle: DataFrame, orders: DataFrame) -> DataFrame:
+    """Positions with all columns of their order."""
+    return in_circle.join(_keyed(orders), ["order_id", "order_row"]).select(
+        *orders.columns, "t_lat", "t_lng", "report_unixtime"
     )
 
 
 def ranked_pings(in_circle: DataFrame, zone: str = WAREHOUSE_ZONE) -> DataFrame:
     """Number the positions of each order by time; 1 is the entry into the circle."""
-    by_time = Window.partitionBy("order_id").orderBy("dada_report_unixtime", "t_lat", "t_lng")
+    by_time = Window.partitionBy("order_id").orderBy("report_unixtime", "t_lat", "t_lng")
     return in_circle.withColumns(
         {
-            "dada_report_time": format_epoch(F.col("dada_report_unixtime"), zone),
+            "report_time": format_epoch(F.col("report_unixtime"), zone),
             "row_num": F.row_number().over(by_time).cast("long"),
         }
     )
@@ -122,7 +124,7 @@ def overdwell_orders(ranked: DataFrame, rules: DwellRules = CURRENT) -> DataFram
     """Entry rows of orders whose courier stayed in the circle too long before finishing."""
     return ranked.where(
         (F.col("row_num") == 1)
-        & (F.col("dada_report_unixtime") < F.col("finish_time_unix") - rules.overdwell_s)
+        & (F.col("report_unixtime") < F.col("finish_time_unix") - rules.overdwell_s)
     )
 
 
@@ -132,14 +134,19 @@ def without_orders(pings: DataFrame, rejected: DataFrame) -> DataFrame:
     return pings.join(rejected.select(*key), key, "left_anti").select(*pings.columns)
 
 
-def stays(in_circle: DataFrame) -> DataFrame:
+def stays(in_circle: DataFrame, orders: DataFrame) -> DataFrame:
     """One row per order: seconds from entry to finish, entry to last position, and positions."""
-    entry = F.min("dada_report_unixtime")
-    return in_circle.groupBy(*ORDER_ATTRIBUTES).agg(
-        (F.col("finish_time_unix") - entry).alias("delivery_time1"),
-        (F.max("dada_report_unixtime") - entry).alias("delivery_time2"),
+    totals = in_circle.groupBy("order_id", "order_row").agg(
+        F.min("report_unixtime").alias("_entry"),
+        F.max("report_unixtime").alias("_last"),
         F.count(F.lit(1)).alias("point_cnt"),
     )
+    return totals.join(_keyed(orders.select(*ORDER_ATTRIBUTES)), ["order_id", "order_row"]).select(
+        *ORDER_ATTRIBUTES,
+        (F.col("finish_time_unix") - F.col("_entry")).alias("delivery_time1"),
+        (F.col("_last") - F.col("_entry")).alias("delivery_time2"),
+        "point_cnt",
+    )
 
 
 def not_overdwell(rules: DwellRules = CURRENT) -> Column:
@@ -161,10 +168,10 @@ def valid_stay(rules: DwellRules = CURRENT) -> Column:
     )
 
 
-def dwell(in_circle: DataFrame, rules: DwellRules = CURRENT) -> DataFrame:
+def dwell(in_circle: DataFrame, orders: DataFrame, rules: DwellRules = CURRENT) -> DataFrame:
     """Stays that count: no over-dwell, and valid by the generation's rule."""
     return (
-        stays(in_circle)
+        stays(in_circle, orders)
         .where(not_overdwell(rules) & valid_stay(rules))
         .drop("finish_time_unix")
     )

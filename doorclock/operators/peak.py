@@ -17,14 +17,18 @@ def with_peak_class(dwell: DataFrame) -> DataFrame:
     return dwell.withColumns({"finish_hour": hour, "peek_time": peak_class(hour)})
 
 
+# Stays are counted per distinct duration first; that aggregation hashes and combines before the
+# shuffle. Means and medians then read far fewer rows, each with its number of stays.
+_STAYS = "_stays"
+
+
 def _whole_mean(value: Column) -> Column:
-    return F.avg(value).cast("int")
+    n = F.sum(F.when(value.isNotNull(), F.col(_STAYS)))
+    return F.try_divide(F.sum(value * F.col(_STAYS)).cast("double"), n).cast("int")
 
 
 def _median(value: Column) -> Column:
-    # Exact. Stays are whole seconds, so the state counts distinct durations, not rows, and a
-    # courier with very many stays does not enlarge it.
-    return F.percentile(value, 0.5)
+    return F.percentile(value, 0.5, F.col(_STAYS))
 
 
 def courier_peak(dwell: DataFrame, rules: DwellRules = CURRENT) -> DataFrame:
@@ -47,13 +51,15 @@ def courier_peak(dwell: DataFrame, rules: DwellRules = CURRENT) -> DataFrame:
     ]
     return (
         with_peak_class(dwell)
+        .groupBy("transporter_id", "city_id", "peek_time", "delivery_time1", "delivery_time2")
+        .agg(F.count(F.lit(1)).alias(_STAYS))
         .groupBy("transporter_id", "city_id")
         .agg(
-            F.count(F.lit(1)).alias("delivery_cnt"),
+            F.sum(_STAYS).alias("delivery_cnt"),
             *(first_generation if rules.peak_on == "delivery_time1" else []),
             _whole_mean(F.col("delivery_time2")).alias("avg_delivery_time2"),
             _median(F.col("delivery_time2")).alias("per_delivery_time2"),
-            *[F.count(F.when(in_class[c], 1)).alias(f"cnt_peek{c}") for c in CLASSES],
+            *[F.coalesce(F.sum(F.when(in_class[c], F.col(_STAYS))), F.lit(0).cast("long")).alias(f"cnt_peek{c}") for c in CLASSES],
             *[typical(F.when(in_class[c], stay)).alias(names[c]) for c in CLASSES],
         )
     )

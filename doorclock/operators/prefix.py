@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from doorclock.plans.staging import staged
+
 
 def running_totals(
     df: DataFrame, bucket: Column, order: list[Column], totals: dict[str, str]
@@ -40,6 +42,27 @@ def running_totals(
     )
 
 
+def falling_totals(df: DataFrame, order: str, totals: dict[str, str]) -> DataFrame:
+    """Add `totals[c]` = sum of column `c` over this row and all rows with a higher `order`.
+
+    `order` is unique and may have any range. Rows are dealt into ranges of `order` at sampled places,
+    so close values spread like any others; the totals of higher ranges come from one row per range.
+    """
+    sums = {c: f"_sum_{c}" for c in totals}
+    # Written, so that the ranges are the same wherever they are read.
+    ranged = staged(df.repartitionByRange(F.desc(order)).withColumn("_range", F.spark_partition_id()), "ranges")
+    ranges = ranged.groupBy("_range").agg(*[F.sum(c).alias(s) for c, s in sums.items()])
+    higher = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranges.select("_range", *[F.coalesce(F.sum(s).over(higher), F.lit(0)).alias(s) for s in sums.values()])
+    within = Window.partitionBy("_range").orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return (
+        ranged.withColumns({name: F.sum(c).over(within) for c, name in totals.items()})
+        .join(F.broadcast(offsets), "_range")  # as many rows as the shuffle has partitions
+        .withColumns({name: F.col(name) + F.col(sums[c]) for c, name in totals.items()})
+        .drop("_range", *sums.values())
+    )
+
+
 def key_digest_bucket(*keys: str) -> Column:
     """0..4095 from a digest of the key, so distinct keys spread evenly."""
     text = F.concat_ws("|", *[F.col(k).cast("string") for k in keys])

@@ -15,17 +15,16 @@ from doorclock.sources import tables
 
 def in_circle(
     wh: Warehouse, dates: DateRange, zone: str = S.WAREHOUSE_ZONE, rules: DwellRules = S.CURRENT
-) -> DataFrame:
+) -> tuple[DataFrame, DataFrame]:
+    """Positions in the circle, narrow, and the orders they belong to."""
     orders = tables.order_scan(wh.orders, dates, zone, rules.drop_sentinel_times)
-    return geofence.pings_in_circle(
-        orders, tables.ping_scan(wh.coords, dates), dates, zone, rules
-    )
+    return geofence.pings_in_circle(orders, tables.ping_scan(wh.coords, dates), rules), orders
 
 
 def dwell(
     wh: Warehouse, dates: DateRange, zone: str = S.WAREHOUSE_ZONE, rules: DwellRules = S.CURRENT
 ) -> DataFrame:
-    return geofence.dwell(in_circle(wh, dates, zone, rules), rules)
+    return geofence.dwell(*in_circle(wh, dates, zone, rules), rules)
 
 
 def bound(wh: Warehouse, stays: DataFrame, rules: DwellRules = S.CURRENT) -> DataFrame:
@@ -45,23 +44,32 @@ def with_courier_history(looked_up: DataFrame, courier_history: DataFrame) -> Da
     ).select(*looked_up.columns, "t_history_order_num", "t_avg_a1_time", "t_avg_a2_time")
 
 
-def with_courier_peak(rows: DataFrame, courier_peak: DataFrame) -> DataFrame:
+def with_courier(looked_up: DataFrame, courier_history: DataFrame, courier_peak: DataFrame) -> DataFrame:
+    """Courier history and peak in one join, so that a busy courier's rows can be split between tasks.
+
+    Both tables have one row per courier and city; they are joined with each other first.
+    """
     keys = ["transporter_id", "city_id"]
     values = [c for c in courier_peak.columns if c not in keys]
-    return rows.join(courier_peak, keys).select(*rows.columns, *values)
+    couriers = courier_history.select(
+        *keys,
+        F.col("history_order_num").alias("t_history_order_num"),
+        F.col("avg_a1_time").alias("t_avg_a1_time"),
+        F.col("avg_a2_time").alias("t_avg_a2_time"),
+    ).join(courier_peak, keys)
+    added = ["t_history_order_num", "t_avg_a1_time", "t_avg_a2_time", *values]
+    return looked_up.join(couriers, keys).select(*looked_up.columns, *added)
 
 
 def sample(
-    wh: Warehouse,
-    stays: DataFrame,
+    bound_rows: DataFrame,
     statistics: DataFrame,
     courier_history: DataFrame,
     courier_peak: DataFrame,
     rules: DwellRules = S.CURRENT,
 ) -> DataFrame:
     """The hand-over sample, columns in file order (older rules give their own columns)."""
-    looked_up = poi.landmark_lookup(bound(wh, stays, rules), statistics)
-    rows = with_courier_peak(with_courier_history(looked_up, courier_history), courier_peak)
+    rows = with_courier(poi.landmark_lookup(bound_rows, statistics), courier_history, courier_peak)
     return rows.select(*HANDOVER_SAMPLE) if rules.peak_on == "delivery_time2" else rows
 
 
@@ -79,4 +87,6 @@ def first_generation_sample(
     bound_rows = bound(wh, stays, rules)
     statistics = poi.poi_statistics(bound_rows, rules)
     rows = with_courier_history(poi.landmark_lookup(bound_rows, statistics), courier_history)
-    return with_courier_peak(rows, peak.courier_peak(rows, rules))
+    keys = ["transporter_id", "city_id"]
+    values = peak.courier_peak(rows, rules)
+    return rows.join(values, keys).select(*rows.columns, *[c for c in values.columns if c not in keys])

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from doorclock.functions.scaling import compress, expand
-from doorclock.operators.encoding import encoder, feature_names, per_feature
+from doorclock.operators.encoding import encoder, feature_names, largest_category, per_feature, tree_encoder
 from doorclock.operators.errors import error_report
 from doorclock.operators.sampling import split_name
 from doorclock.plans.staging import staged
@@ -39,6 +39,10 @@ def fit_encoder(rows: DataFrame, categories: list[str], numbers: list[str]) -> P
     return encoder(categories, numbers).fit(rows)
 
 
+def fit_tree_encoder(rows: DataFrame, categories: list[str], numbers: list[str]) -> PipelineModel:
+    return tree_encoder(categories, numbers).fit(rows)
+
+
 def train_duration(
     rows: DataFrame,
     label: str,
@@ -48,7 +52,7 @@ def train_duration(
     step: float = 0.1,
     seed: int = 40,
 ) -> Trained:
-    """Boosted trees on log(1 + seconds) with absolute loss."""
+    """Boosted trees on log(1 + seconds) with absolute loss. `rows` may be encoded already."""
     trainer = GBTRegressor(
         featuresCol="features",
         labelCol="_target",
@@ -56,9 +60,11 @@ def train_duration(
         maxIter=trees,
         stepSize=step,
         seed=seed,
-        checkpointInterval=10,
+        maxBins=max(32, largest_category(encode)),
+        checkpointInterval=10,  # cuts the lineage of the boosting rounds where a checkpoint folder is set
     )
-    encoded = encode.transform(rows).select("features", compress(F.col(label)).alias("_target"))
+    encoded = rows if "features" in rows.columns else encode.transform(rows)
+    encoded = encoded.select("features", compress(F.col(label)).alias("_target"))
     model = trainer.fit(encoded)
     return Trained(PipelineModel([*encode.stages, model]), feature_names(encode, numbers))
 
@@ -88,8 +94,10 @@ def train_pickup(
 ) -> dict[str, Trained]:
     """One model for riding to the shop and one for waiting there, on the same features.
 
-    Both are trained at the same time: a round is a chain of short jobs that leaves cores idle.
+    Both are trained at the same time: a round is a chain of short jobs that leaves cores idle. The
+    rows are encoded once for both.
     """
+    rows = staged(encode.transform(rows).select("features", *PICKUP_LABELS), "encoded")
     with ThreadPoolExecutor(len(PICKUP_LABELS)) as pool:
         models = pool.map(
             lambda label: train_duration(rows, label, encode, numbers, trees), PICKUP_LABELS
@@ -125,7 +133,7 @@ def train_rating(rows: DataFrame, encode: PipelineModel, numbers: list[str]) ->
         standardization=False,
         regParam=1.0 / total,
         elasticNetParam=0.0,
-        maxIter=1000,
+        maxIter=10000,
         tol=1e-4,
     ).fit(weighted)
     return Trained(PipelineModel([*encode.stages, model]), feature_names(encode, numbers))
@@ -145,6 +153,31 @@ def coefficients(trained: Trained, rows: DataFrame) -> DataFrame:
     return per_feature(rows, {"value": trained.model.coefficients}, trained.names)
 
 
+def gradient(trained: Trained, rows: DataFrame, penalty: float = 1.0) -> DataFrame:
+    """One row per coefficient: the slope of the penalised, weighted loss there, per unit of weight.
+
+    At the optimum every slope is 0 up to the solver's tolerance; the bias is not penalised.
+    """
+    names = [*trained.names, "(bias)"]
+    values = [*trained.model.coefficients.toArray().tolist(), trained.model.intercept]
+    encoded = PipelineModel(trained.pipeline.stages[:-1]).transform(rows)
+    scored = trained.model.transform(encoded.select("features", "label"))
+    weight = F.when(F.col("label") == 1, POSITIVE_WEIGHT).otherwise(NEGATIVE_WEIGHT)
+    residual = weight * (vector_to_array("probability")[1] - F.when(F.col("label") == 1, 1.0).otherwise(0.0))
+    slope = scored.select(weight.alias("weight"), residual.alias("residual"), vector_to_array("features").alias("x"))
+    terms = slope.select(
+        "weight", F.posexplode(F.transform(F.array_append("x", F.lit(1.0)), lambda x: x * F.col("residual"))).alias("at", "term")
+    )
+    sums = terms.groupBy("at").agg(F.sum("term").alias("term"), F.sum("weight").alias("weight"))
+    known = rows.sparkSession.createDataFrame(
+        [(i, n, v, 0.0 if i == len(names) - 1 else penalty) for i, (n, v) in enumerate(zip(names, values))],
+        "at int, feature string, value double, penalty double",
+    )
+    return known.join(sums, "at").select(
+        "feature", "value", ((F.col("term") + F.col("penalty") * F.col("value")) / F.col("weight")).alias("slope")
+    )
+
+
 def read_quality(lines: DataFrame, parsed: DataFrame) -> DataFrame:
     """How many lines a sample has and how many of them gave no feature row."""
     good = parsed.agg(F.count(F.lit(1))).scalar()

@@ -20,7 +20,7 @@ PICKUP_SAMPLE = [
     "a_time",
     "a1_time",
     "a2_time",
-    "dada_report_time",
+    "report_time",
     "row_num",
     "supp_lat",
     "supp_lng",

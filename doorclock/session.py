@@ -21,12 +21,18 @@ DEFAULTS = {
 }
 
 
+def apply_defaults(builder: SparkSession.Builder) -> SparkSession.Builder:
+    """The same settings for a cluster's session; set others on the builder afterwards to override."""
+    for key, value in DEFAULTS.items():
+        builder = builder.config(key, value)
+    return builder
+
+
 def local_session(app: str = "doorclock", cpus: int | None = None, **conf: str) -> SparkSession:
     """A single-machine session for tests and the benchmark."""
     cpus = cpus or int(os.environ.get("BENCH_CPUS", "8"))
-    builder = SparkSession.builder.master(f"local[{cpus}]").appName(app)
+    builder = apply_defaults(SparkSession.builder.master(f"local[{cpus}]").appName(app))
     settings = {
-        **DEFAULTS,
         "spark.sql.shuffle.partitions": str(cpus),
         "spark.driver.memory": "12g",
         "spark.ui.enabled": "false",

@@ -8,14 +8,19 @@ from pyspark.sql import functions as F
 from doorclock.functions.text import mask_null_words, split_fields, stripped
 
 
-def parse_lines(lines: DataFrame, columns: list[str], column: str = "value") -> DataFrame:
+def parse_lines(
+    lines: DataFrame, columns: list[str], column: str = "value", mask_nulls: bool = True
+) -> DataFrame:
     """Text lines as named string columns.
 
+    Null words become -1 in the samples of both phases (`mask_nulls`). The courier-rating samples keep
+    them: in a number they fail the line later, in a category they are a category.
+
     A short line gives nulls, so the feature step drops it. Blank lines are skipped: files have no
     line order in Spark, so a blank line cannot end the input.
     """
     line = stripped(F.col(column))
-    fields = split_fields(mask_null_words(line))
+    fields = split_fields(mask_null_words(line) if mask_nulls else line)
     return (
         lines.where(line != "")
         # A one-element generator: the line is split once, however many later filters read a field.
@@ -25,11 +30,11 @@ def parse_lines(lines: DataFrame, columns: list[str], column: str = "value") ->
 
 
 def read_samples(
-    spark: SparkSession, path: str, columns: list[str], limit: int = -1
+    spark: SparkSession, path: str, columns: list[str], limit: int = -1, mask_nulls: bool = True
 ) -> DataFrame:
-    """A sample file or directory; `limit` lines, or all with -1."""
+    """A sample file or directory; `limit` lines (any of them, as many as a trial needs), or all with -1."""
     lines = spark.read.text(path)
-    return parse_lines(lines if limit == -1 else lines.limit(limit), columns)
+    return parse_lines(lines if limit == -1 else lines.limit(limit), columns, mask_nulls=mask_nulls)
 
 
 def read_evaluation(spark: SparkSession, path: str, value: str, truth: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from doorclock.plans.staging import staged
 from doorclock.schemas import conformed
 
 
@@ -35,20 +36,24 @@ def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows")).where("n_rows > 1")
 
 
+def _checked(df: DataFrame, layout: dict, keys: list[str]) -> DataFrame:
+    """The table in its published layout, computed once; an error if its key or its id is not unique."""
+    table = staged(conformed(df, layout), "published")
+    for unique in (keys, ["id"]):
+        if set(unique) <= set(df.columns) and not duplicate_keys(table, unique).isEmpty():
+            raise ValueError(f"published key is not unique: {unique}")
+    return table
+
+
 def publish(df: DataFrame, layout: dict, keys: list[str], path: str) -> DataFrame:
     """Write a history table in its published layout; refuse it if its key is not unique."""
-    table = conformed(df, layout)
-    if not duplicate_keys(table, keys).isEmpty():
-        raise ValueError(f"published key is not unique: {keys}")
-    return replace_table(table, path)
+    return replace_table(_checked(df, layout, keys), path)
 
 
 def publish_jdbc(df: DataFrame, layout: dict, keys: list[str], url: str, table: str, **options: str) -> None:
-    """The same into a database table."""
-    rows = conformed(df, layout)
-    if not duplicate_keys(rows, keys).isEmpty():
-        raise ValueError(f"published key is not unique: {keys}")
-    rows.write.mode("append").format("jdbc").options(url=url, dbtable=table, **options).save()
+    """The same into a database table. The run's rows replace those of an earlier run."""
+    rows = _checked(df, layout, keys)
+    rows.write.mode("overwrite").option("truncate", "true").format("jdbc").options(url=url, dbtable=table, **options).save()
 
 
 def save_model(model: PipelineModel, path: str) -> None:
@@ -64,5 +69,40 @@ def save_importance(importance: DataFrame, path: str) -> None:
     export_csv(importance.orderBy(F.desc("value"), "feature").coalesce(1), path)
 
 
+def save_coefficients(coefficients: DataFrame, path: str) -> None:
+    """One line per encoded feature, name and value apart by a tab, in the model's order, no header."""
+    lines = coefficients.coalesce(1).select(F.concat_ws("\t", "feature", F.col("value").cast("string")).alias("value"))
+    lines.write.mode("overwrite").text(path)
+
+
+# File format: titles and widths. Fixed values.
+THRESHOLD_TITLE = "%6s%10s%10s%12s%12s%11s%8s%10s" % (
+    "prob", "neg_num", "pos_num", "pk_ratio", "accuracy", "precison", "recall", "auc"
+)
+THRESHOLD_LINE = "%6.2f%10d%10d%10.2f%%%10.2f%%%10.2f%%%10.2f%%%10.4f"
+
+
+def threshold_lines(sweep: DataFrame) -> DataFrame:
+    """The threshold sweep as report lines, the title first; as many rows as thresholds."""
+    percent = [F.col(c) * 100 for c in ("pk_ratio", "accuracy", "precision", "recall")]
+    line = F.format_string(THRESHOLD_LINE, "prob", "neg_num", "pos_num", *percent, "auc")
+    title = sweep.sparkSession.range(1).select(F.lit(-1.0).alias("_at"), F.lit(THRESHOLD_TITLE).alias("value"))
+    return title.unionByName(sweep.select(F.col("prob").alias("_at"), line.alias("value"))).orderBy("_at").select("value")
+
+
+def save_threshold_report(sweep: DataFrame, path: str) -> None:
+    threshold_lines(sweep).coalesce(1).write.mode("overwrite").text(path)
+
+
+def save_prepared(rows: DataFrame, encode: PipelineModel, folder: str, name: str) -> None:
+    """Keep a prepared sample and its fitted encoder under a name, for later runs."""
+    rows.write.mode("overwrite").parquet(f"{folder}/{name}/rows")
+    encode.write().overwrite().save(f"{folder}/{name}/encoder")
+
+
+def load_prepared(spark: SparkSession, folder: str, name: str) -> tuple[DataFrame, PipelineModel]:
+    return spark.read.parquet(f"{folder}/{name}/rows"), PipelineModel.load(f"{folder}/{name}/encoder")
+
+
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)

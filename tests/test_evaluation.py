@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from doorclock.operators import binary, errors, sampling
-from doorclock.operators.prefix import dense_ids, running_totals
+from doorclock.operators.prefix import dense_ids, falling_totals, running_totals
 
 
 def report(spark, rows, segments=None):
@@ -118,3 +118,30 @@ def test_split_and_balance(spark):
     even = df.where("id % 5 < 2").withColumn("label", F.when(F.col("id") % 5 == 0, 1).otherwise(-1))
     assert sampling.balance_ratio(even).first()["sample_type"] == 0
     assert sampling.undersampled(even, "id").count() == even.count()
+
+
+def test_percentiles_of_negative_values_and_odd_ones(spark):
+    values = [-7.0, -5.5, -5.5, -1.0, 0.0, 0.5, 9.0, -1e6]
+    df = spark.createDataFrame([(v,) for v in [*values, None, float("nan")]], "v double")
+    got = errors.exact_percentiles(df, F.col("v"), (0.1, 0.5, 0.9)).first()
+    assert [got.p10, got.p50, got.p90] == pytest.approx(np.percentile(values, [10, 50, 90]).tolist())
+
+
+def test_missing_predictions_are_counted(spark):
+    got = report(spark, [(1.0, 2.0, "a"), (None, 2.0, "a"), (3.0, None, "a"), (5.0, 0.0, "a")])["all"]
+    assert (got["n"], got["n_missing"], got["n_zero_truth"]) == (2, 2, 1)
+
+
+@pytest.mark.parametrize("low, width", [(1e-4, 1e-6), (-50.0, 100.0)])
+def test_close_scores_and_margins_spread_over_ranges(spark, low, width):
+    rng = random.Random(3)
+    rows = [(i, rng.choice([1, -1]), low + width * rng.random()) for i in range(4000)]
+    df = spark.createDataFrame(rows, "id long, label int, score double")
+    plus, minus = ([s for _, label, s in rows if label == k] for k in (1, -1))
+    order = np.sort(minus)
+    wins = sum(np.searchsorted(order, s) for s in plus)
+    assert binary.auc(df).first().auc == pytest.approx(wins / len(plus) / len(minus), rel=1e-9)
+    counts = falling_totals(df.groupBy("score").count(), "score", {"count": "through"}).withColumn("at", F.spark_partition_id())
+    assert counts.where("through = 4000").count() == 1
+    points = binary.roc_points(df)
+    assert points.agg(F.max("tp"), F.max("fp")).first() == (len(plus), len(minus))

@@ -27,9 +27,7 @@ def order(i, courier, fetch, finish, lat=30.0, lng=120.0):
 
 
 def in_circle(spark, orders, pings, rules=S.CURRENT):
-    return geofence.pings_in_circle(
-        spark.createDataFrame(orders, ORDER), spark.createDataFrame(pings, PING), DATES, "UTC", rules
-    )
+    return geofence.pings_in_circle(spark.createDataFrame(orders, ORDER), spark.createDataFrame(pings, PING), rules)
 
 
 def test_window_and_circle_edges(spark):
@@ -44,10 +42,10 @@ def test_window_and_circle_edges(spark):
         (7, 30.0, 120.0, finish + 121),  # out
         (8, 30.0, 120.0, finish),  # another courier
     ]
-    got = in_circle(spark, [order(1, 7, fetch, finish)], pings).select("dada_report_unixtime").collect()
+    got = in_circle(spark, [order(1, 7, fetch, finish)], pings).select("report_unixtime").collect()
     assert sorted(t for (t,) in got) == [fetch + 1, finish, finish + 120]
     first = in_circle(spark, [order(1, 7, fetch, finish)], pings, S.FIRST_GENERATION)
-    assert sorted(r["dada_report_unixtime"] for r in first.collect()) == [fetch + 1, finish]
+    assert sorted(r["report_unixtime"] for r in first.collect()) == [fetch + 1, finish]
 
 
 def test_geofence_join_agrees_with_brute_force(spark):
@@ -82,7 +80,7 @@ def test_geofence_join_agrees_with_brute_force(spark):
         for p in pings
         if o[1] == p[0] and o[4] < p[3] <= o[5] + 120 and metres(o[8], o[7], p[2], p[1]) < 80
     )
-    got = in_circle(spark, orders, pings).select("order_id", "dada_report_unixtime", "t_lat").collect()
+    got = in_circle(spark, orders, pings).select("order_id", "report_unixtime", "t_lat").collect()
     assert len(expected) > 250
     assert sorted(map(tuple, got)) == expected
 
@@ -102,25 +100,65 @@ def test_dwell_rules(spark):
         at(5, finish - 801, finish + 60),  # over-dwell: dropped
         at(6, finish - 800, finish + 60),  # exactly the limit: kept
     ]
+    orders = spark.createDataFrame([o for o, _ in cases], ORDER)
     found = in_circle(spark, [o for o, _ in cases], [p for _, ps in cases for p in ps])
-    got = {r["order_id"]: (r["delivery_time1"], r["delivery_time2"], r["point_cnt"]) for r in geofence.dwell(found).collect()}
+    got = {r["order_id"]: (r["delivery_time1"], r["delivery_time2"], r["point_cnt"]) for r in geofence.dwell(found, orders).collect()}
     assert got == {1: (200, 260, 2), 6: (800, 860, 2)}
-    older = geofence.dwell(found, S.FIRST_GENERATION).collect()
+    older = geofence.dwell(found, orders, S.FIRST_GENERATION).collect()
     assert {r["order_id"] for r in older} == {1, 2, 3, 4, 6}
 
 
 def test_one_pass_dwell_equals_the_stepwise_flow(spark, tiny):
-    found = phase_c.in_circle(fx.warehouse(spark, tiny), fx.DATES, fx.ZONE)
-    ranked = geofence.ranked_pings(found, fx.ZONE)
+    found, orders = phase_c.in_circle(fx.warehouse(spark, tiny), fx.DATES, fx.ZONE)
+    ranked = geofence.ranked_pings(geofence.with_orders(found, orders), fx.ZONE)
     rejected = geofence.overdwell_orders(ranked)
     kept = geofence.without_orders(ranked, rejected)
-    stepwise = geofence.stays(kept).where(geofence.valid_stay()).drop("finish_time_unix")
-    fused = geofence.dwell(found)
+    narrow = found.join(kept.select("order_id").distinct(), "order_id", "left_semi")
+    stepwise = geofence.stays(narrow, orders).where(geofence.valid_stay()).drop("finish_time_unix")
+    fused = geofence.dwell(found, orders)
     assert sorted(map(tuple, stepwise.collect())) == sorted(map(tuple, fused.collect()))
     gone = {r["order_id"] for r in rejected.select("order_id").collect()}
     assert gone and not gone & {r["order_id"] for r in kept.select("order_id").distinct().collect()}
 
 
+def test_windows_of_days_find_late_positions(spark):
+    day, finish = 86400, BASE + 20 * 86400
+    lengths = {1: 6, 2: 8, 3: 7, 4: 400, 5: 0}
+    orders = [order(i, 7, finish - days * day - 60, finish) for i, days in lengths.items()]
+    pings = [(7, 30.0, 120.0, finish - k * day // 2) for k in range(800)]
+    got = in_circle(spark, orders, pings).groupBy("order_id").count().collect()
+    want = {i: sum(finish - d * day - 60 < t <= finish + 120 for _, _, _, t in pings) for i, d in lengths.items()}
+    assert {r["order_id"]: r["count"] for r in got} == want
+    plan = in_circle(spark, orders, pings)._jdf.queryExecution().optimizedPlan().toString()
+    assert "sequence" in plan and str(geofence.ALL_TIME) in plan
+
+
+def test_orders_that_share_an_id_keep_their_own_stay(spark):
+    orders = [order(1, 7, BASE, BASE + 500), order(1, 8, BASE, BASE + 900)]
+    pings = [(7, 30.0, 120.0, BASE + 400), (7, 30.0, 120.0, BASE + 550), (8, 30.0, 120.0, BASE + 700), (8, 30.0, 120.0, BASE + 950)]
+    got = geofence.dwell(in_circle(spark, orders, pings), spark.createDataFrame(orders, ORDER)).collect()
+    assert sorted((r.transporter_id, r.delivery_time1, r.delivery_time2) for r in got) == [(7, 100, 150), (8, 200, 250)]
+
+
+def test_one_row_per_delivery_id_of_the_row_that_owns_the_position(spark):
+    schema = "delivery_id long, transporter_id long, accept_time_unix long, fetch_time_unix long"
+    deliveries = spark.createDataFrame([(1, 7, BASE, BASE + 50), (1, 8, BASE + 100, BASE + 400), (2, 7, BASE, BASE + 3 * 86400)], schema)
+    pings = spark.createDataFrame([(7, 1.0, 1.0, BASE + 60), (8, 2.0, 2.0, BASE + 90), (8, 3.0, 3.0, BASE + 300)], PING)
+    got = first_ping.first_pings(deliveries, pings).collect()
+    assert sorted((r.delivery_id, r.transporter_id, r.log_time) for r in got) == [(1, 8, BASE + 300), (2, 7, BASE + 60)]
+
+
+def test_first_position_after_days(spark):
+    schema = "delivery_id long, transporter_id long, accept_time_unix long, fetch_time_unix long"
+    rng = random.Random(8)
+    trips = [(i, i % 4, BASE + rng.randrange(9 * 86400), 0) for i in range(120)]
+    trips = [(i, c, a, a + rng.choice([300, 5000, 90000, 500000])) for i, c, a, _ in trips]
+    pings = [(rng.randrange(4), float(k % 3), 1.0, BASE + rng.randrange(12 * 86400)) for k in range(60)]
+    want = {i: min(h)[0] for i, c, a, f in trips if (h := [(t, lat, lng) for u, lat, lng, t in pings if u == c and a <= t <= f])}
+    got = first_ping.first_pings(spark.createDataFrame(trips, schema), spark.createDataFrame(pings, PING)).collect()
+    assert {r.delivery_id: r.log_time for r in got} == want
+
+
 def test_first_pings_agree_with_brute_force(spark):
     rng = random.Random(5)
     trips = []

@@ -1,33 +1,13 @@
 """Registered queries against their SQL, and the shape of their plans."""
 
-import os
-
 import duckdb
 import pytest
 
 import check_queries
 from __spark_entry__ import entry, oracle_sql, queries
+from catalog import QUERIES
 
-NO_SQL = {"gbt_train_score", "gbt_pickup_report", "lr_train_score", "lr_coefficients"}
-# One query per kind of operator; all of them with DOORCLOCK_ALL=1.
-CHECKED = [
-    "c_valid_pings",
-    "c_dwell",
-    "c_sample",
-    "c_sample_first_generation",
-    "funnel_audit",
-    "a_sample",
-    "supplier_history_single_city",
-    "ab_error_report",
-    "ab_join_c",
-    "threshold_sweep",
-    "address_floor",
-    "unix_time_text",
-    "json_nested",
-    "onehot_counts",
-]
-if os.environ.get("DOORCLOCK_ALL"):
-    CHECKED = sorted(set(queries()) - NO_SQL)
+CHECKED = sorted(QUERIES)
 
 
 @pytest.fixture(scope="module")
@@ -38,8 +18,9 @@ def connection(tiny):
     return db
 
 
-def test_every_query_has_sql_but_the_models():
-    assert set(queries()) - set(oracle_sql()) == NO_SQL
+def test_every_query_has_sql():
+    assert all(q.sql() for q in QUERIES.values())
+    assert set(QUERIES) <= set(queries()) and set(QUERIES) <= set(oracle_sql())
 
 
 @pytest.mark.parametrize("name", CHECKED)
@@ -59,9 +40,19 @@ def test_plans_have_no_cross_join_and_no_python(spark, tiny, name):
         assert node not in plan
 
 
-def test_geofence_join_is_sort_merge_on_courier_hour_and_cell(spark, tiny):
+def test_geofence_join_is_sort_merge_on_courier_block_and_cell(spark, tiny):
     plan = plan_of(entry(spark))
-    join = next(line for line in plan.splitlines() if "SortMergeJoin" in line)
-    keys = join.split("SortMergeJoin")[1]
-    for key in ("user_id", "_p_bucket", "_p_lat_cell", "_p_lng_cell"):
-        assert key in keys
+    keys = [line.split("SortMergeJoin")[1] for line in plan.splitlines() if "SortMergeJoin" in line]
+    assert any(all(k in line for k in ("user_id", "_p_block", "_p_lat_cell", "_p_lng_cell")) for line in keys)
+
+
+def test_one_delivery_scan_and_no_rows_per_slot(spark, tiny):
+    plan = queries()["a_first_ping"](spark, tiny)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("delivery_status") == 0 or "sequence(floor" not in plan.replace(" ", "")
+
+
+def test_durations_are_counted_by_hash_before_medians(spark, tiny):
+    plan = plan_of(queries()["courier_peak"](spark, tiny))
+    first = plan.index("percentile(")
+    assert "HashAggregate(keys=[transporter_id" in plan[first:].replace("ObjectHashAggregate", "")
+    assert "delivery_time2" in plan[first:].split("HashAggregate(keys=[transporter_id")[-1]

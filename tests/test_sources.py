@@ -1,10 +1,12 @@
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
 from catalog.pipelines import pickup_sample
 from doorclock import schemas
 from doorclock.operators import features
-from doorclock.plans import training
+from doorclock.plans import staging, training
 from doorclock.sources import delimited, sinks
 
 
@@ -70,3 +72,56 @@ def test_partition_pruning_reaches_the_scan(spark, tiny, tmp_path):
     plan = scanned._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(create_dt" in plan and "order_status" in plan.split("PushedFilters")[1]
     assert {str(r[0]) for r in scanned.select("create_dt").distinct().collect()} == {"2024-01-02", "2024-01-03"}
+
+
+def test_rating_lines_keep_null_words(spark):
+    lines = spark.createDataFrame([("1\tNULL\tNone",)], "value string")
+    assert tuple(delimited.parse_lines(lines, ["a", "b", "c"], mask_nulls=False).first()) == ("1", "NULL", "None")
+    assert tuple(delimited.parse_lines(lines, ["a", "b", "c"]).first()) == ("1", "-1", "-1")
+
+
+def test_prepared_sample_comes_back(spark, tmp_path):
+    rows = spark.createDataFrame([("x", 1.0), ("y", 2.0)], "city string, n double")
+    encode = training.fit_encoder(rows, ["city"], ["n"])
+    sinks.save_prepared(rows, encode, str(tmp_path), "small")
+    again, loaded = sinks.load_prepared(spark, str(tmp_path), "small")
+    assert sorted(again.collect()) == sorted(rows.collect())
+    assert sorted(map(str, loaded.transform(again).collect())) == sorted(map(str, encode.transform(rows).collect()))
+
+
+def test_coefficient_lines(spark, tmp_path):
+    df = spark.createDataFrame([("b=1", 0.5), ("a", -2.0)], "feature string, value double")
+    sinks.save_coefficients(df, str(tmp_path / "coef"))
+    assert [r.value for r in spark.read.text(str(tmp_path / "coef")).collect()] == ["b=1\t0.5", "a\t-2.0"]
+
+
+class Session:
+    """As much of a session as the choice of a stage folder reads."""
+
+    def __init__(self, master, **conf):
+        self.sparkContext, self.master = self, master
+        self.conf = self
+        self._conf = conf
+
+    def getConf(self):
+        return self
+
+    def get(self, key, default=None):
+        return self._conf.get(key.replace(".", "_"), default)
+
+
+def test_stage_folder():
+    assert staging.stage_folder(Session("yarn", spark_checkpoint_dir="hdfs://x/y/")) == "hdfs://x/y"
+    assert staging.stage_folder(Session("yarn", spark_checkpoint_dir="file:///mnt/shared")) == "file:///mnt/shared"
+    assert staging.stage_folder(Session("local[4]", spark_sql_warehouse_dir="file:/w")) == "file:/w/_stages"
+    for master in ("yarn", "spark://h:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError):
+            staging.stage_folder(Session(master))
+
+
+def test_staged_tables_are_read_back_and_dropped(spark, tmp_path):
+    table = staging.staged(spark.range(5).selectExpr("id", "cast(null as string) as t"), "five")
+    files = table.inputFiles()
+    assert table.count() == 5 and files
+    staging.dropped(table)
+    assert not any(Path(f.removeprefix("file://")).exists() for f in files)
