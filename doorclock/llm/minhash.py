@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from doorclock.llm.linking import chunked, complete_groups, components, stars
 from doorclock.llm.shingles import C1, scrambled, shingle_sets
 from doorclock.llm.substrings import _slices, _texts
-from doorclock.plans.staging import released, staged
+from doorclock.plans.staging import dropped, released, staged
 
 BITS = 4
 SLICE_BYTES = 1 << 20
@@ -180,12 +180,14 @@ def verdicts(docs: DataFrame, settings: Settings = Settings(), text: str = "text
     pairs = stars(nodes.select("node", "buckets").mapInArrow(bucketed, "node long, bucket long"))
     clusters = staged(components(pairs).withColumnRenamed("component", "cluster"), "clusters")
     released(spark)
-    links = _confirmed(rows, chunked(clusters, settings.chunk, "cluster"), settings)
+    links, spent = _confirmed(rows, chunked(clusters, settings.chunk, "cluster"), settings)
     # Rows that share an id are one document.
     again = able.join(nodes.select("d1", "d2", "n_shingles", "node"), ["d1", "d2", "n_shingles"])
     several = again.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("_b")).where("a < _b")
     same = again.join(several, "doc_id").select("a", F.col("node").alias("b"))
     roots = components(links.unionByName(same))
+    for table in (clusters, *spent):
+        dropped(table)
     known = again.groupBy("doc_id").agg(F.min("node").alias("node")).join(roots, "node", "left").select(
         "doc_id", F.coalesce("component", "node").alias("component_id")
     )
@@ -195,8 +197,11 @@ def verdicts(docs: DataFrame, settings: Settings = Settings(), text: str = "text
     )
 
 
-def _confirmed(rows: DataFrame, members: DataFrame, settings: Settings) -> DataFrame:
-    """Links (a, b), confirmed on full sets, that connect what is similar inside each cluster."""
+def _confirmed(rows: DataFrame, members: DataFrame, settings: Settings) -> tuple[DataFrame, list[DataFrame]]:
+    """Links (a, b), confirmed on full sets, that connect what is similar inside each cluster.
+
+    Also the staged tables they are made of, to be dropped when the links have been read.
+    """
     cut = cut_off(settings)
 
     def loaded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,7 +228,8 @@ def _confirmed(rows: DataFrame, members: DataFrame, settings: Settings) -> DataF
         dealt = df.repartition(*keys).sortWithinPartitions(*keys)
         return dealt.mapInPandas(lambda it: compared(it, list(keys)), "a long, b long")
 
-    text = rows.join(members, F.col("doc_id") == F.col("node")).select("node", "cluster", "n_chunks", "chunk", "text")
+    # A merge join at any size: members grow with the corpus, and texts move once either way.
+    text = rows.join(members.hint("merge"), F.col("doc_id") == F.col("node")).select("node", "cluster", "n_chunks", "chunk", "text")
     full = staged(text.mapInArrow(loaded, MEMBERS), "cluster_sets")
     # The cluster's least node, its name, is in every chunk.
     shared = full.where("node = cluster and n_chunks > 1").withColumn("_own", F.col("chunk"))
@@ -249,7 +255,7 @@ def _confirmed(rows: DataFrame, members: DataFrame, settings: Settings) -> DataF
     inside = left.withColumns({"piece": F.explode(F.sequence(F.lit(0), pieces - 1)), "tested": F.lit(False)})
     wanted = ["node", "cluster", "chunk", "piece", "bits", "shingles", "part", "tested"]
     rest = blocks(outside.select(*wanted).unionByName(inside.select(*wanted)), "cluster", "chunk", "piece")
-    return links.unionByName(rest)
+    return links.unionByName(rest), [full, links, parts]
 
 
 def query(spark, sf_dir: str) -> DataFrame:
