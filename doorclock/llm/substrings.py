@@ -26,14 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from doorclock.llm.columns import packed, unpacked
 from doorclock.llm.linking import complete_groups
 from doorclock.llm.suffixes import common_prefixes, suffix_array
 from doorclock.plans.staging import released, staged
 
 LENGTH, GRAM = 100, 32
 REACH = LENGTH - GRAM + 1
-SLICE_BYTES = 1 << 20
+SLICE_BYTES, BATCH_BYTES = 1 << 20, 8 << 20
 BUCKET_BYTES = 4 << 20
 SPLIT = 50_000
 KEY_MASK = np.uint64(2**56 - 1)
@@ -136,7 +135,7 @@ def _first_of_equals(runs: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarra
 
 def _texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string column end to end, and the size of each text."""
-    column = column.cast(pa.large_string())
+    column = column.fill_null("").cast(pa.large_string())
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
     raw = column.buffers()[2]
     data = np.frombuffer(raw, np.uint8) if raw is not None and raw.size else np.zeros(0, np.uint8)
@@ -158,24 +157,32 @@ def cut(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBa
     for batch in batches:
         data, sizes = _texts(batch.column("text"))
         ids, hashes = batch.column("id").to_numpy(), batch.column("hash").to_numpy()
-        upto, parts = np.concatenate([[0], np.cumsum(sizes)]), []
-        for at, end in _slices(sizes, SLICE_BYTES):
-            text, *rest = anchor_runs(data[upto[at] : upto[end]], sizes[at:end])
-            parts.append((text + at, *rest))
-        if not parts:
-            continue
-        text, start, n, anchor, digest = (np.concatenate(c) for c in zip(*parts, strict=True))
-        bucket = ((anchor >> np.uint64(40)) % np.uint64(buckets)).astype(np.int32)
-        runs = {"key": anchor & KEY_MASK, "digest": digest & np.uint64(2**48 - 1), "id": ids[text], "hash": hashes[text], "start": start, "n": n}
-        order, repeats = _first_of_equals(runs)
-        for kind, chosen in ((0, order[~repeats]), (1, order[repeats])):
-            chosen = chosen[np.lexsort((runs["start"][chosen], runs["id"][chosen], bucket[chosen]))]
-            cuts = np.flatnonzero(np.diff(bucket[chosen], prepend=-1, append=-1))
-            blobs = [packed_runs({c: v[chosen[a:b]] for c, v in runs.items()}) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(bucket[chosen[cuts[:-1]]], pa.int32()), pa.array(np.full(len(blobs), kind, np.int32)), pa.array(blobs, pa.binary())],
-                ["bucket", "repeated", "runs"],
-            )
+        upto = np.concatenate([[0], np.cumsum(sizes)])
+        for low, high in _slices(sizes, BATCH_BYTES):
+            parts = []
+            for at, end in _slices(sizes[low:high], SLICE_BYTES):
+                at, end = at + low, end + low
+                text, *rest = anchor_runs(data[upto[at] : upto[end]], sizes[at:end])
+                parts.append((text + at, *rest))
+            text, start, n, anchor, digest = (np.concatenate(c) for c in zip(*parts, strict=True))
+            bucket = ((anchor >> np.uint64(40)) % np.uint64(buckets)).astype(np.int32)
+            yield from _dealt(bucket, {
+                "key": anchor & KEY_MASK, "digest": digest & np.uint64(2**48 - 1),
+                "id": ids[text], "hash": hashes[text], "start": start, "n": n,
+            })
+
+
+def _dealt(bucket: np.ndarray, runs: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Runs of neighbouring documents packed by bucket, those after an equal one apart."""
+    order, repeats = _first_of_equals(runs)
+    for kind, chosen in ((0, order[~repeats]), (1, order[repeats])):
+        chosen = chosen[np.lexsort((runs["start"][chosen], runs["id"][chosen], bucket[chosen]))]
+        cuts = np.flatnonzero(np.diff(bucket[chosen], prepend=-1, append=-1))
+        blobs = [packed_runs({c: v[chosen[a:b]] for c, v in runs.items()}) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(bucket[chosen[cuts[:-1]]], pa.int32()), pa.array(np.full(len(blobs), kind, np.int32)), pa.array(blobs, pa.binary())],
+            ["bucket", "repeated", "runs"],
+        )
 
 
 SPANS = "id long, hash int, start long, n long, bucket int, key long, parts int"
@@ -212,7 +219,7 @@ def fetched(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Reco
     for batch in batches:
         out: list[tuple] = []
         for ident, hash_, text, asks in zip(*(batch.column(c) for c in ("id", "hash", "text", "asks")), strict=True):
-            data = text.as_py().encode()
+            data = (text.as_py() or "").encode()
             ident, hash_ = ident.as_py(), hash_.as_py()
             for ask in asks.as_py():
                 start, n, bucket, key, parts = (ask[c] for c in ("start", "n", "bucket", "key", "parts"))
@@ -305,7 +312,7 @@ def _removal(as_text: bool):
         for texts, spans in batches:
             out = []
             for text, gone in zip(texts, spans, strict=True):
-                data = text.encode()
+                data = (text or "").encode()
                 if gone is None or not len(gone):
                     kept, n_removed, n_spans = data, 0, 0
                 else:
@@ -320,11 +327,13 @@ def _removal(as_text: bool):
 def deduplicated(docs: DataFrame, text: str = "text", key: str = "doc_id", as_text: bool = False) -> DataFrame:
     """Every document with `kept` (the bytes left, or the text), `n_bytes`, `n_removed` and `n_spans`."""
     spark = docs.sparkSession
-    rows = packed(docs)
-    own = F.col("row").getField(text)
-    rows = rows.select(
-        "row", F.coalesce(F.col("row").getField(key).cast("long"), F.lit(LAST)).alias("id"),
-        (F.pmod(F.xxhash64(own), F.lit(2**24))).cast("int").alias("hash"), F.coalesce(own, F.lit("")).alias("text"),
+    # The text is a column of its own, once, and not part of the rest that shuffles carry along.
+    rest = [c for c in docs.columns if c != text]
+    own = F.col(f"`{text}`")
+    rows = docs.select(
+        F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in rest]).alias("row"),
+        F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(LAST)).alias("id"),
+        (F.pmod(F.xxhash64(own), F.lit(2**24))).cast("int").alias("hash"), own.alias("text"),
     )
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(64, -(-total // BUCKET_BYTES))
@@ -335,17 +344,18 @@ def deduplicated(docs: DataFrame, text: str = "text", key: str = "doc_id", as_te
     released(spark)
 
     asked = spans.where("bucket is not null").groupBy("id", "hash").agg(F.collect_list(F.struct("start", "n", "bucket", "key", "parts")).alias("asks"))
-    wanted = rows.join(asked, ["id", "hash"]).mapInArrow(lambda it: fetched(it, buckets), SNIPPETS)
+    wanted = rows.select("id", "hash", "text").join(asked, ["id", "hash"]).mapInArrow(lambda it: fetched(it, buckets), SNIPPETS)
     found = wanted.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(compared, "id long, hash int, start long, n long")
     gone = spans.where("bucket is null").select("id", "hash", "start", "n").unionByName(found)
     gone = gone.groupBy("id", "hash").agg(F.collect_list(F.struct("start", "n")).alias("gone"))
 
-    joined = rows.join(gone, ["id", "hash"], "left")
-    result = joined.withColumn("_kept", _removal(as_text)(F.col("text"), F.col("gone")))
-    return unpacked(result, docs.columns, {
-        "kept": F.col("_kept.kept"), "n_bytes": F.octet_length("text").cast("long"),
+    joined = rows.join(gone, ["id", "hash"], "left").withColumn("_kept", _removal(as_text)(F.col("text"), F.col("gone")))
+    added = {
+        "kept": F.col("_kept.kept"), "n_bytes": F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"),
         "n_removed": F.col("_kept.n_removed"), "n_spans": F.col("_kept.n_spans"),
-    })
+    }
+    own = {c: F.col("text") if c == text else F.col("row").getField(c) for c in docs.columns if c not in added}
+    return joined.select(*[c.alias(name) for name, c in (own | added).items()])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
