@@ -8,6 +8,8 @@ driver's process ends.
 
 from __future__ import annotations
 
+import gc
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -49,8 +51,11 @@ def dropped(df: DataFrame) -> None:
 
 
 def released(spark: SparkSession) -> None:
-    """Let Spark remove the shuffle files of steps that are staged by now and that nothing refers to."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark remove the shuffle files of steps that are staged by now and that nothing refers to.
+
+    Its cleaner learns of them from the collector, and the objects that hold them go in two rounds.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
