@@ -37,7 +37,6 @@ def delivery_history_base(spark, sf):
     "ping_scan",
     """select user_id, lat, lng, logging_unixtime as log_time
     from coords where log_dt >= '2024-01-01' and log_dt <= '2024-02-01' and lat > 0 and lng > 0""",
-    {"lat": 9, "lng": 9},
 )
 def ping_scan(spark, sf):
     return tables.ping_scan(fx.warehouse(spark, sf).coords, D, positive_only=True)
