@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from doorclock import settings as S
 from doorclock.functions.times import date_of_epoch, epoch_of_ntz, format_epoch
-from doorclock.plans.staging import stage_folder, staged
+from doorclock.plans.staging import staged
 
 ZONE = "UTC"
 DATES = S.DateRange("2024-01-01", "2024-02-01")
@@ -323,10 +321,8 @@ def prepare(spark: SparkSession, sf_dir: str) -> None:
     wh = DerivedWarehouse(stored["trips"])
     for name in DerivedWarehouse._tables:
         table = getattr(wh, name)
-        path = f"{stage_folder(spark)}/bench-{name}-{uuid.uuid4().hex}"
         date = _DATES_OF.get(name)
-        (table.repartition(date).write.partitionBy(date) if date else table.write).parquet(path)
-        stored[name] = spark.read.schema(table.schema).parquet(path)
+        stored[name] = staged(table.repartition(date) if date else table, f"bench-{name}", date)
     _PREPARED[spark.sparkContext.applicationId, sf_dir] = stored
 
 
