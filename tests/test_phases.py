@@ -148,6 +148,15 @@ def test_one_row_per_delivery_id_of_the_row_that_owns_the_position(spark):
     assert sorted((r.delivery_id, r.transporter_id, r.log_time) for r in got) == [(1, 8, BASE + 300), (2, 7, BASE + 60)]
 
 
+def test_deliveries_are_scanned_once_and_not_repeated(spark, tmp_path):
+    schema = "delivery_id long, transporter_id long, accept_time_unix long, fetch_time_unix long"
+    spark.createDataFrame([(1, 7, BASE, BASE + 9 * 86400)], schema).write.parquet(str(tmp_path / "d"))
+    spark.createDataFrame([(7, 1.0, 1.0, BASE + 60)], PING).write.parquet(str(tmp_path / "p"))
+    found = first_ping.first_pings(spark.read.parquet(str(tmp_path / "d")), spark.read.parquet(str(tmp_path / "p")))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet [delivery_id") == 1 and "Generate" not in plan and "Join" not in plan
+
+
 def test_first_position_after_days(spark):
     schema = "delivery_id long, transporter_id long, accept_time_unix long, fetch_time_unix long"
     rng = random.Random(8)

@@ -46,11 +46,6 @@ def test_geofence_join_is_sort_merge_on_courier_block_and_cell(spark, tiny):
     assert any(all(k in line for k in ("user_id", "_p_block", "_p_lat_cell", "_p_lng_cell")) for line in keys)
 
 
-def test_one_delivery_scan_and_no_rows_per_slot(spark, tiny):
-    plan = queries()["a_first_ping"](spark, tiny)._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("delivery_status") == 0 or "sequence(floor" not in plan.replace(" ", "")
-
-
 def test_durations_are_counted_by_hash_before_medians(spark, tiny):
     plan = plan_of(queries()["courier_peak"](spark, tiny))
     first = plan.index("percentile(")
