@@ -34,9 +34,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the byte strings that occur earlier; halves of characters at the cuts go too."""
-    left = substrings.deduplicated(packed(docs).select("row", "row.doc_id", "row.text"), as_text=True)
+    rest = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")])
+    left = substrings.deduplicated(docs.select("doc_id", "text", rest.alias("row")), as_text=True)
     text = F.when(F.col("text").isNotNull(), F.col("kept"))
-    return left.select(F.col("row").withField("text", text).alias("row")).select("row.*")
+    own = {"doc_id": F.col("doc_id"), "text": text}
+    return left.select(*[own.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -93,7 +93,9 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
         "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
         "n_repeat_words": _repeat_words(found),
     }
-    return unpacked(rows, docs.columns, measures)
+    # A one-row generator: each measure is computed once, whatever later filters and columns read of it.
+    once = F.explode(F.array(F.struct(*[value.alias(name) for name, value in measures.items()]))).alias("_measured")
+    return unpacked(rows.select("row", once), docs.columns, {name: F.col("_measured").getField(name) for name in measures})
 
 
 def base_failed(rules: QualityRules = RULES) -> Column:
@@ -123,17 +125,18 @@ def beta_prior(hosts: DataFrame) -> tuple[float, float]:
     return mean * strength, (1 - mean) * strength
 
 
-def host_verdicts(rows: DataFrame, host: str = "source", rules: QualityRules = RULES) -> DataFrame:
-    """Add `host_docs`, `host_failed`, `host_rate` (shrunk), `host_failing` and `kept`.
-
-    `rows` come from `measured` with `base_failed`, and are read twice: stage them before.
-    """
+def host_counts(rows: DataFrame, host: str = "source") -> DataFrame:
+    """(host, host_docs, host_failed) of measured rows with `base_failed`."""
     counts = rows.groupBy(F.col(host).alias("host")).agg(
         F.count(F.lit(1)).alias("host_docs"),
         F.sum(F.col("base_failed").cast("long")).alias("host_failed"),
     )
-    # Written first, so that its measured size decides between a broadcast and a merge join.
-    hosts = staged(counts, "hosts")
+    # Written, so that its measured size decides between a broadcast and a merge join.
+    return staged(counts, "hosts")
+
+
+def host_verdicts(rows: DataFrame, hosts: DataFrame, host: str = "source", rules: QualityRules = RULES) -> DataFrame:
+    """Add `host_docs`, `host_failed`, `host_rate` (shrunk), `host_failing` and `kept`."""
     a, b = beta_prior(hosts)
     rate = (F.col("host_failed") + F.lit(a)) / (F.col("host_docs") + F.lit(a + b))
     joined = packed(rows).join(hosts, F.col("row").getField(host).eqNullSafe(F.col("host")))
@@ -148,15 +151,21 @@ def host_verdicts(rows: DataFrame, host: str = "source", rules: QualityRules = R
 
 
 def judged(docs: DataFrame, text: str = "text", host: str = "source", rules: QualityRules = RULES) -> DataFrame:
-    """Every document with its measurements and both verdicts. The text column stays if asked for."""
+    """Every document with its measurements and both verdicts.
+
+    Texts are measured twice, once for the hosts' counts and once for the result: that is less to pay
+    than a copy of all texts on disk.
+    """
+    narrow = measured(docs.select(text, host), text).withColumn("base_failed", base_failed(rules))
     rows = measured(docs, text).withColumn("base_failed", base_failed(rules))
-    return host_verdicts(staged(rows, "measured"), host, rules)
+    return host_verdicts(rows, host_counts(narrow, host), host, rules)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
-    rows = measured(docs).drop("text").withColumn("base_failed", base_failed())
-    return host_verdicts(staged(rows, "measured")).select(
+    # Without the texts, the measurements are a narrow table that is written once.
+    rows = staged(measured(docs).drop("text").withColumn("base_failed", base_failed()), "measured")
+    return host_verdicts(rows, host_counts(rows)).select(
         "doc_id", *MEASURES, "base_failed", "kept", "host_docs", "host_failed",
         F.round("host_rate", 6).alias("host_rate"),
     )
