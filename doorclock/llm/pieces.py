@@ -1,6 +1,6 @@
 """SentencePiece encoding and decoding by suffix-array matching.
 
-Of the texts of a batch, the distinct segments (a word with the blanks before it) are laid end to end and
+Of the texts of a batch, the new distinct segments (a word with the blanks before it) are laid end to end and
 indexed by a suffix array; every piece of the vocabulary is looked up in it by binary search, and its
 range of the array is the list of its occurrences. Each occurrence is an edge from its first to its
 last position. Edges are sorted by position and relaxed from left to right: position by position, the
@@ -22,6 +22,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -36,15 +37,27 @@ MARK = "▁"
 SEGMENT = re.compile(" +[^ \n]*|\n+|[^ \n]+")
 PART_CHARS = 2 << 20
 MEMORY_BITS = 21
+REMEMBERED = 600_000
 START, CHARACTER = -1, -2
 
 
 @dataclass
 class Vocabulary:
-    """Texts of pieces (blanks as blanks), ranks (the least is merged first) and byte pieces."""
+    """Texts of pieces (blanks as blanks), their merges and byte pieces.
+
+    `rank` orders merges, the least first; single characters, which are there from the start, have -1.
+    `left` and `right` are the pieces whose merge made a piece; a `steady` piece was made by merges of
+    rising rank. `pairs` are all pieces that can meet, as left * size + right in ascending order, with
+    the rank of what they make.
+    """
 
     texts: list[str]
-    ranks: list[float]
+    rank: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+    steady: np.ndarray
+    pairs: np.ndarray
+    pair_ranks: np.ndarray
     byte_ids: list[int]
     unknown: int
 
@@ -53,27 +66,69 @@ class Vocabulary:
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
-        texts, ranks, byte_ids = [], [], [-1] * 256
+        texts, scores, byte_ids = [], [], [-1] * 256
         for i in range(model.vocab_size()):
             piece = model.id_to_piece(i)
             special = model.is_control(i) or model.is_unknown(i) or model.is_unused(i)
             if model.is_byte(i):
                 byte_ids[int(piece[3:5], 16)] = i
             texts.append("" if special or model.is_byte(i) else piece.replace(MARK, " "))
-            ranks.append(-model.get_score(i))
+            scores.append(model.get_score(i))
+        return cls.of(texts, scores, byte_ids, model.unk_id())
+
+    @classmethod
+    def of(cls, texts: list[str], scores: list[float], byte_ids: list[int], unknown: int) -> Vocabulary:
         if any("\n" in t or (" " in t.lstrip(" ")) for t in texts):
             raise ValueError("a piece goes on over a word's end")
-        return cls(texts, ranks, byte_ids, model.unk_id())
+        ids = {t: i for i, t in enumerate(texts) if t}
+        order = {s: k for k, s in enumerate(sorted(set(scores), reverse=True))}
+        merge = {t: order[scores[i]] for t, i in ids.items() if len(t) > 1}
+        n = len(texts)
+        rank, left, right = np.full(n, -1, np.int64), np.full(n, -1, np.int64), np.full(n, -1, np.int64)
+        meeting: dict[int, int] = {}
+        for t, i in ids.items():
+            if len(t) == 1:
+                continue
+            made = merged(t, merge, 2)
+            if len(made) > 2:
+                texts[i] = ""  # merging never ends in this piece
+                continue
+            rank[i], left[i], right[i] = merge[t], ids[made[0]], ids[made[1]]
+            for k in range(1, len(t)):
+                if t[:k] in ids and t[k:] in ids:
+                    meeting[ids[t[:k]] * n + ids[t[k:]]] = merge[t]
+        pairs = np.array(sorted(meeting), np.int64)
+        # Shorter pieces first, so that parts are known before what they make.
+        steady = np.ones(n, bool)
+        for i in sorted(ids.values(), key=lambda i: len(texts[i])):
+            if rank[i] >= 0:
+                parts = [left[i], right[i]]
+                steady[i] = steady[parts].all() and (rank[parts] < rank[i]).all()
+        return cls(texts, rank, left, right, steady, pairs, np.array([meeting[p] for p in pairs.tolist()], np.int64), byte_ids, unknown)
+
+
+def merged(text: str, rank: dict[str, int], stop: int = 1) -> list[str]:
+    """The parts of a text when neighbours are merged, least rank first, leftmost of equals."""
+    parts, never = list(text), max(rank.values(), default=0) + 1
+    while len(parts) > stop:
+        best, at = min((rank.get(a + b, never), k) for k, (a, b) in enumerate(zip(parts, parts[1:], strict=False)))
+        if best == never:
+            break
+        parts[at : at + 2] = [parts[at] + parts[at + 1]]
+    return parts
 
 
 class Encoder:
-    """Encodes batches with one vocabulary; remembers which pieces fit which, in bounded memory."""
+    """Encodes batches with one vocabulary.
+
+    Remembers which pieces fit which, and the ids of segments seen before, both in bounded memory.
+    """
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
         self.ids = np.array([i for i, t in enumerate(vocabulary.texts) if t], np.int32)
         texts = [vocabulary.texts[i] for i in self.ids.tolist()]
-        self.rank = {t: vocabulary.ranks[i] for i, t in zip(self.ids.tolist(), texts, strict=True)}
+        self.merges = {t: int(vocabulary.rank[i]) for i, t in zip(self.ids.tolist(), texts, strict=True) if len(t) > 1}
         self.sizes = np.array([len(t) for t in texts])
         self.longest = int(self.sizes.max())
         chars = sorted(set("".join(texts)))
@@ -87,38 +142,57 @@ class Encoder:
         self.size_of[self.ids] = self.sizes
         self.known = np.full(1 << MEMORY_BITS, -1, np.int64)
         self.verdict = np.zeros(1 << MEMORY_BITS, bool)
+        self._forget()
 
-    def merged(self, text: str) -> list[str]:
-        """The pieces of a text by merging neighbours, the least rank first, leftmost of equals."""
-        parts, rank = list(text), self.rank
-        while len(parts) > 1:
-            best, at = min((rank.get(a + b, np.inf), k) for k, (a, b) in enumerate(zip(parts, parts[1:], strict=False)))
-            if best == np.inf:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
+    def _forget(self) -> None:
+        self.index: dict[str, int] = {}
+        self.flat, self.counts = np.zeros(0, np.int32), np.zeros(0, np.int64)
 
     def fits(self, before: np.ndarray, after: np.ndarray) -> np.ndarray:
-        """Whether each piece can follow the one before it; anything can at a start or a bare character."""
-        out = before < 0
-        at = np.flatnonzero(~out)
+        """Whether each piece can follow the one before it; anything can at a start or a bare character.
+
+        Merges of both pieces are undone from the last one back. The two fit unless, at some point,
+        the parts that meet at their boundary would have been merged before the next merge inside.
+        """
+        out = np.ones(len(before), bool)
+        at = np.flatnonzero(before >= 0)
         pair = before[at].astype(np.int64) * len(self.vocabulary.texts) + after[at]
         slot = (pair * np.int64(0x9E3779B97F4A7C15 - 2**64)).view(np.uint64) >> np.uint64(64 - MEMORY_BITS)
         new = self.known[slot] != pair
         verdict = self.verdict[slot]
         fresh, first, inverse = np.unique(pair[new], return_index=True, return_inverse=True)
         if len(fresh):
-            texts = self.vocabulary.texts
-            found = np.empty(len(fresh), bool)
-            for k, p in enumerate(fresh.tolist()):
-                a, b = divmod(p, len(texts))
-                found[k] = self.merged(texts[a] + texts[b]) == [texts[a], texts[b]]
+            found = self._meet(*np.divmod(fresh, len(self.vocabulary.texts)))
             verdict[new] = found[inverse]
             place = slot[new][first]
             self.known[place], self.verdict[place] = fresh, found
         out[at] = verdict
         return out
 
+    def _meet(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        v = self.vocabulary
+        out = np.ones(len(a), bool)
+        steady = v.steady[a] & v.steady[b]
+        # The few pieces made by merges of falling or equal rank are merged step by step.
+        for k in np.flatnonzero(~steady).tolist():
+            pair = [v.texts[a[k]], v.texts[b[k]]]
+            out[k] = merged("".join(pair), self.merges) == pair
+        live = np.flatnonzero(steady)
+        a, b, limit = a[live], b[live], np.full(len(live), np.iinfo(np.int64).max)
+        while len(live):
+            key = a * len(v.texts) + b
+            place = np.minimum(np.searchsorted(v.pairs, key), len(v.pairs) - 1)
+            crossed = (v.pairs[place] == key) & (v.pair_ranks[place] < limit)
+            out[live[crossed]] = False
+            ra, rb = v.rank[a], v.rank[b]
+            # Of equal ranks the one further left was merged first, so the right one is undone first.
+            undo_a = ra > rb
+            a, b = np.where(undo_a, v.right[a], a), np.where(undo_a, b, v.left[b])
+            limit = np.where(undo_a, ra, rb + 1)
+            keep = ~crossed & (np.maximum(ra, rb) >= 0)
+            live, a, b, limit = live[keep], a[keep], b[keep], limit[keep]
+        return out
+
     def edges(self, codes: np.ndarray) -> np.ndarray:
         """(longest, positions): the piece of each length that starts at each position, or -1."""
         used = np.unique(codes)
@@ -249,21 +323,25 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, number of ids of each)."""
-        index: dict[str, int] = {}
-        add, numbers, counts = index.setdefault, [], []
+        if len(self.index) > REMEMBERED:
+            self._forget()
+        index, before = self.index, len(self.index)
+        add, numbers, parts = index.setdefault, [], []
         for text in texts:
             found = SEGMENT.findall(" " + text) if text else []
-            counts.append(len(found))
+            parts.append(len(found))
             numbers += [add(s, len(index)) for s in found]
         if not numbers:
             return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
-        ids, sizes = self.segments(list(index))
+        if len(index) > before:
+            ids, counts = self.segments(list(islice(index, before, None)))
+            self.flat, self.counts = np.concatenate([self.flat, ids]), np.concatenate([self.counts, counts])
         number = np.array(numbers)
-        begin, length = (np.cumsum(sizes) - sizes)[number], sizes[number]
+        begin, length = (np.cumsum(self.counts) - self.counts)[number], self.counts[number]
         flat = np.repeat(begin - (np.cumsum(length) - length), length) + np.arange(length.sum())
         upto = np.concatenate([[0], np.cumsum(length)])
-        ends = np.cumsum(counts)
-        return ids[flat], upto[ends] - upto[ends - np.array(counts)]
+        ends = np.cumsum(parts)
+        return self.flat[flat], upto[ends] - upto[ends - np.array(parts)]
 
 
 def _parts(texts: pa.Array) -> Iterator[tuple[int, list[str | None]]]:

@@ -1,3 +1,4 @@
+import dataclasses
 import random
 
 import pytest
@@ -38,13 +39,13 @@ def test_documents_equal_the_usual_encoder(vocabulary, documents):
 def test_greedy_longest_would_differ(vocabulary):
     """Relaxing decides by fitting pieces, not by length: merges can end in shorter pieces."""
     encoder = P.Encoder(vocabulary)
-    longest = 0
+    longest, known = 0, set(vocabulary.texts)
     for word in (" " + a + b for a in ("there", "inner", "tionst", "ouness") for b in ("ing", "tion", "ered", "s")):
         ids = ids_of(encoder, [word[1:]])[0]
         assert "".join(vocabulary.texts[i] for i in ids) == word
         greedy, rest = [], word
         while rest:
-            n = max(k for k in range(1, 17) if rest[:k] in encoder.rank)
+            n = max(k for k in range(1, 17) if rest[:k] in known)
             greedy, rest = [*greedy, rest[:n]], rest[n:]
         longest += greedy != [vocabulary.texts[i] for i in ids]
     assert longest
@@ -60,5 +61,29 @@ def test_round_trip_of_odd_rows(odd_documents, no_documents, vocabulary):
 
 
 def test_unknown_piece_without_byte_pieces(vocabulary):
-    bare = P.Vocabulary(vocabulary.texts, vocabulary.ranks, [-1] * 256, vocabulary.unknown)
+    bare = dataclasses.replace(vocabulary, byte_ids=[-1] * 256)
     assert ids_of(P.Encoder(bare), ["\n"])[0][-1] == vocabulary.unknown
+
+
+def test_merges_of_a_small_vocabulary():
+    """Encoding equals merging step by step, also where pieces could be cut in other ways."""
+    texts = ["", " ", *"abc", "ab", "bc", " a", "abc", "bca", "aa", "aaa", "  ", " ab", "caa"]
+    rng = random.Random(1)
+    for _ in range(6):
+        scores = [0.0] * len(texts)
+        for k, i in enumerate(rng.sample(range(5, len(texts)), len(texts) - 5)):
+            scores[i] = -float(k)
+        vocabulary = P.Vocabulary.of(list(texts), list(scores), [-1] * 256, 0)
+        rank = {t: -scores[i] for i, t in enumerate(texts) if len(t) > 1}
+        words = ["".join(rng.choice("abc ") for _ in range(rng.randint(1, 14))) for _ in range(300)]
+        for word, ids in zip(words, ids_of(P.Encoder(vocabulary), words), strict=True):
+            want = []
+            for segment in P.SEGMENT.findall(" " + word):
+                parts = list(segment)
+                while len(parts) > 1:
+                    best, at = min((rank.get(a + b, 99), k) for k, (a, b) in enumerate(zip(parts, parts[1:])))
+                    if best == 99:
+                        break
+                    parts[at : at + 2] = [parts[at] + parts[at + 1]]
+                want += parts
+            assert [texts[i] for i in ids] == want
