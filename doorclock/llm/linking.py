@@ -17,10 +17,15 @@ from pyspark.sql import functions as F
 from doorclock.plans.staging import dropped, staged
 
 
-def stars(buckets: DataFrame) -> DataFrame:
-    """Distinct (a, b), a < b: every member b of a `bucket` with the bucket's least `node` a."""
+def spokes(buckets: DataFrame) -> DataFrame:
+    """(bucket, a, b), a < b: every member b of a `bucket` with the bucket's least `node` a."""
     hubs = buckets.groupBy("bucket").agg(F.min("node").alias("a"), F.max("node").alias("_most")).where("a < _most")
-    return buckets.join(hubs.drop("_most"), "bucket").where("a < node").select("a", F.col("node").alias("b")).distinct()
+    return buckets.join(hubs.drop("_most"), "bucket").where("a < node").select("bucket", "a", F.col("node").alias("b"))
+
+
+def stars(buckets: DataFrame) -> DataFrame:
+    """Distinct (a, b) of `spokes`."""
+    return spokes(buckets).select("a", "b").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -67,6 +72,30 @@ def paired(members: DataFrame) -> DataFrame:
     ).drop("_other")
 
 
+def parted(members: DataFrame, size: int) -> DataFrame:
+    """Blocks (bucket, left, right) in which members (bucket, node, part) of unlike parts meet.
+
+    Buckets of one part go. In the others the largest part is dealt into chunks of about `size` nodes apart
+    from the rest, whose chunks meet each other and those of the largest part.
+    """
+    counts = members.groupBy("bucket", "part").agg(F.count(F.lit(1)).alias("n"))
+    tops = counts.groupBy("bucket").agg(F.max(F.struct("n", "part")).alias("top"), F.sum("n").alias("n")).where("top.n < n")
+    one = F.col("n") <= size
+    outer = F.when(one, 1).otherwise(F.ceil((F.col("n") - F.col("top.n")) / size)).cast("int")
+    inner = F.when(one, 0).otherwise(F.ceil(F.col("top.n") / size)).cast("int")
+    tops = tops.select("bucket", F.col("top.part").alias("_top"), outer.alias("_outer"), inner.alias("_inner"))
+    inside = (F.col("part") == F.col("_top")) & (F.col("_inner") > 0)
+    place = F.xxhash64("node")
+    dealt = members.join(tops, "bucket").withColumns({
+        "chunk": F.when(inside, F.col("_outer") + F.pmod(place, "_inner")).otherwise(F.pmod(place, "_outer")).cast("int"),
+        "_last": F.when(inside, F.col("_outer")).otherwise(F.col("_outer") + F.col("_inner")) - 1,
+    })
+    other = F.explode(F.sequence(F.lit(0), F.col("_last"))).alias("_other")
+    return dealt.select("bucket", "node", "part", "chunk", other).select(
+        "bucket", "node", "part", "chunk", F.least("chunk", "_other").alias("left"), F.greatest("chunk", "_other").alias("right")
+    )
+
+
 def complete_groups(batches: Iterable[pd.DataFrame], keys: list[str]) -> Iterator[tuple[tuple, pd.DataFrame]]:
     """Groups of a partition that is sorted by `keys`, each whole though batches may cut it."""
     held: list[pd.DataFrame] = []

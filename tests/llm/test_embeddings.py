@@ -79,3 +79,26 @@ def test_bands_keep_the_promised_miss(n):
     bits, bands = E.band_shape(n)
     share = (1 - np.arccos(0.93) / np.pi) ** bits
     assert (1 - share) ** bands < 1e-4 and 2**bits >= min(n, 2**46)
+
+
+def leaning_rows(n, links, dims=768, lean=0.6):
+    """Vectors of one label with a common direction; the last ones are links of others, near the threshold."""
+    rng = np.random.default_rng(5)
+
+    def unit(x):
+        return x / np.linalg.norm(x, axis=-1, keepdims=True)
+
+    x = unit(np.sqrt(lean) * unit(rng.normal(size=dims)) + np.sqrt(1 - lean) * unit(rng.normal(size=(n, dims))))
+    x[n - links:] = unit(x[n - 2 * links : n - links] + 0.37 * unit(rng.normal(size=(links, dims))))
+    return [(i, v.astype(np.float32).tolist(), 1) for i, v in enumerate(x)]
+
+
+@pytest.mark.parametrize("n, chunk", [(600, 1024), (120, 8)])
+def test_recall_with_a_common_direction(spark, n, chunk):
+    rows = leaning_rows(n, n // 4)
+    x = np.array([v for _, v, _ in rows], float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    want = dict(enumerate(((x @ x.T >= 0.93).sum(1) - 1).tolist()))
+    got = {r.vec_id: r.n_links for r in E.linked(spark.createDataFrame(rows, SCHEMA), E.Settings(chunk=chunk)).collect()}
+    assert (sum(got.values()), sum(want.values())) == (n // 2, n // 2)
+    assert got == want
