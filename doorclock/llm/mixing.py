@@ -80,7 +80,7 @@ def _edges(sums: DataFrame, plan: DataFrame, level: str, before: str, name: str)
     upto = F.sum("_words").over(order) + F.col(before)
     found = (
         sums.withColumn("_upto", upto)
-        .where((F.col("_upto") > F.col("_wanted")) & (F.col("_upto") - F.col("_words") < F.col("_wanted")))
+        .where((F.col("_upto") > F.col("_wanted")) & (F.col("_upto") - F.col("_words") <= F.col("_wanted")))
         .select(F.col("source").alias("_s"), F.col(level).alias(name), (F.col("_upto") - F.col("_words")).alias(f"{name}_before"))
     )
     return plan.join(found, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
@@ -120,7 +120,7 @@ def mixed(docs: DataFrame, weights, text: str = "text", source: str = "source",
     edge = Window.partitionBy("source").orderBy("_ratio", "_u", "_size").rowsBetween(Window.unboundedPreceding, 0)
     ordered = ranked.where(at_edge).withColumn("_upto", F.col("_r2_before") + F.sum("_size").over(edge))
     ordered = ordered.withColumn("_extra", 2 * F.col("_upto") - F.col("_size") <= 2 * F.col("_wanted"))
-    # Without an edge range the words wanted end between two ranges, or nothing more is wanted.
+    # Words that end between two ranges have the later one as their edge; without one, nothing more is wanted.
     whole = F.coalesce(F.col("_fine") < F.col("_r2"), F.lit(False))
     others = ranked.where(~at_edge).withColumns({"_upto": F.lit(None).cast("double"), "_extra": whole})
     return unpacked(ordered.unionByName(others), docs.columns, _taken())

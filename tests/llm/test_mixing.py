@@ -1,6 +1,11 @@
+from collections import Counter
+
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+import check_queries
+import corpus_pipeline
 from doorclock.llm import mixing
 
 
@@ -54,3 +59,24 @@ def test_odd_rows(odd_documents, no_documents):
     assert all(0 <= r.taken <= 3 * r["size"] for r in got)
     assert {r["size"] for r in got if r.doc_id in (4, 5, 6)} == {0}
     assert mixing.mixed(no_documents, mixing.cyclic_weights).collect() == []
+
+
+def even_rows():
+    """Three sources of equal size, whose targets are whole words; texts of no word stand among the others."""
+    rows = [(10 * k + i, f"word{10 * k + i}", f"s{k}") for k in range(3) for i in range(8)]
+    return rows + [(100 + i, " " * i, f"s{i % 3}") for i in range(60)]
+
+
+def test_words_that_end_on_the_target(spark):
+    rows = even_rows()
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mix = mixing.mixed(df, mixing.cyclic_weights).select("doc_id", "size", "source_size", "target", "taken", "copies")
+    got = {r.source: (r.target, r.taken) for r in mix.join(df.select("doc_id", "source"), "doc_id").groupBy("source").agg(
+        F.first("target").alias("target"), F.sum("taken").alias("taken")).collect()}
+    assert got == {"s0": (15, 15), "s1": (6, 6), "s2": (3, 3)}
+    db = duckdb.connect()
+    db.execute("create table documents (doc_id bigint, text varchar, source varchar)")
+    db.executemany("insert into documents values (?, ?, ?)", rows)
+    assert check_queries.compare(mix, db.sql(mixing.ORACLE_SQL)) == ""
+    copies = {r.doc_id: r.copies for r in mix.collect() if r.copies}
+    assert Counter(r.doc_id for r in corpus_pipeline.source_mix(spark, df, "").collect()) == copies
