@@ -22,11 +22,19 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, the one with the least id; those without id stay."""
-    verdicts = minhash.verdicts(docs.select("doc_id", "text"))
-    kept = verdicts.where("kept and doc_id is not null").select(F.col("doc_id").alias("_kept")).distinct()
+    """One document of each group of near copies, the one with the least id; those without id stay.
+
+    Rows of one id are told apart by their text: each is kept or dropped by what its own text is like.
+    """
+    key = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", F.xxhash64("text")))
+    keyed = docs.select("doc_id", "text", key.alias("key"))
+    names = keyed.where("key is not null").select("key", "doc_id").distinct()
+    groups = minhash.verdicts(keyed, key="key").where("doc_id is not null")
+    groups = groups.select(F.col("doc_id").alias("key"), "component_id").distinct().join(names, "key")
+    kept = groups.groupBy("component_id").agg(F.min(F.struct("doc_id", "key")).alias("least")).select(F.col("least.key").alias("_kept"))
     rows = packed(docs)
-    first = rows.join(kept, F.col("row.doc_id") == F.col("_kept")).groupBy("_kept").agg(
+    own = F.xxhash64("row.doc_id", F.xxhash64("row.text"))
+    first = rows.where("row.doc_id is not null").join(kept, own == F.col("_kept")).groupBy("_kept").agg(
         F.min_by("row", F.xxhash64("row.text")).alias("row")
     )
     return unpacked(first.select("row").unionByName(rows.where("row.doc_id is null")), docs.columns)

@@ -78,3 +78,11 @@ def test_odd_rows(spark, odd_documents, no_documents, tmp_path):
             stage(spark, docs, "").write.parquet(path)
             docs = spark.read.parquet(path)
         assert (docs.count() > 0) == (k == 0)
+
+
+def test_near_duplicates_of_one_id(spark):
+    one, other = (" ".join(f"{w}{k}" for k in range(100)) for w in "ab")
+    rows = [(5, one, "x"), (5, other, "x"), (12, other, "x"), (12, one + " end", "x"), (7, "c d e f g h", "x"), (None, one, "x"), (5, one, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = corpus_pipeline.near_duplicates(spark, df, "").collect()
+    assert Counter((r.doc_id, r.text) for r in got) == Counter([(5, one), (5, other), (7, "c d e f g h"), (None, one)])
