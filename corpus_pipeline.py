@@ -16,9 +16,20 @@ from doorclock.llm.columns import packed, unpacked
 from doorclock.plans.staging import staged
 
 
+def _apart(docs: DataFrame, *own: str) -> DataFrame:
+    """The columns `own` that an operator reads, and all others as `row`, so that no result replaces them."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in own]
+    return docs.select(*own, F.struct(*(others or [F.lit(0).alias("_")])).alias("row"))
+
+
+def _together(rows: DataFrame, columns: list[str], *own: str) -> DataFrame:
+    return rows.select(*[(F.col(c) if c in own else F.col("row").getField(c)).alias(c) for c in columns])
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the rules and whose host does not fail as a whole."""
-    return quality.judged(docs).where("kept").select(*docs.columns)
+    own = ("text", "source")
+    return _together(quality.judged(_apart(docs, *own)).where("kept"), docs.columns, *own)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +62,9 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
-    return mixing.repeated(mixing.mixed(docs, mixing.cyclic_weights), docs.columns)
+    own = ("doc_id", "text", "source")
+    mix = mixing.mixed(_apart(docs, *own), mixing.cyclic_weights)
+    return _together(mixing.repeated(mix, [*own, "row"]), docs.columns, *own)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

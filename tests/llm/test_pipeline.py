@@ -86,3 +86,13 @@ def test_near_duplicates_of_one_id(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = corpus_pipeline.near_duplicates(spark, df, "").collect()
     assert Counter((r.doc_id, r.text) for r in got) == Counter([(5, one), (5, other), (7, "c d e f g h"), (None, one)])
+
+
+def test_columns_named_like_results_keep_their_values(spark):
+    names = ["kept", "n_words", "host_docs", "size", "target", "copies", "taken", "row"]
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(60 + i)), f"s{i % 3}", *[f"{n}{i}" for n in names]) for i in range(12)]
+    df = spark.createDataFrame(rows, ["doc_id", "text", "source", *names])
+    for stage in (corpus_pipeline.quality_rules, corpus_pipeline.source_mix):
+        got = stage(spark, df, "")
+        assert got.schema.simpleString() == df.schema.simpleString()
+        assert {tuple(r) for r in got.collect()} <= set(rows) and got.count() > 0
