@@ -2,7 +2,19 @@
 
 from __future__ import annotations
 
-from doorclock.llm import embeddings, language, minhash, mixing, pieces, quality, substrings, tokens, urls, warc
+from doorclock.llm import (
+    embeddings,
+    language,
+    minhash,
+    mixing,
+    pieces,
+    quality,
+    secret_scan,
+    substrings,
+    tokens,
+    urls,
+    warc,
+)
 
 QUERIES = {
     "op1_quality_rules": quality.query,
@@ -15,6 +27,7 @@ QUERIES = {
     "op8_language_id": language.query,
     "op9_substring_dedup": substrings.query,
     "op10_embedding_dedup": embeddings.query,
+    "op13_secret_scan": secret_scan.query,
 }
 
 ORACLE_SQL = {
@@ -22,4 +35,5 @@ ORACLE_SQL = {
     "op4_mixing": mixing.ORACLE_SQL,
     "op5_url_filters": urls.ORACLE_SQL,
     "op7_warc_fixity": warc.ORACLE_SQL,
+    "op13_secret_scan": secret_scan.ORACLE_SQL,
 }
