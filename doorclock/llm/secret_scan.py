@@ -121,12 +121,17 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def of_kinds(spans: Column, kinds: list[str]) -> Column:
+    return F.filter(spans, lambda s: s["kind"].isin(kinds))
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    found = scanned(docs)
-    base = F.filter("spans", lambda s: s["kind"].isin([r.kind for r in BASE]))
-    counts = [F.size(F.filter("spans", lambda s, k=r.kind: s["kind"] == k)).cast("long").alias(f"n_{r.kind}") for r in BASE]
-    return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+    found, spans = scanned(docs), F.col("spans")
+    kinds = [r.kind for r in BASE]
+    counts = [F.size(of_kinds(spans, [k])).cast("long").alias(f"n_{k}") for k in kinds]
+    digest = F.sha2(listed(of_kinds(spans, kinds)), 256)
+    return found.select("doc_id", *counts, digest.alias("base_sha256"), listed(spans).alias("spans"))
 
 
 def _oracle() -> str:
