@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from doorclock.llm import (
+    divergence,
     embeddings,
     language,
     minhash,
     mixing,
+    phrases,
     pieces,
     quality,
     secret_scan,
@@ -27,6 +29,8 @@ QUERIES = {
     "op8_language_id": language.query,
     "op9_substring_dedup": substrings.query,
     "op10_embedding_dedup": embeddings.query,
+    "op11_source_divergence": divergence.query,
+    "op12_phrase_collocation": phrases.query,
     "op13_secret_scan": secret_scan.query,
 }
 
@@ -35,5 +39,7 @@ ORACLE_SQL = {
     "op4_mixing": mixing.ORACLE_SQL,
     "op5_url_filters": urls.ORACLE_SQL,
     "op7_warc_fixity": warc.ORACLE_SQL,
+    "op11_source_divergence": divergence.ORACLE_SQL,
+    "op12_phrase_collocation": phrases.ORACLE_SQL,
     "op13_secret_scan": secret_scan.ORACLE_SQL,
 }
