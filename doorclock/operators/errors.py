@@ -88,6 +88,22 @@ def _stepped(value: Column) -> Column:
     return F.when(value < 0, -F.ceil(band)).otherwise(F.floor(band))
 
 
+def percentiles_by(
+    df: DataFrame, segment: Column, value: Column, probs: tuple[float, ...] = PERCENTILES, with_counts: bool = False
+) -> DataFrame:
+    """Percentiles of a value per segment, of which there are few; null and NaN do not count."""
+    values = (
+        df.select(segment.alias("segment"), value.cast("double").alias("value"))
+        .where(F.col("value").isNotNull() & ~F.isnan("value"))
+        .withColumn("step", _stepped(F.col("value")))
+    )
+    histogram = values.groupBy("segment", "step").agg(F.count(F.lit(1)).alias("n"))
+    found = _percentiles(values, histogram, probs)
+    if not with_counts:
+        return found
+    return found.join(histogram.groupBy("segment").agg(F.sum("n").alias("n")), "segment")
+
+
 def exact_percentiles(
     df: DataFrame,
     value: Column,
@@ -95,14 +111,7 @@ def exact_percentiles(
     segments: dict[str, Column] | None = None,
 ) -> DataFrame:
     """Percentiles of a value, overall or for a fixed list of segments; null and NaN do not count."""
-    values = (
-        _by_segment(df, segments or {"all": F.lit(True)})
-        .select("segment", value.cast("double").alias("value"))
-        .where(F.col("value").isNotNull() & ~F.isnan("value"))
-        .withColumn("step", _stepped(F.col("value")))
-    )
-    histogram = values.groupBy("segment", "step").agg(F.count(F.lit(1)).alias("n"))
-    return _percentiles(values, histogram, probs)
+    return percentiles_by(_by_segment(df, segments or {"all": F.lit(True)}), F.col("segment"), value, probs)
 
 
 def error_report(

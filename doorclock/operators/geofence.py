@@ -134,15 +134,16 @@ def without_orders(pings: DataFrame, rejected: DataFrame) -> DataFrame:
     return pings.join(rejected.select(*key), key, "left_anti").select(*pings.columns)
 
 
-def stays(in_circle: DataFrame, orders: DataFrame) -> DataFrame:
-    """One row per order: seconds from entry to finish, entry to last position, and positions."""
+def stays(in_circle: DataFrame, orders: DataFrame, *also: str) -> DataFrame:
+    """One row per order: seconds from entry to finish, entry to last position, positions, and `also` of the order."""
     totals = in_circle.groupBy("order_id", "order_row").agg(
         F.min("report_unixtime").alias("_entry"),
         F.max("report_unixtime").alias("_last"),
         F.count(F.lit(1)).alias("point_cnt"),
     )
-    return totals.join(_keyed(orders.select(*ORDER_ATTRIBUTES)), ["order_id", "order_row"]).select(
+    return totals.join(_keyed(orders.select(*ORDER_ATTRIBUTES, *also)), ["order_id", "order_row"]).select(
         *ORDER_ATTRIBUTES,
+        *also,
         (F.col("finish_time_unix") - F.col("_entry")).alias("delivery_time1"),
         (F.col("_last") - F.col("_entry")).alias("delivery_time2"),
         "point_cnt",
@@ -168,10 +169,10 @@ def valid_stay(rules: DwellRules = CURRENT) -> Column:
     )
 
 
-def dwell(in_circle: DataFrame, orders: DataFrame, rules: DwellRules = CURRENT) -> DataFrame:
+def dwell(in_circle: DataFrame, orders: DataFrame, rules: DwellRules = CURRENT, *also: str) -> DataFrame:
     """Stays that count: no over-dwell, and valid by the generation's rule."""
     return (
-        stays(in_circle, orders)
+        stays(in_circle, orders, *also)
         .where(not_overdwell(rules) & valid_stay(rules))
         .drop("finish_time_unix")
     )

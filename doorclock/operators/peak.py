@@ -31,11 +31,31 @@ def _median(value: Column) -> Column:
     return F.percentile(value, 0.5, F.col(_STAYS))
 
 
+STAY_KEYS = ["transporter_id", "city_id", "peek_time", "delivery_time1", "delivery_time2"]
+
+
+def stay_counts(dwell: DataFrame, *also: str) -> DataFrame:
+    """How many stays of a courier, city and class have the same durations, and the same `also` columns.
+
+    Counts of disjoint sets of stays, as of days, add up: the statistics of any window are exact.
+    """
+    return with_peak_class(dwell).groupBy(*also, *STAY_KEYS).agg(F.count(F.lit(1)).alias(_STAYS))
+
+
 def courier_peak(dwell: DataFrame, rules: DwellRules = CURRENT) -> DataFrame:
     """Stays per (courier, city): overall, and counts and typical time per class.
 
     The per-class time is the integer mean, or the exact median when the rules ask for it.
     """
+    return peak_of_counts(stay_counts(dwell), rules)
+
+
+def merged_counts(counts: DataFrame) -> DataFrame:
+    """Counts of several days or runs as one."""
+    return counts.groupBy(*STAY_KEYS).agg(F.sum(_STAYS).alias(_STAYS))
+
+
+def peak_of_counts(counts: DataFrame, rules: DwellRules = CURRENT) -> DataFrame:
     stay = F.col(rules.peak_on)
     names = {
         c: f"per_delivery_time1_peek{c}"
@@ -49,19 +69,13 @@ def courier_peak(dwell: DataFrame, rules: DwellRules = CURRENT) -> DataFrame:
         _whole_mean(F.col("delivery_time1")).alias("avg_delivery_time1"),
         _median(F.col("delivery_time1")).alias("per_delivery_time1"),
     ]
-    return (
-        with_peak_class(dwell)
-        .groupBy("transporter_id", "city_id", "peek_time", "delivery_time1", "delivery_time2")
-        .agg(F.count(F.lit(1)).alias(_STAYS))
-        .groupBy("transporter_id", "city_id")
-        .agg(
-            F.sum(_STAYS).alias("delivery_cnt"),
-            *(first_generation if rules.peak_on == "delivery_time1" else []),
-            _whole_mean(F.col("delivery_time2")).alias("avg_delivery_time2"),
-            _median(F.col("delivery_time2")).alias("per_delivery_time2"),
-            *[F.coalesce(F.sum(F.when(in_class[c], F.col(_STAYS))), F.lit(0).cast("long")).alias(f"cnt_peek{c}") for c in CLASSES],
-            *[typical(F.when(in_class[c], stay)).alias(names[c]) for c in CLASSES],
-        )
+    return counts.groupBy("transporter_id", "city_id").agg(
+        F.sum(_STAYS).alias("delivery_cnt"),
+        *(first_generation if rules.peak_on == "delivery_time1" else []),
+        _whole_mean(F.col("delivery_time2")).alias("avg_delivery_time2"),
+        _median(F.col("delivery_time2")).alias("per_delivery_time2"),
+        *[F.coalesce(F.sum(F.when(in_class[c], F.col(_STAYS))), F.lit(0).cast("long")).alias(f"cnt_peek{c}") for c in CLASSES],
+        *[typical(F.when(in_class[c], stay)).alias(names[c]) for c in CLASSES],
     )
 
 

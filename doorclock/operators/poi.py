@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from doorclock.functions.geo import point_key
+from doorclock.operators.moments import deviation, squared_distances, with_group_mean
 from doorclock.settings import CURRENT, DwellRules
 
 
@@ -55,33 +56,49 @@ def bind_landmarks(
     )
 
 
+LANDMARK_KEYS = ["poi_id", "city_id", "poi_lat", "poi_lng"]
+
+
+def landmark_counts(bound: DataFrame, rules: DwellRules = CURRENT, *also: str) -> DataFrame:
+    """How many rows of a landmark and city have the same stay and distance, and the same `also` columns.
+
+    Counts of disjoint sets of orders, as of days, add up: the statistics of any window are exact.
+    """
+    return bound.groupBy(*also, *LANDMARK_KEYS, "distance", F.col(rules.stats_on).alias("_stay")).agg(
+        F.count(F.lit(1)).alias("_n"), F.count("order_id").alias("_orders")
+    )
+
+
+def merged_counts(counts: DataFrame) -> DataFrame:
+    """Counts of several days or runs as one."""
+    return counts.groupBy(*LANDMARK_KEYS, "distance", "_stay").agg(F.sum("_n").alias("_n"), F.sum("_orders").alias("_orders"))
+
+
 def poi_statistics(bound: DataFrame, rules: DwellRules = CURRENT) -> DataFrame:
     """Typical stay and distance per landmark and city, for landmarks with enough orders.
 
     Orders are counted per distinct stay and distance first; that aggregation hashes and combines
     before the shuffle. The statistics then read far fewer rows, each with its number of orders.
     """
-    stay = F.col(rules.stats_on)
-    keys = ["poi_id", "city_id", "poi_lat", "poi_lng"]
-    n = F.col("_n")
+    return statistics_of_counts(landmark_counts(bound, rules), rules)
+
 
-    def mean(value: Column) -> Column:
-        return F.sum(value * n).cast("double") / F.sum(F.when(value.isNotNull(), n))
+def statistics_of_counts(counts: DataFrame, rules: DwellRules = CURRENT) -> DataFrame:
+    n, distance, seconds = F.col("_n"), F.col("distance"), F.col("_stay")
 
-    def deviation(value: Column) -> Column:
-        return F.sqrt(F.greatest(mean(value * value) - mean(value) * mean(value), F.lit(0.0)))
+    def weight(value: Column) -> Column:
+        return F.sum(F.when(value.isNotNull(), n))
 
-    distance, seconds = F.col("distance"), F.col("_stay")
+    counts = with_group_mean(counts, LANDMARK_KEYS, "_n", "distance", "_mean_distance")
+    counts = with_group_mean(counts, LANDMARK_KEYS, "_n", "_stay", "_mean_stay")
     return (
-        bound.groupBy(*keys, "distance", stay.alias("_stay"))
-        .agg(F.count(F.lit(1)).alias("_n"), F.count("order_id").alias("_orders"))
-        .groupBy(*keys)
+        counts.groupBy(*LANDMARK_KEYS)
         .agg(
             F.percentile(seconds.cast("int"), 0.5, n).alias("percentile_delivery_time_poi"),
-            F.round(mean(seconds), 1).alias("avg_delivery_time_poi"),
+            F.round(F.sum(seconds * n).cast("double") / weight(seconds), 1).alias("avg_delivery_time_poi"),
             F.percentile(distance.cast("int"), 0.5, n).alias("percentile_distance_poi"),
-            deviation(distance).alias("std_distance_poi"),
-            deviation(seconds.cast("double")).alias("std_delivery_time_poi"),
+            deviation(weight(distance), squared_distances("_n", "distance", "_mean_distance")).alias("std_distance_poi"),
+            deviation(weight(seconds), squared_distances("_n", "_stay", "_mean_stay")).alias("std_delivery_time_poi"),
             F.sum("_orders").alias("order_cnt"),
         )
         .where(F.col("order_cnt") >= rules.poi_min_orders)

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from doorclock.functions.scaling import compress, expand
+from doorclock.operators.boosting import BoostedTrees, train_absolute
 from doorclock.operators.encoding import encoder, feature_names, largest_category, per_feature, tree_encoder
 from doorclock.operators.errors import error_report
 from doorclock.operators.sampling import split_name
@@ -183,3 +184,18 @@ def read_quality(lines: DataFrame, parsed: DataFrame) -> DataFrame:
     good = parsed.agg(F.count(F.lit(1))).scalar()
     total = lines.where(F.trim("value") != "").agg(F.count(F.lit(1)).alias("n_lines"))
     return total.select("n_lines", (F.col("n_lines") - good).alias("n_failed"))
+
+
+def train_duration_medians(
+    rows: DataFrame, label: str, encode: PipelineModel, trees: int = 80, step: float = 0.1, seed: int = 40
+) -> BoostedTrees:
+    """As `train_duration`, but every leaf holds the median of its residuals. `rows` may be encoded already."""
+    encoded = rows if "features" in rows.columns else encode.transform(rows)
+    encoded = encoded.select("features", compress(F.col(label)).alias("_target"))
+    return train_absolute(encoded, "_target", trees=trees, step=step, max_bins=max(32, largest_category(encode)), seed=seed)
+
+
+def score_duration_medians(encode: PipelineModel, model: BoostedTrees, rows: DataFrame) -> DataFrame:
+    """Add `predicted` seconds."""
+    scored = model.predict(encode.transform(rows)).withColumn("predicted", expand(F.col("prediction")))
+    return scored.select(*rows.columns, "predicted")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from doorclock.functions.text import mask_null_words, split_fields, stripped
+from doorclock.plans.staging import staged
 
 
 def parse_lines(
@@ -16,8 +17,8 @@ def parse_lines(
     Null words become -1 in the samples of both phases (`mask_nulls`). The courier-rating samples keep
     them: in a number they fail the line later, in a category they are a category.
 
-    A short line gives nulls, so the feature step drops it. Blank lines are skipped: files have no
-    line order in Spark, so a blank line cannot end the input.
+    A short line gives nulls, so the feature step drops it. Blank lines are skipped: rows have no
+    order, so a blank one cannot end the input; `first_lines` sees to that for files.
     """
     line = stripped(F.col(column))
     fields = split_fields(mask_null_words(line) if mask_nulls else line)
@@ -29,12 +30,55 @@ def parse_lines(
     )
 
 
+def first_lines(spark: SparkSession, path: str, limit: int = -1, until_blank: bool = True) -> DataFrame:
+    """(file, line, value): a file's lines up to its first blank one, numbered from 1; of all, the first `limit`.
+
+    Files follow each other by path, and with `until_blank` only lines that are kept count towards the
+    limit. A file may be read in many splits. Each split counts its lines and finds its first blank one; sums over
+    the splits before it, by file and place in the file, then tell how many of its lines are taken. The
+    lines are written once with their split, so both steps see the same splits, whatever executors are there.
+    """
+    lines = spark.read.text(path).select(
+        "value",
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("split"),
+        F.monotonically_increasing_id().alias("at"),  # rises along the lines of a split
+    )
+    lines = staged(lines, "sample-lines")
+    blank = F.lit(until_blank) & (stripped(F.col("value")) == "")
+    splits = lines.groupBy("file", "split").agg(
+        F.min("at").alias("first"), F.count(F.lit(1)).alias("lines"), F.min(F.when(blank, F.col("at"))).alias("blank")
+    )
+    # One row per split from here on.
+    before_in_file = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("file", "split").rowsBetween(Window.unboundedPreceding, -1)
+    open_lines = F.when(F.max("blank").over(before_in_file).isNull(), F.coalesce(F.col("blank") - F.col("first"), F.col("lines")))
+    splits = splits.select(
+        "file", "split", "first",
+        F.coalesce(F.sum("lines").over(before_in_file), F.lit(0)).alias("earlier"),
+        F.coalesce(open_lines, F.lit(0)).alias("taken"),
+    )
+    if limit != -1:
+        rest = F.lit(limit) - F.coalesce(F.sum("taken").over(before), F.lit(0))
+        splits = splits.withColumn("taken", F.greatest(F.least("taken", rest), F.lit(0)))
+    within = F.col("at") - F.col("first")
+    return lines.join(splits.where("taken > 0"), ["file", "split"]).where(within < F.col("taken")).select(
+        "file", (F.col("earlier") + within + 1).alias("line"), "value"
+    )
+
+
 def read_samples(
-    spark: SparkSession, path: str, columns: list[str], limit: int = -1, mask_nulls: bool = True
+    spark: SparkSession,
+    path: str,
+    columns: list[str],
+    limit: int = -1,
+    mask_nulls: bool = True,
+    until_blank: bool = True,
 ) -> DataFrame:
-    """A sample file or directory; `limit` lines (any of them, as many as a trial needs), or all with -1."""
-    lines = spark.read.text(path)
-    return parse_lines(lines if limit == -1 else lines.limit(limit), columns, mask_nulls=mask_nulls)
+    """A sample file or directory up to each file's first blank line; of that, the first `limit` lines or all (-1)."""
+    whole = limit == -1 and not until_blank
+    lines = spark.read.text(path) if whole else first_lines(spark, path, limit, until_blank)
+    return parse_lines(lines, columns, mask_nulls=mask_nulls)
 
 
 def read_evaluation(spark: SparkSession, path: str, value: str, truth: str) -> DataFrame:

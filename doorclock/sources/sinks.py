@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from doorclock.plans.staging import staged
 from doorclock.schemas import conformed
+from doorclock.sources import daily
 
 
 def replace_table(df: DataFrame, path: str, partition_by: list[str] | None = None) -> DataFrame:
@@ -50,6 +51,34 @@ def publish(df: DataFrame, layout: dict, keys: list[str], path: str) -> DataFram
     return replace_table(_checked(df, layout, keys), path)
 
 
+def publish_merged(df: DataFrame, layout: dict, keys: list[str], path: str) -> DataFrame:
+    """Merge a run into the published table by its unique key, as one committed version.
+
+    A new key is inserted. A known one keeps its id and its time of creation; it takes the run's values and
+    time of update if a value differs, and stays as it is if none does. Keys that the run lacks stay.
+    """
+    spark = df.sparkSession
+    run = _checked(df, layout, keys).select(F.struct(*layout).alias("new"))
+    if daily.is_empty(spark, path):
+        merged = run.select("new.*")
+    else:
+        old = daily.read_days(spark, path, by="version").select(F.struct(*layout).alias("old"))
+        same_key = [F.col(f"old.{k}").eqNullSafe(F.col(f"new.{k}")) for k in keys]
+        both = old.join(run, same_key, "full")
+        values = [c for c in layout if c not in (*keys, "id", "create_time", "update_time")]
+        known, given = F.col("old").isNotNull(), F.col("new").isNotNull()
+        changed = ~F.struct(*[f"old.{c}" for c in values]).eqNullSafe(F.struct(*[f"new.{c}" for c in values]))
+        taken = given & (~known | changed)
+
+        def column(name: str):
+            own = known if name in ("id", "create_time") else ~taken
+            return F.when(own, F.col(f"old.{name}")).otherwise(F.col(f"new.{name}")).alias(name)
+
+        merged = both.select(*map(column, layout))
+    daily.replace_days(merged.withColumn("version", F.lit("current")), path, ["current"], by="version")
+    return daily.read_days(spark, path, by="version").select(*layout)
+
+
 def publish_jdbc(df: DataFrame, layout: dict, keys: list[str], url: str, table: str, **options: str) -> None:
     """The same into a database table. The run's rows replace those of an earlier run."""
     rows = _checked(df, layout, keys)

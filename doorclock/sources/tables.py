@@ -112,7 +112,7 @@ def delivery_scan(
 
 
 def delivery_history_base(
-    deliveries: DataFrame, dates: DateRange, zone: str = S.WAREHOUSE_ZONE
+    deliveries: DataFrame, dates: DateRange, zone: str = S.WAREHOUSE_ZONE, also: tuple[str, ...] = ()
 ) -> DataFrame:
     """Deliveries over the longer range that the history tables describe."""
     return (
@@ -135,6 +135,7 @@ def delivery_history_base(
             "a2_time",
             "a1_time",
             "a_time",
+            *also,
         )
     )
 
