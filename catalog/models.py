@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from catalog.pipelines import _REPORT, handover_sample, pickup_sample
 from catalog.registry import query
 from doorclock import fixtures as fx
 from doorclock import settings as S
-from doorclock.operators import binary, encoding, errors, features, sampling
+from doorclock.operators import binary, boosting, encoding, errors, features, sampling
 from doorclock.plans import training
-from doorclock.plans.staging import staged
+from doorclock.functions import scaling
+from doorclock.plans.staging import stage_folder, staged
 from doorclock.schemas import RATING_SAMPLE
-from doorclock.sources import sinks
+from doorclock.sources import prepared, sinks
 from doorclock.sources.delimited import parse_lines
 
 A_ROUNDS = {
@@ -275,6 +278,110 @@ def gbt_beats_median(spark, sf):
     )
 
 
+TREES = 6
+_SPLIT = "case when cast('0x' || substr(md5(order_id), 1, 7) as bigint) % 100 < 80 then 'train' else 'test' end"
+
+
+def _small_models(spark, sf):
+    """Encoded rows, and both kinds of boosted trees with few rounds on the same training rows."""
+    rows = staged(_handover_rows(spark, sf).select("order_id", "label", *features.HANDOVER_CATEGORIES, *features.HANDOVER_NUMBERS), "handover-features")
+    encode = training.fit_tree_encoder(rows, features.HANDOVER_CATEGORIES, features.HANDOVER_NUMBERS)
+    coded = staged(encode.transform(rows).select("order_id", "label", "features"), "handover-encoded")
+    return rows, encode, coded, sampling.train_test(coded, "order_id")[0]
+
+
+def _scored_thrice(spark, sf):
+    """A fitted pipeline's prediction, the one of the pipeline saved and loaded, and the expression's."""
+    rows, encode, _, train = _small_models(spark, sf)
+    trained = training.train_duration(train, "label", encode, features.HANDOVER_NUMBERS, trees=TREES)
+    path = f"{stage_folder(spark)}/model-{uuid.uuid4().hex}"
+    sinks.save_model(trained.pipeline, path)
+    scored = training.score_duration(trained.pipeline, rows).withColumnRenamed("predicted", "fitted")
+    scored = training.score_duration(sinks.load_model(path), scored).withColumnRenamed("predicted", "loaded")
+    by_expression = boosting.ensemble(trained.model).predict(encode.transform(scored))
+    return by_expression.withColumn("expression", scaling.expand(F.col("prediction")))
+
+
+@query("gbt_scores")
+def gbt_scores(spark, sf):
+    """Every hand-over row with its predicted seconds, by the fitted model, the loaded one and the expression."""
+    return _scored_thrice(spark, sf).select(
+        "order_id", sampling.split_name(F.col("order_id")).alias("split"), "label", F.col("fitted").alias("predicted"), "loaded", "expression"
+    )
+
+
+@query("gbt_scores_agree", "select order_id, label, true as loaded_agrees, true as expression_agrees from f_handover")
+def gbt_scores_agree(spark, sf):
+    fitted = F.col("fitted")
+    return _scored_thrice(spark, sf).select(
+        "order_id", "label", (F.abs(F.col("loaded") - fitted) <= 1e-9).alias("loaded_agrees"),
+        (F.abs(F.col("expression") - fitted) <= 1e-9 * F.greatest(F.lit(1.0), F.abs(fitted))).alias("expression_agrees"),
+    )
+
+
+def _leaf_values(spark, sf):
+    """Trees of exact leaf medians, and the same medians computed once more from the finished model."""
+    _, encode, _, train = _small_models(spark, sf)
+    model = training.train_duration_medians(train, "label", encode, trees=TREES)
+    target = train.select("features", scaling.compress(F.col("label")).alias("target"))
+    nodes, checks = [], []
+    for k, tree in enumerate(model.trees):
+        nodes += [(k, i, leaf.rows, leaf.value) for i, leaf in enumerate(tree.leaves())]
+        before = boosting.BoostedTrees(model.start, model.step, model.trees[:k])
+        numbered = tree.with_leaves(iter([boosting.Node(float(i)) for i, _ in enumerate(tree.leaves())]))
+        only = boosting.BoostedTrees(0.0, 1.0, [numbered])
+        rows = boosting.predicted_by(
+            target, lambda x, b=before, o=only: F.struct(b.expression(x).alias("so_far"), o.expression(x).alias("leaf")), name="found"
+        )
+        residual = F.col("target") - F.col("found.so_far")
+        checks.append(
+            rows.groupBy(F.lit(k).alias("tree"), F.col("found.leaf").cast("int").alias("leaf")).agg(
+                F.percentile(residual, 0.5).alias("median"), F.count(F.lit(1)).alias("n_again")
+            )
+        )
+    known = spark.createDataFrame(nodes, "tree int, leaf int, n long, value double").where("n > 0")
+    again = checks[0]
+    for more in checks[1:]:
+        again = again.unionByName(more)
+    return known.join(again, ["tree", "leaf"], "full")
+
+
+@query("lad_leaf_values")
+def lad_leaf_values(spark, sf):
+    return _leaf_values(spark, sf).select("tree", "leaf", "n", "median", "value")
+
+
+@query(
+    "lad_leaf_check",
+    f"""select cast(tree as int) as tree, count(*) as n, true as counts_agree, true as values_are_medians
+    from f_handover, (select unnest(range(0, {TREES})) as tree) where {_SPLIT} = 'train' group by tree""",
+)
+def lad_leaf_check(spark, sf):
+    """Per tree: rows in its leaves, and whether each leaf's value is the median of its residuals."""
+    return _leaf_values(spark, sf).groupBy("tree").agg(
+        F.sum("n").alias("n"), F.min(F.coalesce(F.col("n") == F.col("n_again"), F.lit(False))).alias("counts_agree"),
+        F.min(F.coalesce(F.abs(F.col("value") - F.col("median")) <= 1e-9, F.lit(False))).alias("values_are_medians"),
+    )
+
+
+@query(
+    "lad_beats_signs",
+    f"select 'train' as split, count(*) as n, true as lower_error from f_handover where {_SPLIT} = 'train'",
+)
+def lad_beats_signs(spark, sf):
+    """On the training rows: leaf medians give a lower mean absolute error than averages of signs."""
+    _, encode, _, train = _small_models(spark, sf)
+    signs = boosting.ensemble(training.train_duration(train, "label", encode, features.HANDOVER_NUMBERS, trees=TREES).model)
+    # A median is the best step of its leaf, so that it can be taken in full.
+    medians = training.train_duration_medians(train, "label", encode, trees=TREES, step=1.0)
+    target = train.select("features", scaling.compress(F.col("label")).alias("target"))
+    both = medians.predict(signs.predict(target, name="by_signs"), name="by_medians")
+    error = {c: F.avg(F.abs(F.col(c) - F.col("target"))) for c in ("by_signs", "by_medians")}
+    return both.agg(
+        F.lit("train").alias("split"), F.count(F.lit(1)).alias("n"), (error["by_medians"] < error["by_signs"]).alias("lower_error")
+    )
+
+
 @query(
     "gbt_pickup_report",
     """select model, split as segment, count(*) as n, count(*) filter (false) as n_missing, true as ordered from (
@@ -333,3 +440,66 @@ def lr_train_score(spark, sf):
     rows, trained = _trained_rating(spark, sf)
     scored = training.score_rating(trained.pipeline, rows)
     return scored.select("transporter_id", "label", F.col("prob").between(0, 1).alias("in_range"))
+
+
+@query("lr_scores")
+def lr_scores(spark, sf):
+    """Every courier-rating row with its probability, by the fitted pipeline and by the expression."""
+    rows, trained = _trained_rating(spark, sf)
+    scored = training.score_rating(trained.pipeline, trained.pipeline.transform(rows).select(*rows.columns, F.col("features").alias("coded")))
+    by_expression = boosting.predicted_by(scored, lambda x: boosting.logistic_expression(trained.model, x), "coded", "expression")
+    return by_expression.select("transporter_id", "label", "prob", "expression")
+
+
+@query("lr_scores_agree", "select transporter_id, label, true as expression_agrees from f_rating")
+def lr_scores_agree(spark, sf):
+    return lr_scores(spark, sf).select("transporter_id", "label", (F.abs(F.col("prob") - F.col("expression")) <= 1e-9).alias("expression_agrees"))
+
+
+@query("coefficients_read_back", f"select feature, true as equal from ({_RATING_NAMES}) where feature <> '(bias)'")
+def coefficients_read_back(spark, sf):
+    """The text file of coefficients, read again and compared with the model."""
+    rows, trained = _trained_rating(spark, sf)
+    known = training.coefficients(trained, rows)
+    path = f"{stage_folder(spark)}/coefficients-{uuid.uuid4().hex}"
+    sinks.save_coefficients(known, path)
+    fields = F.split("value", "\t")
+    back = spark.read.text(path).select(F.get(fields, 0).alias("feature"), F.get(fields, 1).cast("double").alias("read"))
+    return known.join(back, "feature", "full").select("feature", F.coalesce(F.col("read") == F.col("value"), F.lit(False)).alias("equal"))
+
+
+_PREPARATIONS = [("first", 1, False), ("again", 1, True), ("other parameter", 3, False), ("back", 1, True), ("file added", 1, False)]
+
+
+@query(
+    "prepared_sample_reuse",
+    """select cast(run as int) as run, step, reused, cast(case step when 'other parameter' then (select count(*) from f_rating where avg_dis > 0.3e0)
+      when 'file added' then 2 * (select count(*) from f_rating) else (select count(*) from f_rating) end as bigint) as n_rows
+    from (values """
+    + ", ".join(f"({k}, '{step}', {str(reused).lower()})" for k, (step, _, reused) in enumerate(_PREPARATIONS))
+    + ") as steps(run, step, reused)",
+)
+def prepared_sample_reuse(spark, sf):
+    """Whether a prepared sample was used again: after nothing, a parameter, or a file has changed."""
+    lines = fx.rating_lines(fx.trips(spark, sf))
+    path, folder = (f"{stage_folder(spark)}/{name}-{uuid.uuid4().hex}" for name in ("sample", "prepared"))
+    out = []
+    lines.write.text(path)
+    for run, (step, tenths, _) in enumerate(_PREPARATIONS):
+        if step == "file added":
+            lines.write.mode("append").text(path)
+
+        def prepare(least=tenths):
+            parsed = parse_lines(spark.read.text(path), RATING_SAMPLE, mask_nulls=False)
+            rows = features.rating_features(parsed)
+            rows = rows.where(F.col("avg_dis") > least / 10) if least > 1 else rows
+            return rows, training.fit_encoder(rows, features.RATING_CATEGORIES, features.RATING_NUMBERS)
+
+        kept = prepared.prepared_sample(spark, folder, "rating", [path], {"least": tenths}, [features, training], prepare)
+        out.append(kept.rows.agg(F.count(F.lit(1)).alias("n_rows")).select(
+            F.lit(run).alias("run"), F.lit(step).alias("step"), F.lit(kept.reused).alias("reused"), "n_rows"
+        ))
+    table = out[0]
+    for more in out[1:]:
+        table = table.unionByName(more)
+    return table

@@ -10,7 +10,7 @@ from catalog.registry import query
 from doorclock import fixtures as fx
 from doorclock import settings as S
 from doorclock.operators import audit, errors, first_ping, geofence, history, peak, poi
-from doorclock.plans import ab_check, phase_a, phase_c
+from doorclock.plans import ab_check, audited, phase_a, phase_c
 from doorclock.plans.staging import stage_folder, staged
 from doorclock.sources import sinks, tables
 from doorclock.sources.delimited import read_evaluation, read_samples
@@ -189,29 +189,8 @@ def c_sample_first_generation(spark, sf):
     union all select 'courier_single_city', count(*), count(distinct transporter_id) from courier_single""",
 )
 def funnel_audit(spark, sf):
-    wh = fx.warehouse(spark, sf)
-    stays = staged(geofence.stays(*phase_c.in_circle(wh, D, Z)), "stays")
-    dwell = stays.where(geofence.not_overdwell() & geofence.valid_stay()).drop("finish_time_unix")
-    bound = phase_c.bound(wh, dwell)
-    base = tables.delivery_history_base(wh.deliveries, D, Z)
-    shops, couriers = (history.delivery_history(base, o) for o in ("supplier_id", "transporter_id"))
-    return audit.handover_funnel(stays).unionByName(
-        audit.funnel(
-            {
-                "c5_courier_peak": (peak.courier_peak(dwell), "transporter_id"),
-                "c6_bound": (bound, "order_id"),
-                "c7_statistics": (poi.poi_statistics(bound), "poi_id"),
-                "a1_accepted": (phase_a.accepted_positions(wh, D, Z), "delivery_id"),
-                "supplier_history": (shops, "supplier_id"),
-                "supplier_single_city": (history.single_city(shops, "supplier_id"), "supplier_id"),
-                "courier_history": (couriers, "transporter_id"),
-                "courier_single_city": (
-                    history.single_city(couriers, "transporter_id"),
-                    "transporter_id",
-                ),
-            }
-        )
-    )
+    """Counts of every step, observed while the libraries are written."""
+    return audited.libraries(fx.warehouse(spark, sf), D, Z).funnel
 
 
 @query(

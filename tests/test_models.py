@@ -97,3 +97,63 @@ def test_city_speed_default(spark):
     df = spark.createDataFrame([(1,), (20,), (0,)], "city int")
     got = [r[0] for r in df.select(features.city_speed(F.col("city"))).collect()]
     assert got == [4.670976602114164, 4.5, 4.5]
+
+
+def test_boosted_trees_of_leaf_medians(spark, tmp_path):
+    import numpy as np
+    from pyspark.ml.feature import VectorAssembler
+
+    from doorclock.operators import boosting
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(600, 3))
+    y = 3 * x[:, 0] + np.where(x[:, 1] > 0, 5.0, -2.0) + rng.standard_cauchy(600) * 0.3
+    table = [(int(k), *map(float, v), float(t)) for k, (v, t) in enumerate(zip(x, y, strict=True))]
+    df = spark.createDataFrame(table, "k int, a double, b double, c double, y double")
+    rows = VectorAssembler(inputCols=["a", "b", "c"], outputCol="features").transform(df)
+    model = boosting.train_absolute(rows, "y", trees=11, step=0.5, depth=3)
+
+    # By hand, with the fitted splits.
+    def leaf(node, v):
+        while node.sides:
+            node = node.sides[0 if v[node.feature] <= node.threshold else 1]
+        return node
+
+    so_far = np.full(600, np.median(y))
+    assert model.start == pytest.approx(np.median(y))
+    errors = [np.abs(y - so_far).mean()]
+    for step, tree in zip(model.steps(), model.trees, strict=True):
+        own = [leaf(tree, v) for v in x]
+        for node in tree.leaves():
+            inside = np.array([n is node for n in own])
+            assert node.rows == inside.sum()
+            if inside.any():
+                assert node.value == pytest.approx(np.median((y - so_far)[inside]), abs=1e-9)
+        so_far = so_far + step * np.array([n.value for n in own])
+        errors.append(np.abs(y - so_far).mean())
+    assert errors[-1] < errors[0] / 2 and all(b <= a + 1e-9 for a, b in zip(errors, errors[1:]))
+
+    got = {r.k: r.prediction for r in model.predict(rows).collect()}
+    assert [got[k] for k in range(600)] == pytest.approx(so_far.tolist(), abs=1e-9)
+    model.save(spark, str(tmp_path / "trees"))
+    again = boosting.BoostedTrees.load(spark, str(tmp_path / "trees"))
+    assert again == model
+    assert boosting.train_absolute(rows.limit(0), "y").trees == []
+
+
+def test_trees_with_categories_as_expressions(spark):
+    from doorclock.operators import boosting
+
+    rows = spark.createDataFrame(
+        [(f"k{k}", f"c{k % 7}", float(k % 5), 10.0 + 30.0 * ((k % 7) in (1, 4, 5)) + k % 5) for k in range(400)],
+        "order_id string, city string, n double, label double",
+    )
+    encode = training.fit_tree_encoder(rows, ["city"], ["n"])
+    trained = training.train_duration(rows, "label", encode, ["n"], trees=5)
+    unseen = spark.createDataFrame([("z", "never", 2.0, 1.0)], rows.schema)
+    coded = encode.transform(rows.unionByName(unseen))
+    model = boosting.ensemble(trained.model)
+    assert any(node.sides and node.categories for tree in model.trees for node in [tree])
+    both = trained.model.transform(coded).select("order_id", "features", F.col("prediction").alias("fitted"))
+    for r in model.predict(both).collect():
+        assert r.prediction == pytest.approx(r.fitted, abs=1e-9)

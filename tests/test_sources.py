@@ -13,11 +13,12 @@ from doorclock.sources import delimited, sinks
 def test_read_samples(spark, tmp_path):
     path = tmp_path / "sample.txt"
     path.write_text("1\t2\tNULL\n\n4,5,Null\n 7  8   9 \nonly\n", encoding="utf-8")
-    got = delimited.read_samples(spark, str(path), ["a", "b", "c"]).collect()
+    got = delimited.read_samples(spark, str(path), ["a", "b", "c"], until_blank=False).collect()
     assert sorted((tuple(r) for r in got), key=str) == sorted(
         [("1", "2", "-1"), ("4", "5", "-1"), ("7", "8", "9"), ("only", None, None)], key=str
     )
-    assert delimited.read_samples(spark, str(path), ["a"], limit=1).count() == 1
+    assert [r.a for r in delimited.read_samples(spark, str(path), ["a"], limit=1).collect()] == ["1"]
+    assert [r.a for r in delimited.read_samples(spark, str(path), ["a"]).collect()] == ["1"]  # a blank line ends the file
 
 
 def test_read_evaluation(spark, tmp_path):
@@ -125,3 +126,32 @@ def test_staged_tables_are_read_back_and_dropped(spark, tmp_path):
     assert table.count() == 5 and files
     staging.dropped(table)
     assert not any(Path(f.removeprefix("file://")).exists() for f in files)
+
+
+def test_prepared_samples_by_fingerprint(spark, tmp_path):
+    from doorclock.sources import prepared
+
+    source, folder = tmp_path / "in", str(tmp_path / "kept")
+    spark.createDataFrame([("x", 1.0), ("y", 2.0)], "city string, n double").write.parquet(str(source))
+    calls = []
+
+    def run(parameters, fail=False):
+        def prepare():
+            calls.append(parameters)
+            rows = spark.read.parquet(str(source)).where(F.col("n") >= parameters["least"])
+            if fail:
+                rows = rows.withColumn("n", F.raise_error(F.lit("lost")).cast("double"))
+            return rows, training.fit_encoder(spark.read.parquet(str(source)), ["city"], ["n"])
+
+        return prepared.prepared_sample(spark, folder, "s", [str(source)], parameters, [features], prepare)
+
+    with pytest.raises(Exception, match="lost"):
+        run({"least": 1}, fail=True)
+    first, again, other = run({"least": 1}), run({"least": 1}), run({"least": 2})
+    assert (first.reused, again.reused, other.reused) == (False, True, False)
+    assert first.name == again.name != other.name and len(calls) == 3
+    assert (again.rows.count(), other.rows.count()) == (2, 1)
+    spark.createDataFrame([("z", 3.0)], "city string, n double").write.mode("append").parquet(str(source))
+    later = run({"least": 1})
+    assert not later.reused and later.rows.count() == 3
+    assert prepared.fingerprint("a", {"x": 1}, "c") != prepared.fingerprint("a", {"x": 1}, "d")
