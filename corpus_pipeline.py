@@ -45,7 +45,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     kept = groups.groupBy("component_id").agg(F.min(F.struct("doc_id", "key")).alias("least")).select(F.col("least.key").alias("_kept"))
     rows = packed(docs)
     own = F.xxhash64("row.doc_id", F.xxhash64("row.text"))
-    first = rows.where("row.doc_id is not null").join(kept, own == F.col("_kept")).groupBy("_kept").agg(
+    # Of equal rows one stays. Unlike rows whose keys happen to be equal both do.
+    same = ["_kept", F.col("row.doc_id"), F.md5(F.coalesce("row.text", F.lit("")))]
+    first = rows.where("row.doc_id is not null").join(kept, own == F.col("_kept")).groupBy(*same).agg(
         F.min_by("row", F.xxhash64("row.text")).alias("row")
     )
     return unpacked(first.select("row").unionByName(rows.where("row.doc_id is null")), docs.columns)
