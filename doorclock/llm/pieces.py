@@ -35,9 +35,11 @@ from doorclock.llm.columns import packed, unpacked
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 SEGMENT = re.compile(" +[^ \n]*|\n+|[^ \n]+")
-PART_CHARS = 2 << 20
-MEMORY_BITS = 21
-REMEMBERED = 600_000
+PART_CHARS = 1 << 20  # of texts that are cut into segments together
+INDEX_CHARS = 320 << 10  # of distinct segments in one suffix array; a longer segment has one of its own
+MEMORY_BITS = 20
+REMEMBERED_CHARS = 3 << 20  # of segments whose ids are kept, each counted with EACH more
+EACH = 8
 START, CHARACTER = -1, -2
 
 
@@ -146,7 +148,25 @@ class Encoder:
 
     def _forget(self) -> None:
         self.index: dict[str, int] = {}
-        self.flat, self.counts = np.zeros(0, np.int32), np.zeros(0, np.int64)
+        self.chars = 0
+        self.flat, self.counts, self.used = np.zeros(1 << 16, np.int32), np.zeros(0, np.int64), 0
+
+    def _remember(self, segments: list[str]) -> None:
+        """Find the ids of new segments, some at a time, and keep them."""
+        start = 0
+        while start < len(segments):
+            end, chars = start, 0
+            while end < len(segments) and (end == start or chars + len(segments[end]) <= INDEX_CHARS):
+                chars += len(segments[end]) + 1
+                end += 1
+            ids, counts = self.segments(segments[start:end])
+            while self.used + len(ids) > len(self.flat):
+                self.flat = np.concatenate([self.flat, np.zeros(len(self.flat), np.int32)])
+            self.flat[self.used : self.used + len(ids)] = ids
+            self.used += len(ids)
+            self.counts = np.concatenate([self.counts, counts])
+            self.chars += chars + EACH * (end - start)
+            start = end
 
     def fits(self, before: np.ndarray, after: np.ndarray) -> np.ndarray:
         """Whether each piece can follow the one before it; anything can at a start or a bare character.
@@ -323,7 +343,7 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, number of ids of each)."""
-        if len(self.index) > REMEMBERED:
+        if self.chars > REMEMBERED_CHARS:
             self._forget()
         index, before = self.index, len(self.index)
         add, numbers, parts = index.setdefault, [], []
@@ -334,8 +354,7 @@ class Encoder:
         if not numbers:
             return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
         if len(index) > before:
-            ids, counts = self.segments(list(islice(index, before, None)))
-            self.flat, self.counts = np.concatenate([self.flat, ids]), np.concatenate([self.counts, counts])
+            self._remember(list(islice(index, before, None)))
         number = np.array(numbers)
         begin, length = (np.cumsum(self.counts) - self.counts)[number], self.counts[number]
         flat = np.repeat(begin - (np.cumsum(length) - length), length) + np.arange(length.sum())
@@ -358,43 +377,61 @@ def _parts(texts: pa.Array) -> Iterator[tuple[int, list[str | None]]]:
         yield start, held
 
 
-def encoded(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", name: str = "pieces") -> DataFrame:
-    """Every row with the ids of its text's pieces."""
-    kept = [c for c in docs.columns if c != name]
-    schema = T.StructType([*[f for f in docs.schema if f.name != name], T.StructField(name, T.ArrayType(T.IntegerType()))])
+def _as_lists(ids: np.ndarray, sizes: np.ndarray, texts: list[str | None]) -> pa.Array:
+    offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+    return pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32()), mask=pa.array([t is None for t in texts]))
+
+
+def _spelling(vocabulary: Vocabulary) -> list[bytes]:
+    table = [t.encode() for t in vocabulary.texts]
+    for b, i in enumerate(vocabulary.byte_ids):
+        if i >= 0:
+            table[i] = bytes([b])
+    return table
+
+
+def _texts_of(lists: pa.Array, table: list[bytes]) -> pa.Array:
+    of, out = table.__getitem__, []
+    for ids in lists:
+        if not ids.is_valid:
+            out.append(None)
+            continue
+        data = b"".join(map(of, ids.values.to_numpy().tolist())).decode("utf-8", "replace")
+        out.append(data[1:] if data.startswith(" ") else data)
+    return pa.array(out, pa.string())
+
+
+def encoded(
+    docs: DataFrame, vocabulary: Vocabulary, text: str = "text", name: str = "pieces", back: str | None = None
+) -> DataFrame:
+    """Every row with the ids of its text's pieces; with `back`, also with the text that these give again.
+
+    Memory of a task is bounded by the vocabulary, `INDEX_CHARS` and `REMEMBERED_CHARS`, a batch's rows, and the
+    longest segment without a blank.
+    """
+    added = {name: T.ArrayType(T.IntegerType())} | ({back: T.StringType()} if back else {})
+    kept = [c for c in docs.columns if c not in added]
+    schema = T.StructType([*[f for f in docs.schema if f.name not in added], *[T.StructField(n, t) for n, t in added.items()]])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary)
+        encoder, table = Encoder(vocabulary), _spelling(vocabulary) if back else []
         for batch in batches:
             for start, part in _parts(batch.column(text)):
-                ids, sizes = encoder.encode(part)
-                offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
-                missing = pa.array([t is None for t in part])
-                lists = pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32()), mask=missing)
+                lists = _as_lists(*encoder.encode(part), part)
                 rows = batch.slice(start, len(part))
-                yield pa.RecordBatch.from_arrays([*[rows.column(c) for c in kept], lists], [*kept, name])
+                more = [lists, _texts_of(lists, table)] if back else [lists]
+                yield pa.RecordBatch.from_arrays([*[rows.column(c) for c in kept], *more], [*kept, *added])
 
     return docs.mapInArrow(encode, schema)
 
 
 def decoded(docs: DataFrame, vocabulary: Vocabulary, pieces: str = "pieces", name: str = "decoded") -> DataFrame:
     """Every row with the text of its pieces."""
-    table = [t.encode() for t in vocabulary.texts]
-    for b, i in enumerate(vocabulary.byte_ids):
-        if i >= 0:
-            table[i] = bytes([b])
+    table = _spelling(vocabulary)
 
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        of = table.__getitem__
         for batch in batches:
-            out = []
-            for ids in batch:
-                if not ids.is_valid:
-                    out.append(None)
-                    continue
-                data = b"".join(map(of, ids.values.to_numpy().tolist())).decode("utf-8", "replace")
-                out.append(data[1:] if data.startswith(" ") else data)
-            yield pa.array(out, pa.string())
+            yield _texts_of(batch, table)
 
     run = F.arrow_udf(decode, "string")  # type: ignore[call-overload]
     rows = packed(docs).withColumn("_text", run(F.col("row").getField(pieces)))
@@ -405,8 +442,7 @@ def query(spark, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded again: number and hash of its ids, and whether it came back."""
     vocabulary = Vocabulary.read()
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    both = decoded(encoded(docs, vocabulary), vocabulary)
-    return both.select(
+    return encoded(docs, vocabulary, back="decoded").select(
         "doc_id", F.coalesce(F.size("pieces"), F.lit(0)).cast("long").alias("n_pieces"),
         F.xxhash64("pieces").alias("pieces_hash"), F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"),
     )

@@ -1,11 +1,16 @@
 import dataclasses
 import random
+import subprocess
+import sys
+from pathlib import Path
 
 import pytest
 import sentencepiece
 
 from doorclock.llm import pieces as P
 
+REPO = Path(__file__).resolve().parents[2]
+
 
 @pytest.fixture(scope="module")
 def vocabulary():
@@ -60,6 +65,38 @@ def test_round_trip_of_odd_rows(odd_documents, no_documents, vocabulary):
     assert P.encoded(no_documents, vocabulary).collect() == []
 
 
+def test_text_back_in_the_same_pass(odd_documents, vocabulary):
+    got = P.encoded(odd_documents, vocabulary, back="score")
+    assert got.columns == [*[c for c in odd_documents.columns if c != "pieces" and c != "score"], "pieces", "score"]
+    rows = got.select("text", "score").collect()
+    assert len(rows) == odd_documents.count() and all(r.score == r.text for r in rows)
+
+
+def test_small_arrays_and_little_memory_give_the_same(vocabulary, monkeypatch):
+    rng = random.Random(2)
+    texts = [" ".join("".join(rng.choices("abcdeé語", k=rng.randint(1, 9))) for _ in range(30)) for _ in range(60)] + ["x" * 500]
+    want = ids_of(P.Encoder(vocabulary), texts)
+    monkeypatch.setattr(P, "INDEX_CHARS", 40)
+    monkeypatch.setattr(P, "REMEMBERED_CHARS", 300)
+    encoder = P.Encoder(vocabulary)
+    assert [ids_of(encoder, [t])[0] for t in texts] == want
+
+
+def test_memory_of_many_distinct_words():
+    """A part of distinct words only, in a process of its own: its peak stays far below an executor's share."""
+    code = (
+        "import random, resource\n"
+        "from doorclock.llm import pieces as P\n"
+        "encoder = P.Encoder(P.Vocabulary.read())\n"
+        "rng = random.Random(3)\n"
+        "for _ in range(4):\n"
+        "    encoder.encode([' '.join(''.join(rng.choices('abcdefghijklmnop', k=9)) for _ in range(100000))])\n"
+        "print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)\n"
+    )
+    done = subprocess.run([sys.executable, "-c", code], cwd=REPO, check=True, capture_output=True, text=True, timeout=300)
+    assert int(done.stdout) < 420
+
+
 def test_unknown_piece_without_byte_pieces(vocabulary):
     bare = dataclasses.replace(vocabulary, byte_ids=[-1] * 256)
     assert ids_of(P.Encoder(bare), ["\n"])[0][-1] == vocabulary.unknown
