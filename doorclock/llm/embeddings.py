@@ -6,9 +6,11 @@ vector to an unbiased estimate of the cosine, with a confidence bound of the sam
 sign bits bring candidates together, estimates reject pairs whose upper bound is below the
 threshold, and all others are computed again in double precision.
 
-A bucket's members first meet its least one. Those that this leaves in different parts then meet each
-other inside tasks, in chunks of a large bucket, so that every pair of a bucket either is in one part or
-was rejected by its own bound, whatever the least member is like.
+A bucket's members first meet its least one: pairs within the bound are computed exactly, and links make
+parts. Members that a bucket still holds in different parts then meet each other inside tasks, in chunks of
+a large bucket, by bound and then exactly, so that every pair of a bucket either is in one part or was
+rejected itself, whatever the least member is like. Groups come from links only, never from
+candidates; inside a group all pairs are met once more, block by block, to count links.
 
 Band width follows the largest label (about a quarter of a chance neighbour per bucket), and the
 number of bands follows from the width and `miss`, the chance that a pair at the threshold shares
@@ -33,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from doorclock.llm.columns import packed, unpacked
-from doorclock.llm.linking import Forest, chunked, complete_groups, components, paired, parted, spokes
+from doorclock.llm.linking import Forest, block_pairs, chunked, complete_groups, components, gathered, paired, parted, spokes
 from doorclock.plans.staging import staged
 
 CODE = "node long, code binary, planes binary, low double, step double, factor double"
@@ -102,44 +104,16 @@ def upper_bounds(left: pd.DataFrame, right: pd.DataFrame, dims: int, deviations:
     return estimate + deviations * noise + step * math.sqrt(dims) / 2 / factor / math.sqrt(dims)
 
 
-def gathered(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
-    """Batches of a partition that is sorted by `keys`, cut only between groups."""
-    held: list[pd.DataFrame] = []
-    for batch in batches:
-        if not len(batch):
-            continue
-        new = (batch[keys] != batch[keys].iloc[-1]).any(axis=1).to_numpy()
-        begins = int(new.sum())  # where the batch's last group begins
-        if held and (begins or (held[-1][keys].iloc[-1] != batch[keys].iloc[-1]).any()):
-            yield pd.concat([*held, batch.iloc[:begins]], ignore_index=True)
-            held = []
-        elif begins:
-            yield batch.iloc[:begins].reset_index(drop=True)
-        held.append(batch.iloc[begins:])
-    if held:
-        yield pd.concat(held, ignore_index=True)
-
-
-def block_pairs(rows: pd.DataFrame, at_once: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def label_pairs(rows: pd.DataFrame, at_once: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Places (i, j) of rows that share a block, a label and a size but no part; of two chunks, one in each."""
     keys = rows[["bucket", "left", "right"]].to_numpy()
-    ends = np.append(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1, len(rows))
-    places = np.arange(len(rows))
-    after = ends[np.searchsorted(ends, places, "right")] - places - 1
-    upto = np.cumsum(after)
     part, dims, chunk = (rows[c].to_numpy() for c in ("part", "dims", "chunk"))
     label, _ = pd.factorize(rows["label"])
     two = keys[:, 1] != keys[:, 2]
-    start = 0
-    while start < len(rows):
-        end = max(int(np.searchsorted(upto, upto[start] - after[start] + at_once, "right")), start + 1)
-        n = after[start:end]
-        i = np.repeat(places[start:end], n)
-        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+    for i, j in block_pairs(keys, at_once):
         wanted = (part[i] != part[j]) & (label[i] == label[j]) & (dims[i] == dims[j]) & ~(two[i] & (chunk[i] == chunk[j]))
         if wanted.any():
             yield i[wanted], j[wanted]
-        start = end
 
 
 def _units(vectors: pd.Series) -> np.ndarray:
@@ -204,24 +178,42 @@ def linked(rows: DataFrame, settings: Settings = Settings(), key: str = "vec_id"
     pairs = met.select("a", "b").distinct().join(sizes, "a").join(other, "b").where("_la = _lb and dims = _db").drop("_la", "_lb", "_db")
     close = staged(pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(plausible, "a long, b long"), "vector_pairs")
 
+    def exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for _, part in batch.groupby(batch["va"].map(len)):
+                near = np.einsum("ij,ij->i", _units(part["va"]), _units(part["vb"])) >= settings.threshold
+                yield part.loc[near, ["a", "b"]]
+
+    def vectors(s: str) -> DataFrame:
+        return classes.select(F.col("node").alias(s), F.col("vector").alias(f"v{s}"))
+
+    links = staged(close.join(vectors("b"), "b").join(vectors("a"), "a").mapInPandas(exact, "a long, b long"), "vector_links")
+
     # What the least member of a bucket leaves apart meets there.
     def met_in_buckets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for group in gathered(batches, ["bucket", "left", "right"]):
-            for i, j in block_pairs(group, settings.pairs_at_once):
+            for i, j in label_pairs(group, settings.pairs_at_once):
                 for dims in np.unique(group["dims"].to_numpy()[i]):
                     own = group["dims"].to_numpy()[i] == dims
-                    bound = upper_bounds(group.iloc[i[own]], group.iloc[j[own]], int(dims), settings.deviations)
-                    nodes = np.sort(group["node"].to_numpy()[np.stack([i[own], j[own]])[:, bound >= settings.threshold]], 0)
+                    a, b = i[own], j[own]
+                    bound = upper_bounds(group.iloc[a], group.iloc[b], int(dims), settings.deviations)
+                    a, b = a[bound >= settings.threshold], b[bound >= settings.threshold]
+                    if not len(a):
+                        continue
+                    used, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+                    units = _units(group["vector"].iloc[used])
+                    near = np.einsum("ij,ij->i", units[at[: len(a)]], units[at[len(a) :]]) >= settings.threshold
+                    nodes = np.sort(group["node"].to_numpy()[np.stack([a[near], b[near]])], 0)
                     yield pd.DataFrame({"a": nodes[0], "b": nodes[1]}).drop_duplicates()
 
-    parts = staged(components(close).withColumnRenamed("component", "part"), "vector_parts")
+    parts = staged(components(links).withColumnRenamed("component", "part"), "vector_parts")
     members = met.select("bucket", F.col("b").alias("node")).join(parts, "node", "left")
     members = members.withColumn("part", F.coalesce("part", "node"))
-    own = classes.select("node", F.col("label").cast("string").alias("label"), F.size("vector").alias("dims"))
+    own = classes.select("node", F.col("label").cast("string").alias("label"), F.size("vector").alias("dims"), "vector")
     keys = ["bucket", "left", "right"]
     apart = parted(members, settings.chunk).join(own, "node").join(codes, "node")
     later = apart.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(met_in_buckets, "a long, b long")
-    clusters = staged(components(close.unionByName(later)).withColumnRenamed("component", "cluster"), "vector_clusters")
+    clusters = staged(components(links.unionByName(later)).withColumnRenamed("component", "cluster"), "vector_clusters")
 
     # All pairs of a cluster are met block by block, each with its vectors and codes.
     members = chunked(clusters, settings.chunk, "cluster")

@@ -33,6 +33,9 @@ def components(links: DataFrame) -> DataFrame:
 
     Each round points every node's larger neighbours, then the node itself, at its least neighbour;
     paths shrink exponentially, and every round is written, so that neither plan nor lineage grows.
+
+    A node may have very many neighbours. Its least one comes from partial minima, written, and is joined to
+    the edges in a step of its own, whose large partitions Spark can split.
     """
     edges = staged(
         links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct(), "links"
@@ -46,14 +49,16 @@ def components(links: DataFrame) -> DataFrame:
             )
         mark = now
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        least = staged(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(
+        large = staged(large, "links")
+        nearer = staged(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        small = large.join(nearer, "u").select(F.explode(F.array(
             F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v"))
         )).alias("e")).select("e.u", "e.v").where("u > v").distinct()
-        older, edges = edges, staged(small, "links")
-        dropped(older)
+        spent, edges = [edges, least, large, nearer], staged(small, "links")
+        for table in spent:
+            dropped(table)
 
 
 def chunked(members: DataFrame, size: int, *keys: str) -> DataFrame:
@@ -119,6 +124,39 @@ def complete_groups(batches: Iterable[pd.DataFrame], keys: list[str]) -> Iterato
         yield held_key, pd.concat(held, ignore_index=True) if len(held) > 1 else held[0]
 
 
+def gathered(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """Batches of a partition that is sorted by `keys`, cut only between groups."""
+    held: list[pd.DataFrame] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        new = (batch[keys] != batch[keys].iloc[-1]).any(axis=1).to_numpy()
+        begins = int(new.sum())  # where the batch's last group begins
+        if held and (begins or (held[-1][keys].iloc[-1] != batch[keys].iloc[-1]).any()):
+            yield pd.concat([*held, batch.iloc[:begins]], ignore_index=True)
+            held = []
+        elif begins:
+            yield batch.iloc[:begins].reset_index(drop=True)
+        held.append(batch.iloc[begins:])
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
+def block_pairs(keys: np.ndarray, at_once: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (i, j), i < j, of all rows with equal `keys` (rows, columns), which are sorted; about `at_once` at a time."""
+    ends = np.append(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1, len(keys))
+    places = np.arange(len(keys))
+    after = ends[np.searchsorted(ends, places, "right")] - places - 1
+    upto = np.cumsum(after)
+    start = 0
+    while start < len(keys):
+        end = max(int(np.searchsorted(upto, upto[start] - after[start] + at_once, "right")), start + 1)
+        n = after[start:end]
+        i = np.repeat(places[start:end], n)
+        yield i, i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+        start = end
+
+
 class Forest:
     """Disjoint sets over 0..n-1 that remember the links which joined them."""
 

@@ -5,11 +5,13 @@ bands, which bring candidates together, and of every minimum only the low `BITS`
 share of equal low bits, corrected for chance agreement, estimates the similarity of candidates, and
 those not far below the threshold are confirmed on their full sets.
 
-Equal sets are one node first, so copies form no pairs. Buckets of a band join their members in a
-star to candidate clusters; pairs are met inside tasks, in chunks of a cluster, and tested only while
-they are not connected. Chunks of a large cluster share its least node; if its parts do not come together
-so, all that is outside the largest part meets all chunks. So links, and components, are exact for
-all pairs that share a band, at the threshold all but one in 10 million.
+Equal sets are one node first, so copies form no pairs. In each bucket of a band, all members first meet
+its least one: by their packed bits, and where the estimate allows a link, on their full sets. Confirmed
+links make parts. Members that a bucket still holds in different parts then meet each other, also those that the
+least one rejected, block by block of a large bucket, by their bits; the pairs that pass are confirmed too.
+Candidates that are no links make no group, so documents of one template cost their buckets' pairs and
+no more. Links, and components, are exact for all pairs that share a band, at the threshold all but one in
+10 million.
 
 Defined results: a document without text or words has an empty set and is linked with nothing; one
 without id has no component and is kept; rows that share an id are one document, linked with what
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from doorclock.llm.linking import chunked, complete_groups, components, stars
+from doorclock.llm.linking import block_pairs, components, gathered, parted, spokes
 from doorclock.llm.shingles import C1, scrambled, shingle_sets
 from doorclock.llm.substrings import _slices, _texts
 from doorclock.plans.staging import dropped, released, staged
@@ -46,6 +48,7 @@ class Settings:
     rows: int = 6
     deviations: float = 5.0
     chunk: int = 1024
+    pairs_at_once: int = 65536
     seed: int = 5
 
 
@@ -137,33 +140,27 @@ def bucketed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(buckets, pa.int64())], ["node", "bucket"])
 
 
-def _linked(block: pd.DataFrame, tested: np.ndarray, settings: Settings, cut: float) -> list[tuple[int, int]]:
-    """Confirmed links that connect parts of a block; rows of `tested` are compared with all rows."""
-    k = settings.bands * settings.rows
-    bits = np.stack([np.frombuffer(b, np.uint64) for b in block["bits"]])
-    sets = [np.frombuffer(b, np.uint64) for b in block["shingles"]]
-    sizes = np.array([len(s) for s in sets])
-    _, parts = np.unique(block["part"].to_numpy(), return_inverse=True)
-    links = []
-    for i in tested:
-        small, large = np.minimum(sizes, sizes[i]), np.maximum(sizes, sizes[i])
-        others = np.flatnonzero((parts != parts[i]) & (100 * small >= settings.percent * large))
-        if not len(others):
-            continue
-        near = estimates(bits[i], bits[others], k)
-        chosen = others[near >= cut][np.argsort(-near[near >= cut], kind="stable")]
-        for j in chosen.tolist():
-            if parts[i] == parts[j]:
-                continue
-            a, b = (sets[i], sets[j]) if sizes[i] <= sizes[j] else (sets[j], sets[i])
-            both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
-            if 100 * both >= settings.percent * (sizes[i] + sizes[j] - both):
-                parts[parts == parts[j]] = parts[i]
-                links.append((i, j))
-    return links
-
-
-MEMBERS = "node long, cluster long, n_chunks int, chunk int, bits binary, shingles binary"
+def bits_of(column: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(column), np.uint64).reshape(len(column), -1)
+
+
+def may_link(a: pd.DataFrame, b: pd.DataFrame, settings: Settings, cut: float) -> np.ndarray:
+    """Whether rows of both sides (bits, n) can be linked, by their sizes and by the estimate."""
+    small, large = np.minimum(a["n"].to_numpy(), b["n"].to_numpy()), np.maximum(a["n"].to_numpy(), b["n"].to_numpy())
+    out = 100 * small >= settings.percent * large
+    at = np.flatnonzero(out)
+    if len(at):
+        near = estimates(bits_of(a["bits"].iloc[at]), bits_of(b["bits"].iloc[at]), settings.bands * settings.rows)
+        out[at] = near >= cut
+    return out
+
+
+def are_linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """The exact test on two sorted sets."""
+    if len(a) > len(b):
+        a, b = b, a
+    both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+    return 100 * both >= percent * (len(a) + len(b) - both)
 
 
 def verdicts(docs: DataFrame, settings: Settings = Settings(), text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -177,16 +174,13 @@ def verdicts(docs: DataFrame, settings: Settings = Settings(), text: str = "text
         able.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("node"), F.first("buckets").alias("buckets"), F.first("bits").alias("bits")),
         "set_nodes",
     )
-    pairs = stars(nodes.select("node", "buckets").mapInArrow(bucketed, "node long, bucket long"))
-    clusters = staged(components(pairs).withColumnRenamed("component", "cluster"), "clusters")
-    released(spark)
-    links, spent = _confirmed(rows, chunked(clusters, settings.chunk, "cluster"), settings)
+    links, spent = _confirmed(rows, nodes, settings)
     # Rows that share an id are one document.
     again = able.join(nodes.select("d1", "d2", "n_shingles", "node"), ["d1", "d2", "n_shingles"])
     several = again.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("_b")).where("a < _b")
     same = again.join(several, "doc_id").select("a", F.col("node").alias("b"))
     roots = components(links.unionByName(same))
-    for table in (clusters, *spent):
+    for table in spent:
         dropped(table)
     known = again.groupBy("doc_id").agg(F.min("node").alias("node")).join(roots, "node", "left").select(
         "doc_id", F.coalesce("component", "node").alias("component_id")
@@ -197,65 +191,82 @@ def verdicts(docs: DataFrame, settings: Settings = Settings(), text: str = "text
     )
 
 
-def _confirmed(rows: DataFrame, members: DataFrame, settings: Settings) -> tuple[DataFrame, list[DataFrame]]:
-    """Links (a, b), confirmed on full sets, that connect what is similar inside each cluster.
+def _confirmed(rows: DataFrame, nodes: DataFrame, settings: Settings) -> tuple[DataFrame, list[DataFrame]]:
+    """Links (a, b), confirmed on full sets, that connect what is similar and shares a bucket.
 
-    Also the staged tables they are made of, to be dropped when the links have been read.
+    A node is an id and may have several sets. Also the staged tables the links are made of, to be dropped
+    when they have been read.
     """
-    cut = cut_off(settings)
+    spark, cut = rows.sparkSession, cut_off(settings)
+    met = staged(spokes(nodes.select("node", "buckets").mapInArrow(bucketed, "node long, bucket long")), "buckets")
+    marks = nodes.select("node", "bits", F.col("n_shingles").alias("n"))
+
+    def plausible(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sides = [batch[[f"{s}_bits", f"{s}_n"]].set_axis(["bits", "n"], axis=1) for s in "ab"]
+            yield batch.loc[may_link(*sides, settings, cut), ["a", "b"]]
+
+    def side(s: str) -> DataFrame:
+        return marks.select(F.col("node").alias(s), F.col("bits").alias(f"{s}_bits"), F.col("n").alias(f"{s}_n"))
+
+    pairs = met.select("a", "b").distinct().join(side("b"), "b").join(side("a"), "a")
+    close = staged(pairs.mapInPandas(plausible, "a long, b long").distinct(), "set_pairs")
+    links = _linked(rows, close, settings)
+    released(spark)
+
+    # Members of a bucket that its least one leaves in different parts.
+    parts = staged(components(links).withColumnRenamed("component", "part"), "set_parts")
+    members = met.select("bucket", F.col("b").alias("node")).join(parts, "node", "left")
+    members = members.withColumn("part", F.coalesce("part", "node"))
+
+    def met_in_buckets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for group in gathered(batches, ["bucket", "left", "right"]):
+            part, chunk = group["part"].to_numpy(), group["chunk"].to_numpy()
+            two = (group["left"] != group["right"]).to_numpy()
+            for i, j in block_pairs(group[["bucket", "left", "right"]].to_numpy(), settings.pairs_at_once):
+                wanted = (part[i] != part[j]) & ~(two[i] & (chunk[i] == chunk[j]))
+                i, j = i[wanted], j[wanted]
+                near = may_link(group.iloc[i], group.iloc[j], settings, cut)
+                found = np.sort(group["node"].to_numpy()[np.stack([i[near], j[near]])], 0)
+                yield pd.DataFrame({"a": found[0], "b": found[1]}).drop_duplicates()
+
+    keys = ["bucket", "left", "right"]
+    apart = parted(members, settings.chunk).join(marks, "node").repartition(*keys).sortWithinPartitions(*keys)
+    more = staged(apart.mapInPandas(met_in_buckets, "a long, b long").distinct(), "set_pairs")
+    later = _linked(rows, more, settings)
+    return links.unionByName(later), [met, close, links, parts, more, later]
+
+
+def _linked(rows: DataFrame, pairs: DataFrame, settings: Settings) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough. Sets are made from the texts of the nodes in pairs."""
 
     def loaded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
             for sets in _sets(batch.column("text"), settings.width):
-                bits = packed_bits(minima(sets, settings))
-                part = batch.slice(at, len(sets))
+                kept = pa.array([s.tobytes() for s in sets], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column("node").slice(at, len(sets)), kept], ["node", "shingles"])
                 at += len(sets)
-                yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c) for c in ("node", "cluster", "n_chunks", "chunk")),
-                     pa.array([b.tobytes() for b in bits], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
-                    ["node", "cluster", "n_chunks", "chunk", "bits", "shingles"],
-                )
-
-    def compared(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
-        for _, block in complete_groups(batches, keys):
-            tested = np.flatnonzero(block["tested"].to_numpy())
-            found = np.array(_linked(block, tested, settings, cut), np.int64).reshape(-1, 2)
-            nodes = block["node"].to_numpy()
-            yield pd.DataFrame({"a": nodes[found[:, 0]], "b": nodes[found[:, 1]]})
-
-    def blocks(df: DataFrame, *keys: str) -> DataFrame:
-        dealt = df.repartition(*keys).sortWithinPartitions(*keys)
-        return dealt.mapInPandas(lambda it: compared(it, list(keys)), "a long, b long")
-
-    # A merge join at any size: members grow with the corpus, and texts move once either way.
-    text = rows.join(members.hint("merge"), F.col("doc_id") == F.col("node")).select("node", "cluster", "n_chunks", "chunk", "text")
-    full = staged(text.mapInArrow(loaded, MEMBERS), "cluster_sets")
-    # The cluster's least node, its name, is in every chunk.
-    shared = full.where("node = cluster and n_chunks > 1").withColumn("_own", F.col("chunk"))
-    shared = shared.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1))).where("chunk != _own").drop("_own")
-    first = full.unionByName(shared).withColumns({"tested": F.lit(True), "part": F.col("node")})
-    links = staged(blocks(first, "cluster", "chunk"), "set_links")
-
-    # Large clusters whose parts have not come together: what is outside the largest part meets all.
-    large = full.where("n_chunks > 1")
-    parts = large.select("node", "cluster").join(components(links), "node", "left").select(
-        "node", "cluster", F.coalesce("component", "node").alias("part")
-    )
-    parts = staged(parts, "parts")
-    most = parts.groupBy("cluster", "part").agg(F.count(F.lit(1)).alias("n")).groupBy("cluster").agg(
-        F.max(F.struct("n", "part")).alias("top"), F.sum("n").alias("n")
-    ).where("top.n < n").select("cluster", F.col("top.part").alias("_top"), (F.col("n") - F.col("top.n")).alias("_rest"))
-    left = large.join(parts, ["node", "cluster"]).join(most, "cluster")
-    pieces = F.ceil(F.col("_rest") / settings.chunk).cast("int")
-    outside = left.where("part != _top").withColumns({
-        "piece": F.pmod(F.xxhash64("node"), pieces).cast("int"), "tested": F.lit(True),
-        "chunk": F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1)),
-    })
-    inside = left.withColumns({"piece": F.explode(F.sequence(F.lit(0), pieces - 1)), "tested": F.lit(False)})
-    wanted = ["node", "cluster", "chunk", "piece", "bits", "shingles", "part", "tested"]
-    rest = blocks(outside.select(*wanted).unionByName(inside.select(*wanted)), "cluster", "chunk", "piece")
-    return links.unionByName(rest), [full, links, parts]
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [[np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(f"{s}_set")] for s in "ab"]
+            linked = [bool(len(a) and len(b) and are_linked(a, b, settings.percent)) for a, b in zip(*sets, strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
+
+    # Merge joins at any size: nodes in pairs grow with the corpus; texts move once, sets once for each pair.
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    texts = rows.join(wanted.hint("merge"), F.col("doc_id") == F.col("node")).select("node", "text")
+    texts = texts.withColumn("_hash", F.xxhash64("text")).dropDuplicates(["node", "_hash"]).drop("_hash")
+    sets = staged(texts.mapInArrow(loaded, "node long, shingles binary"), "sets")
+
+    def side(s: str) -> DataFrame:
+        return sets.select(F.col("node").alias(s), F.col("shingles").alias(f"{s}_set"))
+
+    both = pairs.join(side("b").hint("merge"), "b").join(side("a").hint("merge"), "a").select("a", "b", "a_set", "b_set")
+    found = staged(both.mapInArrow(compared, "a long, b long").distinct(), "set_links")
+    dropped(sets)
+    return found
 
 
 def query(spark, sf_dir: str) -> DataFrame:

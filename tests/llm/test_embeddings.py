@@ -102,3 +102,26 @@ def test_recall_with_a_common_direction(spark, n, chunk):
     got = {r.vec_id: r.n_links for r in E.linked(spark.createDataFrame(rows, SCHEMA), E.Settings(chunk=chunk)).collect()}
     assert (sum(got.values()), sum(want.values())) == (n // 2, n // 2)
     assert got == want
+
+
+@pytest.mark.parametrize("lean", [0.0, 0.5])
+def test_candidates_without_links_make_no_group(spark, monkeypatch, lean):
+    """A label without a link: whatever shares buckets, no group is formed whose pairs would all be met."""
+    rng = np.random.default_rng(8)
+
+    def unit(x):
+        return x / np.linalg.norm(x, axis=-1, keepdims=True)
+
+    x = unit(np.sqrt(lean) * unit(rng.normal(size=64)) + np.sqrt(1 - lean) * unit(rng.normal(size=(1500, 64))))
+    rows = [(i, v.astype(np.float32).tolist(), 1) for i, v in enumerate(x)]
+    grouped, real = [], E.chunked
+
+    def chunked(members, size, *keys):
+        grouped.append(members.count())
+        return real(members, size, *keys)
+
+    monkeypatch.setattr(E, "chunked", chunked)
+    got = E.linked(spark.createDataFrame(rows, SCHEMA)).collect()
+    links = int((x @ x.T >= 0.93).sum() - len(x)) // 2
+    assert sum(r.n_links for r in got) == 2 * links
+    assert grouped[0] <= 2 * links and links < 5
