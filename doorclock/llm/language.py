@@ -8,7 +8,7 @@ byte of every text.
 
 Gates use the rational sigmoid x / (1 + |x|), scaled to 0..1, and candidates the same from -1 to 1.
 
-Defined results: a text that is null or has no letter is `und` with score 0, and so is every text if
+Defined results: a text that is null or has no letter (category L; `½`, `Ⅷ` and digits are none) is `und` with score 0, and so is every text if
 nothing could be learned; a document without id counts as id ""; equal texts get equal predictions;
 ties go to the language first by code point; an empty table gives an empty table; a column of the
 input that has the name of a result column is replaced by it.
@@ -26,7 +26,6 @@ from pyspark.sql import functions as F
 
 from doorclock.llm.columns import packed, unit_hash, unpacked
 
-LETTER = r"[^\W\d_]"
 UNKNOWN = "und"
 
 
@@ -242,11 +241,8 @@ def predicted(docs: DataFrame, model: Model, settings: Settings = Settings(), te
     """Every document with `lang_pred` and `score`."""
 
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        import re
-
-        letter = re.compile(LETTER)
         for batch in batches:
-            texts = [t.encode() if t is not None and letter.search(t) else b"" for t in batch]
+            texts = [t.encode() if t is not None and any(map(str.isalpha, t)) else b"" for t in batch]
             p = probabilities(model, texts, settings) if model.languages else np.zeros((len(texts), 1))
             best = p.argmax(1)
             names = [model.languages[k] if t and model.languages else UNKNOWN for k, t in zip(best, texts, strict=True)]

@@ -44,6 +44,45 @@ def test_held_out_accuracy(spark, documents):
     assert out.where("score < 0 or score > 1").isEmpty()
 
 
+def one_byte_after_the_other(model, text, segment):
+    """The network without any batching: a loop over segments, directions and bytes."""
+    def soft(x):
+        return x / (1 + np.abs(x))
+
+    total, h = np.zeros(len(model.languages)), model.states[0].shape[1]
+    for at in range(0, len(text), segment):
+        part, states = text[at : at + segment], [[], []]
+        for direction, order in ((0, part), (1, part[::-1])):
+            state = np.zeros(h)
+            for byte in order:
+                x, a = model.inputs[direction][byte].astype(float), model.states[direction].astype(float) @ state
+                reset, update = 0.5 + 0.5 * soft(x[:h] + a[:h]), 0.5 + 0.5 * soft(x[h : 2 * h] + a[h : 2 * h])
+                candidate = soft(x[2 * h :] + reset * a[2 * h :])
+                state = (1 - update) * candidate + update * state
+                states[direction].append(state)
+        for before, after in zip(states[0], states[1][::-1], strict=True):
+            logits = model.weights @ np.concatenate([before, after]) + model.bias
+            p = np.exp(logits - logits.max())
+            total += p / p.sum()
+    return total / max(len(text), 1)
+
+
+def test_probabilities_equal_a_plain_loop():
+    settings = L.Settings(hidden=4, piece_chars=8, steps=20, batch=4, segment=50)
+    model = L.trained([("a", b"abcdefgh"), ("b", b"ghijklmn"), ("c", "éèüß".encode())], settings)
+    texts = [b"a", b"abcghi" * 30, "é日本 x".encode() * 9, bytes(range(256)), b"z" * 50, b"z" * 51]
+    got = L.probabilities(model, texts, settings)
+    for row, text in zip(got, texts, strict=True):
+        assert np.allclose(row, one_byte_after_the_other(model, text, 50), atol=1e-4)
+
+
+def test_texts_without_letters(spark):
+    texts = ["½ ²", "Ⅷ ①", "١٢", "_ 12", "", "ª", "½ x", "日"]
+    model = L.trained([("a", b"abcdef"), ("b", b"ghijkl")], SMALL)
+    got = L.predicted(spark.createDataFrame([(t,) for t in texts], "text string"), model).collect()
+    assert [r.lang_pred == "und" and r.score == 0 for r in got] == [True] * 5 + [False] * 3
+
+
 def test_odd_rows(spark, odd_documents, no_documents):
     model = L.trained(L.sample(odd_documents), L.Settings(steps=3))
     got = L.predicted(odd_documents, model).collect()
