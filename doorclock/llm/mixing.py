@@ -2,11 +2,12 @@
 
 A source's target is its weighted share of all words, at most `max_copies` times its own size; what
 is above that is shared anew among the others. Every document of a source is then wanted
-`target / size` times: the whole part is certain, and the fraction f is left to a sample of fixed
-size in words. Documents are ranked by the Pareto ratio of random odds to inclusion odds,
-(u / (1 - u)) / (f / (1 - f)) with u a hash of the document, and taken in that order until the words
-still wanted are reached; the document at the edge is taken if that ends nearer to the target.
-Inclusion is unequal over the mix, as f differs by source.
+`target / size` times: the whole part is certain, and the words that are still wanted come from a sample of
+fixed size in words. Documents enter it with unequal odds: their inclusion is in proportion to their
+words, and those whose inclusion would reach 1 are taken for certain, which leaves less for the others. The
+others are ranked by the Pareto ratio of random odds to inclusion odds, (u / (1 - u)) / (p / (1 - p)) with u
+a hash of the document, and taken in that order until the words still wanted are reached; the document
+at the edge is taken if that ends nearer to the target.
 
 No task ranks a whole source: sums over ranges of the ratio lead to the one narrow range that holds
 the edge, and only its rows are put in order. Built from DataFrame functions only.
@@ -61,11 +62,29 @@ def targets(sizes: DataFrame, max_copies: int = MAX_COPIES) -> DataFrame:
     ).drop("_level", "_full", "_at", "_is_full")
 
 
+def _inclusion(narrow: DataFrame, plan: DataFrame) -> DataFrame:
+    """The plan with `_factor`: a document's inclusion per word, where those above 1 count as 1.
+
+    From the largest size down, a size is certain if the words then left, shared in proportion to squared
+    sizes, would include it with 1 or more. A source has a row per distinct size here.
+    """
+    sizes = narrow.where("_size > 0").groupBy("_source", "_size").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = sizes.join(plan.select(F.col("source").alias("_s"), "_wanted"), F.col("_source").eqNullSafe(F.col("_s")))
+    larger = Window.partitionBy("_source").orderBy(F.col("_size").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    not_larger = Window.partitionBy("_source").orderBy("_size").rowsBetween(Window.unboundedPreceding, 0)
+    wide = F.col("_size").cast("decimal(12,0)")
+    left = F.col("_wanted") - F.coalesce(F.sum(F.col("_size") * F.col("_n")).over(larger), F.lit(0))
+    factor = left / F.sum(wide * wide * F.col("_n").cast("decimal(14,0)")).over(not_larger).cast("double")
+    opened = sizes.withColumn("_factor", factor).where(F.col("_factor") * F.col("_size") < 1)
+    found = opened.groupBy(F.col("_source").alias("_s")).agg(F.max_by("_factor", "_size").alias("_factor"))
+    return plan.join(found, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
+
+
 def _ranked(rows: DataFrame, plan: DataFrame) -> DataFrame:
-    """Rows of `plan`'s sources with the Pareto ratio and its two ranges."""
-    u, f = F.col("_u"), F.col("_fraction")
-    ratio = F.when(f > 0, (u / (1 - u)) / (f / (1 - f)))
-    scaled = F.floor(ratio / (1 + ratio) * (RANGES * RANGES))
+    """Rows of `plan`'s sources with the Pareto ratio and its two ranges; certain ones come before all ranges."""
+    u, p = F.col("_u"), F.col("_factor") * F.col("_size")
+    ratio = F.when(p >= 1, F.lit(0.0)).when(p > 0, (u / (1 - u)) / (p / (1 - p)))
+    scaled = F.when(p >= 1, F.lit(-1)).otherwise(F.floor(ratio / (1 + ratio) * (RANGES * RANGES)))
     return (
         rows.join(plan, F.col("_source").eqNullSafe(F.col("source")))
         .withColumn("_ratio", ratio)
@@ -103,11 +122,9 @@ def mixed(docs: DataFrame, weights, text: str = "text", source: str = "source",
     plan = targets(weights(sizes), max_copies)
     ratio = F.coalesce(F.try_divide(F.col("target"), F.col("source_size")), F.lit(0.0))
     plan = plan.withColumn("_whole", F.floor(ratio))
-    plan = plan.withColumns({
-        "_wanted": F.col("target") - F.col("_whole") * F.col("source_size"),
-        "_fraction": ratio - F.col("_whole"),
-    })
+    plan = plan.withColumn("_wanted", F.col("target") - F.col("_whole") * F.col("source_size"))
     plan = staged(plan, "mix_plan")  # measured, so that it is broadcast only if it is small
+    plan = staged(_inclusion(narrow, plan), "mix_plan")
 
     coarse = _ranked(narrow, plan).groupBy("source", "_range", "_wanted").agg(F.sum("_size").alias("_words"))
     plan = staged(_edges(coarse.withColumn("_zero", F.lit(0)), plan, "_range", "_zero", "_r1"), "mix_plan")
@@ -164,10 +181,17 @@ l as (select *, 3 * source_size as cap,
 t as (select source, source_size, case when cap < level * w then cap::double
     else (min(case when cap >= level * w then struct_pack(pos := pos, level := level) end) over ()).level * w end as target from l),
 p as (select *, floor(coalesce(target / nullif(source_size, 0), 0)) as whole,
-    coalesce(target / nullif(source_size, 0), 0) - floor(coalesce(target / nullif(source_size, 0), 0)) as f from t),
-j as (select d.*, p.source_size, p.target, p.whole, p.target - p.whole * p.source_size as wanted,
-    case when f > 0 then (u / (1 - u)) / (f / (1 - f)) end as ratio
-  from d join p on d.source is not distinct from p.source),
+    target - floor(coalesce(target / nullif(source_size, 0), 0)) * source_size as wanted from t),
+z as (select source, size, count(*) as n from d where size > 0 group by source, size),
+y as (select z.source, z.size,
+    (p.wanted - coalesce(sum(z.size * n) over (partition by z.source order by z.size desc rows between unbounded preceding and 1 preceding), 0))
+      / (sum(z.size::hugeint * z.size * n) over (partition by z.source order by z.size rows between unbounded preceding and current row))::double as factor
+  from z join p on z.source is not distinct from p.source),
+x as (select source, max_by(factor, size) as factor from y where factor * size < 1 group by source),
+j as (select d.*, p.source_size, p.target, p.whole, p.wanted,
+    case when x.factor * d.size >= 1 then 0e0 when x.factor * d.size > 0
+      then (u / (1 - u)) / ((x.factor * d.size) / (1 - (x.factor * d.size))) end as ratio
+  from d join p on d.source is not distinct from p.source left join x on d.source is not distinct from x.source),
 c as (select *, sum(size) over (partition by source order by ratio, u, size, r
     rows between unbounded preceding and current row) as upto from j)
 select doc_id, size, source_size, target,

@@ -80,3 +80,28 @@ def test_words_that_end_on_the_target(spark):
     assert check_queries.compare(mix, db.sql(mixing.ORACLE_SQL)) == ""
     copies = {r.doc_id: r.copies for r in mix.collect() if r.copies}
     assert Counter(r.doc_id for r in corpus_pipeline.source_mix(spark, df, "").collect()) == copies
+
+
+def test_inclusion_is_in_proportion_to_size(spark):
+    """Over many seeds, a document's extra copies follow its words; those that would go beyond 1 are always taken."""
+    sizes = [1] * 30 + [4] * 30 + [12] * 10 + [400]
+    rows = [(k, " ".join(["w"] * n), "a") for k, n in enumerate(sizes)] + [(999, " ".join(["w"] * 4000), "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+
+    def weights(sizes_of):
+        return sizes_of.withColumn("weight", F.when(F.col("source") == "a", 52).otherwise(400))  # about 1 word in 9 once more
+
+    plan = {r.source: r.target for r in mixing.targets(weights(spark.createDataFrame([("a", sum(sizes)), ("b", 4000)], "source string, source_size long"))).collect()}
+    wanted = plan["a"] - sum(sizes) * (plan["a"] // sum(sizes))
+    seeds, taken = 20, Counter()
+    for seed in range(seeds):
+        for r in mixing.mixed(df, weights, seed=f"s{seed}").where("source = 'a'").select("doc_id", "copies").collect():
+            taken[r.doc_id] += r.copies - int(plan["a"] // sum(sizes))
+    squares = sum(n * n for n in sizes if n < 400)
+    certain = wanted / sum(n * n for n in sizes) * 400 >= 1
+    factor = (wanted - 400) / squares if certain else wanted / sum(n * n for n in sizes)
+    for n in (1, 4, 12):
+        own = [taken[k] / seeds for k, m in enumerate(sizes) if m == n]
+        assert sum(own) / len(own) == pytest.approx(min(1, factor * n), abs=0.1)
+    if certain:
+        assert taken[len(sizes) - 1] == seeds
