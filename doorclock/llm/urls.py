@@ -14,6 +14,7 @@ has the name of a result column is replaced by it.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -54,16 +55,15 @@ def digest(host: Column, path: Column) -> Column:
 
 
 def expressions(host: Column, path: Column, shapes: list[tuple[int, int]]) -> Column:
-    """Digests of the host suffixes and path prefixes of the given (labels, path length)."""
-    labels = F.size(F.split(host, r"\."))
-    found = [
-        F.when(
-            (labels >= n) & (F.length(path) >= size),
-            digest(F.substring_index(host, ".", -n), F.substring(path, 1, size)),
-        )
-        for n, size in shapes
-    ]
-    return F.array_compact(F.array(*found)) if found else F.array().cast("array<string>")
+    """Digests of the host suffixes and path prefixes of the given (labels, path length).
+
+    The shapes are one constant array, so the plan stays as small with thousands of them.
+    """
+    known = F.from_json(F.lit(json.dumps([{"labels": n, "size": size} for n, size in shapes])), "array<struct<labels:int,size:int>>")
+    labels, length = F.size(F.split(host, r"\.")), F.length(path)
+    fitting = F.filter(known, lambda s: (s["labels"] <= labels) & (s["size"] <= length))
+    suffix = lambda s: F.call_function("substring_index", host, F.lit("."), -s["labels"])
+    return F.transform(fitting, lambda s: digest(suffix(s), F.substring(path, F.lit(1), s["size"])))
 
 
 def filtered(urls: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow") -> DataFrame:
@@ -77,7 +77,7 @@ def filtered(urls: DataFrame, rules: DataFrame, url: str = "url", default: str =
         digest(F.col("host"), F.col("path")).alias("_digest"),
     )
     keyed = staged(keyed.withColumn("_key", F.substring("_digest", 1, PREFIX_HEX)), "url_rules")
-    # The shapes are bounded by the longest rule, not by the number of rules or URLs.
+    # At most as many shapes as label counts times path lengths of rules, however many rules there are.
     shapes = sorted((r[0], r[1]) for r in keyed.select("_labels", "_size").distinct().collect())
 
     rows = packed(urls)

@@ -39,3 +39,14 @@ def test_block_wins_over_an_equal_allow(spark):
     both = spark.createDataFrame([("allow", "a.b", "/"), ("block", "a.b", "/")], "verdict string, host string, path string")
     df = spark.createDataFrame([(1, "http://a.b/")], "page_id int, url string")
     assert urls.filtered(df, both).first().verdict == "block"
+
+
+def test_thousands_of_rule_shapes(spark):
+    """Rules of 2,000 unlike shapes, and URLs that fit the longest, some, or none of them."""
+    rules = [("block" if k % 3 else "allow", ".".join(["a"] * (1 + k % 20)), "/" + "p" * (k // 20)) for k in range(2000)]
+    cases = [f"http://{'.'.join(['a'] * n)}/{'p' * m}?x" for n in (1, 7, 20, 30) for m in (0, 13, 99, 300)] + ["http://b/p", None]
+    df = spark.createDataFrame([(k, u) for k, u in enumerate(cases)], "page_id int, url string")
+    out = urls.filtered(df, urls.rule_table(spark, rules))
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in out.collect()}
+    assert got == {k: by_hand(u, rules) for k, u in enumerate(cases)}
+    assert len(out._jdf.queryExecution().executedPlan().toString()) < 400_000
