@@ -6,6 +6,10 @@ order are hashed into a node, and so on up to one root per file. Two replicas ar
 root, and only below roots that differ are the children compared, down to the records. Built from
 DataFrame functions only.
 
+A node's hash covers its ranges in their order, by number and content, not by their absolute place: a
+record that has become longer moves all records behind it in the file, and those are intact. Each
+node carries the bytes it spans in its own replica, and the audit reports where a bad record lies in either.
+
 Defined results: a null URL or body is written as an empty one; rows are ordered by id, nulls first,
 then by content, and equal rows are separate equal records; a record that one replica lacks is
 reported as missing or extra; empty replicas are equal; extra columns are ignored.
@@ -20,7 +24,7 @@ from doorclock.plans.staging import staged
 
 RECORDS_PER_FILE = 1024
 FANOUT = 16
-RANGES = 64
+RANGES, RANGE_ROWS = 64, 100_000  # at least so many ranges of records, and about so many rows in one
 
 
 def record_bytes(url: Column, body: Column) -> Column:
@@ -49,15 +53,14 @@ def numbered(pages: DataFrame, order: list[Column], per_file: int = RECORDS_PER_
     The order is cut into ranges at sampled places, rows are counted per range, and each range is
     numbered from the count before it: no task sees more than its range.
     """
-    ranged = staged(
-        pages.repartitionByRange(RANGES, *order).withColumn("_range", F.spark_partition_id()), "warc_ranges"
-    )
+    ranges = max(RANGES, -(-pages.count() // RANGE_ROWS))
+    ranged = staged(pages.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id()), "warc_ranges")
     counts = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     at = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1 + F.col("_start")
     return (
-        ranged.join(F.broadcast(starts), "_range")  # one row per range, at most RANGES
+        ranged.join(starts, "_range")  # one row per range
         .withColumn("_at", at)
         .withColumns({"file_no": F.floor(F.col("_at") / per_file), "record_no": (F.col("_at") % per_file).cast("int")})
         .drop("_range", "_start", "_at")
@@ -94,7 +97,8 @@ def tree(leaves: DataFrame, fanout: int = FANOUT, per_file: int = RECORDS_PER_FI
 def differing(left: DataFrame, right: DataFrame, fanout: int = FANOUT) -> DataFrame:
     """Records that differ between two trees: file_no, record_no, both hashes and offsets, problem.
 
-    Descends from the roots: nodes of a level are compared only if their parents differ.
+    Descends from the roots: nodes of a level are compared only if their parents differ. Trees stored by
+    `level` are read one level at a time, and where few nodes differ, only those below them are moved.
     """
     top = left.unionByName(right).agg(F.max("level").alias("top")).first().top
     found = None
@@ -108,7 +112,8 @@ def differing(left: DataFrame, right: DataFrame, fanout: int = FANOUT) -> DataFr
                 above = found.select("file_no", F.col("node").alias("_above"))
                 nodes = nodes.withColumn("_above", F.floor(F.col("node") / fanout)).join(above, ["file_no", "_above"], "left_semi").drop("_above")
             sides.append(nodes)
-        found = sides[0].join(sides[1], ["file_no", "node"], "full").where(~F.col("hash_a").eqNullSafe(F.col("hash_b")))
+        # Written, so that each level's size is known and the one below is joined by it.
+        found = staged(sides[0].join(sides[1], ["file_no", "node"], "full").where(~F.col("hash_a").eqNullSafe(F.col("hash_b"))), "warc_level")
     problem = F.when(F.col("hash_b").isNull(), "missing").when(F.col("hash_a").isNull(), "extra").otherwise("changed")
     return found.select("file_no", F.col("node").cast("int").alias("record_no"), "offset_a", "offset_b", "hash_a", "hash_b", problem.alias("problem"))
 
@@ -136,7 +141,7 @@ def query(spark, sf_dir: str) -> DataFrame:
     b = offsets(
         records.where("leaf_b is not null").select("file_no", "record_no", F.col("leaf_b").alias("leaf"), F.col("length_b").alias("length"))
     )
-    trees = [staged(tree(x), "warc_tree") for x in (a, b)]
+    trees = [staged(tree(x), "warc_tree", "level") for x in (a, b)]
     bad = differing(*trees).select("file_no", "record_no", "offset_b", "hash_b", "problem")
     return a.join(bad, ["file_no", "record_no"], "left").select(
         "page_id", "file_no", "record_no", "offset", "length", "leaf", "offset_b", "hash_b",

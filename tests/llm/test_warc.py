@@ -43,3 +43,20 @@ def test_records_numbers_and_offsets(spark):
     assert [(r.page_id, r.file_no, r.record_no) for r in got] == [(None, 0, 0), (1, 0, 1), (1, 0, 2), (3, 1, 0)]
     assert [r.offset for r in got] == [0, got[0].length, got[0].length + got[1].length, 0]
     assert b"Content-Length: 2\r\n\r\n\xc3\xa9\r\n\r\n" in bytes(raw.where("page_id is null").first().record)
+
+
+def test_records_behind_a_longer_one_are_intact(spark):
+    """The rule on offsets: other places, equal records, equal nodes."""
+    left, right = ([x, *[f"record {k}" for k in range(7)]] for x in ("short", "a good deal longer"))
+    assert audit(spark, left, right) == {(0, 0): "changed"}
+    places = [{r.record_no: r.offset for r in leaves(spark, x).collect()} for x in (left, right)]
+    assert all(places[0][k] < places[1][k] for k in range(1, 8))
+
+
+def test_extra_columns_of_clashing_names_and_many_ranges(spark, monkeypatch):
+    monkeypatch.setattr(warc, "RANGE_ROWS", 3)
+    monkeypatch.setattr(warc, "RANGES", 2)
+    df = spark.range(40).select((F.col("id") * 7 % 40).alias("page_id"), F.lit("x").alias("file"), F.lit(None).cast("int").alias("level"), F.lit("n").alias("node"))
+    got = warc.numbered(df, [F.col("page_id")], 16).collect()
+    assert {r.page_id: (r.file_no, r.record_no) for r in got} == {k: (k // 16, k % 16) for k in range(40)}
+    assert all((r.file, r.level, r.node) == ("x", None, "n") for r in got)
