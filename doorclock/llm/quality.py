@@ -25,13 +25,15 @@ from doorclock.plans.staging import staged
 class QualityRules:
     """Limits of the verdicts.
 
-    A host is rejected only if its shrunk failure rate is above `max_host_rate`: then a document
-    that passes the base rules itself is the exception on its host.
+    A host is rejected if its odds of failure are surely more than `host_odds` times those of the corpus: if
+    even its shrunk rate less `sureness` posterior deviations is above the rate of such odds. So a host is
+    measured by the corpus it is part of, and one of few documents is never sure.
     """
 
     min_words: int = 50
     max_repeat_percent: int = 50
-    max_host_rate: float = 0.8
+    host_odds: float = 3.0
+    sureness: float = 3.0
 
 
 RULES = QualityRules()
@@ -138,9 +140,12 @@ def host_counts(rows: DataFrame, host: str = "source") -> DataFrame:
 def host_verdicts(rows: DataFrame, hosts: DataFrame, host: str = "source", rules: QualityRules = RULES) -> DataFrame:
     """Add `host_docs`, `host_failed`, `host_rate` (shrunk), `host_failing` and `kept`."""
     a, b = beta_prior(hosts)
-    rate = (F.col("host_failed") + F.lit(a)) / (F.col("host_docs") + F.lit(a + b))
+    strength = F.col("host_docs") + F.lit(a + b)
+    rate = (F.col("host_failed") + F.lit(a)) / strength
     joined = packed(rows).join(hosts, F.col("row").getField(host).eqNullSafe(F.col("host")))
-    failing = rate > rules.max_host_rate
+    deviation = F.sqrt(rate * (1 - rate) / (strength + 1))
+    mean = a / (a + b)
+    failing = rate - rules.sureness * deviation > rules.host_odds * mean / (1 - mean + rules.host_odds * mean)
     return unpacked(joined, rows.columns, {
         "host_docs": F.col("host_docs"),
         "host_failed": F.col("host_failed"),
@@ -193,10 +198,11 @@ s as (select *, x / n as mean, (x / n) * (1 - x / n) as noise from t),
 v as (select *, (n - nn / n - (hosts - 1)) * noise as free from s),
 p as (select mean, 1 / least(greatest(case when free > 0 then (xx - n * mean * mean - (hosts - 1) * noise) / free else 0 end,
     1e-6), 0.999) - 1 as strength from v),
-j as (select f.*, h.host_docs, h.host_failed,
+j as (select f.*, h.host_docs, h.host_failed, mean, h.host_docs + strength as known,
     (h.host_failed + mean * strength) / (h.host_docs + strength) as rate
   from f join h on f.source is not distinct from h.source, p)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  not base_failed and not (rate > 0.8) as kept, host_docs, host_failed, round(rate, 6) as host_rate
+  not base_failed and not (rate - 3 * sqrt(rate * (1 - rate) / (known + 1)) > 3 * mean / (1 - mean + 3 * mean)) as kept,
+  host_docs, host_failed, round(rate, 6) as host_rate
 from j
 """

@@ -35,6 +35,20 @@ def test_failing_host_takes_its_documents_along(spark):
     assert got[4001].kept and 0.3 < got[4001].host_rate < 0.7  # two documents say little
 
 
+def test_a_host_is_measured_by_its_corpus(spark):
+    """A rate of 0.4 is far above a corpus of 0.05, near one of 0.3, and says little of a host of five documents."""
+    good, bad = " ".join(f"w{k}" for k in range(60)), "too short"
+
+    def failing(hosts):
+        rows = [(bad if i < failed else good, host) for host, n, failed in hosts for i in range(n)]
+        got = quality.judged(spark.createDataFrame(rows, "text string, source string"))
+        return {r.source for r in got.where("host_failing").select("source").distinct().collect()}
+
+    usual = [(f"h{k}", 200, 10) for k in range(12)]
+    assert failing([*usual, ("odd", 200, 80), ("small", 5, 2)]) == {"odd"}
+    assert failing([*[(f"h{k}", 200, 60) for k in range(12)], ("odd", 200, 80)]) == set()
+
+
 @pytest.mark.parametrize("rates", [[0.1] * 8, [0.0] * 5, [1.0] * 5, [0.05, 0.5, 0.9]])
 def test_prior_keeps_the_mean(spark, rates):
     hosts = spark.createDataFrame([(100 * (k + 1), round(100 * (k + 1) * r)) for k, r in enumerate(rates)], "host_docs long, host_failed long")
