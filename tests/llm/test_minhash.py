@@ -95,27 +95,6 @@ def test_rows_of_one_id_bring_their_sets_together(spark):
     assert {r.component_id for r in M.verdicts(df).collect()} == {3}
 
 
-@pytest.mark.parametrize("similar", [0.3, 0.5])
-def test_documents_of_one_template_make_no_group(spark, monkeypatch, similar):
-    """Many candidates, no link: nothing but the buckets' own pairs is met, and next to none on full sets."""
-    rng = np.random.default_rng(7)
-    words, share = 300, 2 * similar / (1 + similar)
-    base = [f"t{k}" for k in range(int(words * share))]
-    texts = [" ".join(base + [f"own{d}x{k}" for k in range(words - len(base))]) for d in range(500)]
-    rows = [(int(d), texts[d]) for d in rng.permutation(500)]
-    confirmed = []
-    real = M._linked
-
-    def linked(rows, pairs, settings):
-        confirmed.append(pairs.count())
-        return real(rows, pairs, settings)
-
-    monkeypatch.setattr(M, "_linked", linked)
-    got = M.verdicts(spark.createDataFrame(rows, "doc_id long, text string"), M.QUERY).collect()
-    assert all(r.kept and r.component_id == r.doc_id for r in got) and len(got) == 500
-    assert sum(confirmed) < 100
-
-
 def test_links_that_the_least_member_rejects(spark):
     """A template's documents share buckets with each other; pairs of near copies among them are still found."""
     base = [f"t{k}" for k in range(200)]
