@@ -33,13 +33,14 @@ from pyspark.sql import functions as F
 
 from doorclock.llm.ranks import top_rows
 from doorclock.llm.shingles import C1, scrambled
-from doorclock.plans.staging import staged
+from doorclock.plans.staging import released, staged
 
 UNKNOWN = "und"
 LONGEST = 4
 SLICE_BYTES = 4 << 20
 HELD_WORDS, HELD_ROWS = 400_000, 1_000_000  # of a task, before it passes its counts on
 BUCKET = 8 * 4096  # bits of one row of Spark's bitmap functions
+WORDS_OF_BUCKET = 1 << 20  # of the corpus, for one bucket of phrases to count
 
 # Blanks as blanks, ends of pieces as full stops, A-Z in lower case.
 _CLEAN = bytes(
@@ -52,7 +53,7 @@ class Mining:
     """`support` of a phrase in its language; drop one if a longer one has `inside_percent` of its occurrences."""
 
     support: int = 30
-    shards: int = 8
+    shards: int = 4
     inside_percent: int = 80
     most: int = 2000
     word_bits: int = 24
@@ -247,8 +248,15 @@ def _mined(texts: DataFrame, mining: Mining, supports: list[int], found: Callabl
     return _bitmap(sums.where(F.col("n") >= least), mining.phrase_bits)
 
 
-def _counted(texts: DataFrame, support: int, candidates: Callable[[Words, np.ndarray], Iterator[tuple[int, np.ndarray]]]) -> DataFrame:
-    """(lang, phrase, n) of all candidates that reach the support. `candidates` gives (length, places)."""
+def _counted(
+    texts: DataFrame, support: int, total: int, candidates: Callable[[Words, np.ndarray], Iterator[tuple[int, np.ndarray]]]
+) -> DataFrame:
+    """(lang, phrase, n) of all candidates that reach the support. `candidates` gives (length, places).
+
+    A task passes its counts on as lists, one for each language and bucket of phrases; a bucket's lists are
+    added up together. Buckets follow the number of words, so that one holds some ten thousand phrases.
+    """
+    buckets = max(16, -(-total // WORDS_OF_BUCKET))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, Words] = {}
@@ -265,14 +273,24 @@ def _counted(texts: DataFrame, support: int, candidates: Callable[[Words, np.nda
 
         def emptied() -> Iterator[pa.RecordBatch]:
             for lang, own in held.items():
-                words = known[lang].words
+                words, low = known[lang], (1 << 32) - 1
                 for front, back, n in merged(own):
-                    low = (1 << 32) - 1
-                    quads = zip(*[x.tolist() for x in (front >> 32, front & low, back >> 32, back & low)], strict=True)
-                    phrases = [b" ".join([words[k] for k in quad if k]) for quad in quads]
+                    quads = [front >> 32, front & low, back >> 32, back & low]
+                    key = words.keys[quads[0]]
+                    for number in quads[1:]:
+                        key = np.where(number > 0, _longer(key, words.keys[number]), key)
+                    bucket = (key % np.uint64(buckets)).astype(np.int32)
+                    order = np.argsort(bucket, kind="stable")
+                    spelled = zip(*[q[order].tolist() for q in quads], strict=True)
+                    phrases = pa.array([b" ".join([words.words[k] for k in quad if k]) for quad in spelled], pa.binary())
+                    filled, first = np.unique(bucket[order], return_index=True)
+                    ends = pa.array(np.append(first, len(order)).astype(np.int32))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([lang] * len(n), pa.string()), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(n)],
-                        ["lang", "phrase", "n"],
+                        [
+                            pa.array([lang] * len(filled), pa.string()), pa.array(filled),
+                            pa.ListArray.from_arrays(ends, phrases.cast(pa.string())), pa.ListArray.from_arrays(ends, pa.array(n[order])),
+                        ],
+                        ["lang", "bucket", "phrases", "n"],
                     )
             held.clear()
             known.clear()
@@ -292,8 +310,31 @@ def _counted(texts: DataFrame, support: int, candidates: Callable[[Words, np.nda
                 yield from emptied()
         yield from emptied()
 
-    parts = texts.mapInArrow(count, "lang string, phrase string, n long")
-    return parts.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= support)
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str, int] = defaultdict(int)
+        now = None
+
+        def frequent() -> pa.RecordBatch:
+            kept = {p: n for p, n in sums.items() if n >= support}
+            arrays = [pa.array([now[1]] * len(kept), pa.string()), pa.array(list(kept), pa.string()), pa.array(list(kept.values()), pa.int64())]
+            sums.clear()
+            return pa.RecordBatch.from_arrays(arrays, ["lang", "phrase", "n"])
+
+        for batch in batches:
+            for bucket, lang, phrases, n in zip(*[batch.column(c) for c in ("bucket", "lang", "phrases", "n")], strict=True):
+                key = (bucket.as_py(), lang.as_py())
+                if key != now:
+                    if sums:
+                        yield frequent()
+                    now = key
+                for phrase, times in zip(phrases.values.to_pylist(), n.values.to_pylist(), strict=True):
+                    sums[phrase] += times
+        if sums:
+            yield frequent()
+
+    parts = texts.mapInArrow(count, "lang string, bucket int, phrases array<string>, n array<long>")
+    dealt = parts.repartition("bucket").sortWithinPartitions("bucket", "lang")
+    return dealt.mapInArrow(added, "lang string, phrase string, n long")
 
 
 def frequent_phrases(docs: DataFrame, mining: Mining = Mining(), text: str = "text", lang: str = "lang") -> tuple[DataFrame, DataFrame]:
@@ -305,15 +346,17 @@ def frequent_phrases(docs: DataFrame, mining: Mining = Mining(), text: str = "te
     supports = [max(1, -(-mining.support * shards.get(k, 0) // total)) for k in range(mining.shards)]
     frequent = _frequent_words(words, mining)
     pairs = _mined(texts, mining, supports, lambda words, a: [_runs(words, a, frequent)[1]])
+    released(docs.sparkSession)  # each reading is done with what it has shuffled
     longer = _mined(
         texts, mining, supports, lambda words, a: [key for length, _, key in _windows(words, a, frequent, pairs) if length > 2]
     )
+    released(docs.sparkSession)
 
     def candidates(words: Words, a: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         for length, at, key in _windows(words, a, frequent, pairs):
             yield length, at if length == 2 else at[_known(longer, key)]
 
-    counted = _counted(texts, mining.support, candidates)
+    counted = _counted(texts, mining.support, total, candidates)
     single = words.where("word is not null").select("lang", F.col("word").alias("phrase"), "n")
     return staged(counted.unionByName(single), "phrases"), words.where("word is null and lang is not null").select("lang", "n")
 
