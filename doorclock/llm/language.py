@@ -31,9 +31,13 @@ UNKNOWN = "und"
 
 @dataclass(frozen=True)
 class Settings:
-    """`per_language` bounds the sample: so many documents of each language, `pieces` of each."""
+    """`per_language` bounds the sample: so many documents of each language, `pieces` of each.
+
+    `languages` bounds how many are learned, the most frequent labels first, whatever stands in a dirty column.
+    """
 
     hidden: int = 8
+    languages: int = 512
     per_language: int = 400
     pieces: int = 4
     piece_chars: int = 64
@@ -214,7 +218,8 @@ def _segments(model: Model, data: np.ndarray, starts: np.ndarray, lengths: np.nd
 def sample(docs: DataFrame, settings: Settings = Settings(), text: str = "text", lang: str = "lang", key: str = "doc_id") -> list[tuple[str, bytes]]:
     """Pieces of at most `per_language` documents of each language, chosen by a hash of their id."""
     known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(F.col(key)))
-    counts = {r[0]: r[1] for r in known.groupBy(lang).count().collect()}  # a row per language
+    frequent = known.groupBy(F.col(f"`{lang}`").alias("lang")).agg(F.count(F.lit(1)).alias("n"))
+    counts = {r.lang: r.n for r in frequent.orderBy(F.desc("n"), "lang").limit(settings.languages).collect()}
     if not counts:
         return []
     # Somewhat more than wanted by chance, then exactly the first by hash.
@@ -224,7 +229,7 @@ def sample(docs: DataFrame, settings: Settings = Settings(), text: str = "text",
     at = [F.floor(unit_hash(F.lit(f"piece{k}"), F.col(key)) * size).cast("int") + 1 for k in range(settings.pieces)]
     chosen = (
         known.select(F.col(lang).alias("lang"), rank.alias("rank"), *[F.substring(F.col(text), a, F.lit(settings.piece_chars)).alias(f"p{k}") for k, a in enumerate(at)])
-        .where(F.col("rank") < F.element_at(share, F.col("lang")))
+        .where(F.col("rank") < F.try_element_at(share, F.col("lang")))
         .collect()
     )
     rows = sorted(chosen, key=tuple)

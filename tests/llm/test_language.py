@@ -83,6 +83,12 @@ def test_texts_without_letters(spark):
     assert [r.lang_pred == "und" and r.score == 0 for r in got] == [True] * 5 + [False] * 3
 
 
+def test_dirty_labels_are_bounded(spark):
+    rows = [(k, "some text", "en" if k % 2 else "fr" if k % 3 else f"junk{k}") for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, lang string")
+    assert {lang for lang, _ in L.sample(docs, L.Settings(languages=2))} == {"en", "fr"}
+
+
 def test_odd_rows(spark, odd_documents, no_documents):
     model = L.trained(L.sample(odd_documents), L.Settings(steps=3))
     got = L.predicted(odd_documents, model).collect()
