@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType, StructField
 
 from doorclock import settings as S
 from doorclock.functions.scaling import number, scaled, whole
@@ -70,14 +71,17 @@ def _complete(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.where(reduce(lambda a, b: a & b, [F.col(f"`{c}`").isNotNull() for c in columns]))
 
 
-def _missing_as_flag(column: str) -> Column:
-    """Missing values of a table sample read as -1, as they do in a text sample."""
-    return F.coalesce(F.col(column).cast("string"), F.lit("-1"))
+def _missing_as_flag(field: StructField) -> Column:
+    """Missing values of a table sample read as -1, as they do in a text sample; numbers stay numbers."""
+    value = F.col(f"`{field.name}`")
+    if isinstance(field.dataType, NumericType):
+        return F.coalesce(value, F.lit(-1).cast(field.dataType))
+    return F.coalesce(value.cast("string"), F.lit("-1"))
 
 
 def with_null_flags(sample: DataFrame) -> DataFrame:
     """A table sample with its nulls marked, so it gives the rows its text export gives."""
-    return sample.select(*[_missing_as_flag(c).alias(c) for c in sample.columns])
+    return sample.select(*[_missing_as_flag(f).alias(f.name) for f in sample.schema])
 
 
 def city_speed(city: Column) -> Column:
