@@ -104,7 +104,7 @@ def handover_features(sample: DataFrame) -> DataFrame:
     """Features and label (seconds in the circle, above 0) of the hand-over sample."""
     hour = hour_of(F.col("finish_time").cast("string"))
     rows = sample.select(
-        "order_id",
+        F.col("order_id").cast("string").alias("order_id"),
         *[F.col(c).cast("string").alias(c) for c in HANDOVER_CATEGORIES if c != "hour"],
         hour.cast("string").alias("hour"),
         peak_class(hour).alias("_class"),
@@ -142,7 +142,7 @@ def pickup_features(sample: DataFrame) -> DataFrame:
         return F.when(test, "1").otherwise("0")
 
     rows = sample.select(
-        "delivery_id",
+        F.col("delivery_id").cast("string").alias("delivery_id"),
         F.col("cargo_type_id").cast("string").alias("cargo_type_id"),
         F.col("city_id").cast("string").alias("city_id"),
         F.col("city_id").try_cast("int").alias("_city"),
