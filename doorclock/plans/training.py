@@ -18,7 +18,7 @@ from doorclock.operators.boosting import BoostedTrees, train_absolute
 from doorclock.operators.encoding import encoder, feature_names, largest_category, per_feature, tree_encoder
 from doorclock.operators.errors import error_report
 from doorclock.operators.sampling import split_name
-from doorclock.plans.staging import staged
+from doorclock.plans.staging import restored, staged
 
 POSITIVE_WEIGHT = 0.84
 NEGATIVE_WEIGHT = 0.16
@@ -137,6 +137,7 @@ def train_rating(rows: DataFrame, encode: PipelineModel, numbers: list[str]) ->
         maxIter=10000,
         tol=1e-4,
     ).fit(weighted)
+    model = restored(model, rows.sparkSession, "rating-model")
     return Trained(PipelineModel([*encode.stages, model]), feature_names(encode, numbers))
 
 

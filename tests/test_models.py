@@ -3,7 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from doorclock.operators import encoding, features
+from doorclock.operators import audit, encoding, features
 from doorclock.plans import training
 from doorclock.sources import sinks
 
@@ -80,6 +80,14 @@ def test_rating_model(spark):
     assert weights["x"] > 0
 
 
+def test_rating_scores_in_a_session_that_has_observed_a_job(spark):
+    seen, taken = audit.observed(spark.range(5), {"rows": F.count(F.lit(1))})
+    assert seen.count() == 5 and taken.get["rows"] == 5
+    rows = spark.range(200).select((F.col("id") % 4).cast("string").alias("grade"), (F.col("id") % 9).cast("double").alias("x"), F.when(F.col("id") % 3 == 0, 1).otherwise(-1).alias("label"))
+    trained = training.train_rating(rows, training.fit_encoder(rows, ["grade"], ["x"]), ["x"])
+    assert all(0 < r.prob < 1 for r in training.score_rating(trained.pipeline, rows).collect())
+
+
 def test_current_values_follow_the_hour(spark):
     names = [*features._HANDOVER_REALS, *features._HANDOVER_WHOLES]
     values = {n: str(i) for i, n in enumerate(names)}
