@@ -75,8 +75,8 @@ def publish_merged(df: DataFrame, layout: dict, keys: list[str], path: str) -> D
             return F.when(own, F.col(f"old.{name}")).otherwise(F.col(f"new.{name}")).alias(name)
 
         merged = both.select(*map(column, layout))
-    daily.replace_days(merged.withColumn("version", F.lit("current")), path, ["current"], by="version")
-    return daily.read_days(spark, path, by="version").select(*layout)
+    version = daily.replace_days(merged.withColumn("version", F.lit("current")), path, ["current"], by="version")
+    return version.select(*layout)  # without rows if no run had any
 
 
 def publish_jdbc(df: DataFrame, layout: dict, keys: list[str], url: str, table: str, **options: str) -> None:

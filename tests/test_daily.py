@@ -124,6 +124,15 @@ def test_publication_by_key(spark, tmp_path):
     assert rows_of(daily.read_days(spark, path, by="version").select(*layout)) == rows_of(table)
 
 
+def test_publication_of_runs_without_rows(spark, tmp_path):
+    path, layout, key = str(tmp_path / "p"), schemas.SUPPLIER_HISTORY, schemas.SUPPLIER_HISTORY_KEY
+    rows = published(spark, [(1, 1, 5, 1.0, 2.0)], "t1")
+    for _ in range(2):
+        table = sinks.publish_merged(rows.limit(0), layout, key, path)
+        assert table.columns == [*layout] and table.collect() == []
+    assert [r.supplier_id for r in sinks.publish_merged(rows, layout, key, path).collect()] == [1]
+
+
 @pytest.fixture
 def sample(tmp_path):
     folder = tmp_path / "sample"
