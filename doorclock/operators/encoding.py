@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import OneHotEncoder, OneHotEncoderModel, StringIndexer, StringIndexerModel, VectorAssembler
-from pyspark.ml.linalg import Vector
+from pyspark.ml.feature import OneHotEncoder, StringIndexer, StringIndexerModel, VectorAssembler
+from pyspark.ml.linalg import Vector, Vectors
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,23 +36,26 @@ def largest_category(model: PipelineModel) -> int:
     return max((len(labels) + 1 for labels in indexer.labelsArray), default=1)
 
 
-def encoder(categories: list[str], numbers: list[str], output: str = "features") -> Pipeline:
-    """A category not seen in fitting gives zeros in all its columns."""
-    indexed = [f"{c}_index" for c in categories]
-    hot = [f"{c}_hot" for c in categories]
-    return Pipeline(
-        stages=[
-            _indexer(categories, indexed),
-            OneHotEncoder(inputCols=indexed, outputCols=hot, dropLast=True),
-            VectorAssembler(inputCols=hot + numbers, outputCol=output),
-        ]
-    )
+def encoder(rows: DataFrame, categories: list[str], numbers: list[str], output: str = "features") -> PipelineModel:
+    """Fitted to the rows. A category not seen in fitting gives zeros in all its columns.
+
+    A column without any value in the rows has no indicators, and a table without rows has numbers only.
+    """
+    indexer = _indexer(categories, [f"{c}_index" for c in categories]).fit(rows)
+    valued = [c for c, labels in zip(categories, indexer.labelsArray) if labels]
+    hot = [f"{c}_hot" for c in valued]
+    assemble = VectorAssembler(inputCols=hot + numbers, outputCol=output)
+    if not valued:
+        return PipelineModel([indexer, assemble])
+    one_hot = OneHotEncoder(inputCols=[f"{c}_index" for c in valued], outputCols=hot, dropLast=True)
+    return PipelineModel([indexer, one_hot.fit(indexer.transform(rows)), assemble])
 
 
 def feature_names(model: PipelineModel, numbers: list[str]) -> list[str]:
     """Name of each vector element: `category=value` (of trees: `category`), then the numbers."""
     indexer = next(s for s in model.stages if isinstance(s, StringIndexerModel))
-    if not any(isinstance(s, OneHotEncoderModel) for s in model.stages):
+    assembled = next(s for s in model.stages if isinstance(s, VectorAssembler)).getInputCols()
+    if set(indexer.getOutputCols()) & set(assembled):
         return [*indexer.getInputCols(), *numbers]
     hot = [
         f"{column}={label}"
@@ -71,17 +74,19 @@ def per_feature(df: DataFrame, values: dict[str, Vector], names: list[str]) -> D
 
 
 def encoded_totals(model: PipelineModel, df: DataFrame, numbers: list[str]) -> DataFrame:
-    """Rows with a value other than zero, and the sum, per encoded feature."""
+    """Rows with a value other than zero, and the sum, per encoded feature; of no rows, 0 and null."""
     summary = (
         model.transform(df)
-        .select(Summarizer.metrics("numNonZeros", "sum").summary(F.col("features")).alias("s"))
+        .groupBy(F.lit(1))  # no row at all where there is nothing to summarise
+        .agg(Summarizer.metrics("numNonZeros", "sum").summary(F.col("features")).alias("s"))
         .select("s.numNonZeros", "s.sum")
         .first()
     )
-    values = {"n_nonzero": summary["numNonZeros"], "total": summary["sum"]}
-    return per_feature(df, values, feature_names(model, numbers)).withColumn(
-        "n_nonzero", F.col("n_nonzero").cast("long")
-    )
+    names = feature_names(model, numbers)
+    nothing = Vectors.dense([0.0] * len(names))
+    values = {"n_nonzero": summary["numNonZeros"], "total": summary["sum"]} if summary else {"n_nonzero": nothing, "total": nothing}
+    totals = per_feature(df, values, names).withColumn("n_nonzero", F.col("n_nonzero").cast("long"))
+    return totals if summary else totals.withColumn("total", F.lit(None).cast("double"))
 
 
 def top_features(importance: DataFrame, n: int = 20) -> DataFrame:
