@@ -37,7 +37,7 @@ class Trained:
 
 
 def fit_encoder(rows: DataFrame, categories: list[str], numbers: list[str]) -> PipelineModel:
-    return encoder(categories, numbers).fit(rows)
+    return encoder(rows, categories, numbers)
 
 
 def fit_tree_encoder(rows: DataFrame, categories: list[str], numbers: list[str]) -> PipelineModel:
@@ -96,9 +96,11 @@ def train_pickup(
     """One model for riding to the shop and one for waiting there, on the same features.
 
     Both are trained at the same time: a round is a chain of short jobs that leaves cores idle. The
-    rows are encoded once for both.
+    rows are encoded once for both. Without rows there is nothing to learn from, and no model.
     """
     rows = staged(encode.transform(rows).select("features", *PICKUP_LABELS), "encoded")
+    if rows.isEmpty():
+        return {}
     with ThreadPoolExecutor(len(PICKUP_LABELS)) as pool:
         models = pool.map(
             lambda label: train_duration(rows, label, encode, numbers, trees), PICKUP_LABELS
@@ -107,7 +109,10 @@ def train_pickup(
 
 
 def pickup_report(models: dict[str, Trained], rows: DataFrame) -> DataFrame:
-    """Errors of both pick-up models on training and test rows."""
+    """Errors of both pick-up models on training and test rows; no row without models."""
+    if not models:
+        unscored = rows.select("delivery_id", PICKUP_LABELS[0], F.lit(None).cast("double").alias("predicted")).limit(0)
+        return fit_report(unscored, "delivery_id", PICKUP_LABELS[0]).select(F.lit("").alias("model"), "*")
 
     def report(label: str, trained: Trained) -> DataFrame:
         # A report reads its rows twice; the trees should not be walked twice.

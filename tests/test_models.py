@@ -28,6 +28,24 @@ def test_two_pickup_models(spark, rows):
     assert sum(r["n"] for r in report) == 1200
 
 
+def test_pickup_models_of_no_rows(spark, rows):
+    data = rows.select(F.col("key").alias("delivery_id"), "city", "x", F.col("label").alias("label_a1"), F.col("label").alias("label_a2"))
+    empty = data.limit(0)
+    encode = training.fit_tree_encoder(empty, ["city"], ["x"])
+    report = training.pickup_report(training.train_pickup(empty, encode, ["x"], trees=3), empty)
+    full = training.pickup_report(training.train_pickup(data, encode, ["x"], trees=1), data)
+    assert report.collect() == [] and report.dtypes == full.dtypes
+
+
+def test_encoded_totals_of_no_rows_and_of_a_category_without_values(spark, rows):
+    totals = encoding.encoded_totals(training.fit_encoder(rows.limit(0), ["city"], ["x"]), rows.limit(0), ["x"])
+    assert [tuple(r) for r in totals.collect()] == [("x", 0, None)]
+    data = rows.withColumn("none", F.lit(None).cast("string"))
+    totals = encoding.encoded_totals(training.fit_encoder(data, ["none", "city"], ["x"]), data, ["x"]).collect()
+    assert [r.feature for r in totals] == ["city=0", "city=1", "city=2", "city=3", "x"]
+    assert [r.n_nonzero for r in totals] == [150, 150, 150, 150, 588] and totals[-1].total == pytest.approx(14700)
+
+
 def test_unseen_category_gives_zeros(spark, rows):
     model = training.fit_encoder(rows, ["city"], ["x"])
     names = encoding.feature_names(model, ["x"])
