@@ -157,6 +157,16 @@ def test_deliveries_are_scanned_once_and_not_repeated(spark, tmp_path):
     assert plan.count("FileScan parquet [delivery_id") == 1 and "Generate" not in plan and "Join" not in plan
 
 
+def test_positions_are_read_and_moved_once(spark, tmp_path):
+    schema = "delivery_id long, transporter_id long, accept_time_unix long, fetch_time_unix long"
+    deliveries = spark.createDataFrame([(1, 7, BASE, BASE + 9 * 86400)], schema)
+    spark.createDataFrame([(7, 1.0, 1.0, BASE + 7200), (7, 2.0, 2.0, BASE + 7200)], PING).write.parquet(str(tmp_path / "p"))
+    found = first_ping.first_pings(deliveries, spark.read.parquet(str(tmp_path / "p")))
+    assert [(r.log_time, r.lat) for r in found.collect()] == [(BASE + 7200, 1.0)]
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("FileScan parquet") == 1
+
+
 def test_first_position_after_days(spark):
     schema = "delivery_id long, transporter_id long, accept_time_unix long, fetch_time_unix long"
     rng = random.Random(8)
