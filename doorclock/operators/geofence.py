@@ -47,14 +47,23 @@ def pings_in_circle(orders: DataFrame, pings: DataFrame, rules: DwellRules = CUR
     Rows are narrow: (order_id, order_row, t_lat, t_lng, report_unixtime); `with_orders` adds the
     order's columns, `stays` only after it has aggregated.
 
-    Courier, block of time and grid cell together form the equi-join key. A position has two blocks,
-    its hour and all time, and one cell; an order is repeated for the few blocks and cells that its
-    window and circle touch. One courier with very many rows therefore spreads over many keys, and the
-    pairs tested are those close in time and place. A long window (an order without a real fetch
-    time) has one block, however long it is, and finds positions whenever they were logged.
+    Courier, hour and grid cell together form the equi-join key. A position has one hour and one cell; an
+    order is repeated for the few hours and cells that its window and circle touch. One courier with very
+    many rows therefore spreads over many keys, and the pairs tested are those close in time and place. A
+    long window (an order without a real fetch time) is repeated for those hours only in which its courier
+    was in the cell, however long it is, and finds positions whenever they were logged.
     """
     until = F.col("finish_time_unix") + rules.slack_s
     first, last = _hour(F.col("fetch_time_unix")), _hour(until)
+    positions = pings.select(
+        F.col("user_id"),
+        F.col("lat").alias("t_lat"),
+        F.col("lng").alias("t_lng"),
+        F.col("log_time").alias("report_unixtime"),
+        geo.lat_cell(F.col("lat")).alias("_p_lat_cell"),
+        geo.lng_cell(F.col("lng")).alias("_p_lng_cell"),
+        _hour(F.col("log_time")).alias("_p_block"),
+    )
     blocks = F.when(last - first >= MOST_HOURS, F.array(F.lit(ALL_TIME))).otherwise(F.sequence(first, last))
     probes = (
         orders.where(F.col("fetch_time_unix") <= until)
@@ -68,14 +77,21 @@ def pings_in_circle(orders: DataFrame, pings: DataFrame, rules: DwellRules = CUR
             F.explode(geo.lng_cells_within(F.col("r_lng"), F.col("r_lat"), rules.circle_m)),
         )
     )
-    positions = pings.select(
-        F.col("user_id"),
-        F.col("lat").alias("t_lat"),
-        F.col("lng").alias("t_lng"),
-        F.col("log_time").alias("report_unixtime"),
-        geo.lat_cell(F.col("lat")).alias("_p_lat_cell"),
-        geo.lng_cell(F.col("lng")).alias("_p_lng_cell"),
-        F.explode(F.array(_hour(F.col("log_time")), F.lit(ALL_TIME))).alias("_p_block"),
+    # All time stands for the hours in which the courier was in the cell; other blocks stay as they are.
+    there = positions.select(
+        F.col("user_id").alias("_user"), F.col("_p_lat_cell").alias("_at_lat"), F.col("_p_lng_cell").alias("_at_lng"),
+        F.col("_p_block").alias("_hour"), F.when(F.col("_p_block").isNotNull(), ALL_TIME).alias("_all"),
+    ).distinct()
+    was_there = (
+        (F.col("transporter_id") == F.col("_user"))
+        & (F.col("_block") == F.col("_all"))
+        & (F.col("_lat_cell") == F.col("_at_lat"))
+        & (F.col("_lng_cell") == F.col("_at_lng"))
+        & F.col("_hour").between(_hour(F.col("fetch_time_unix")), _hour(F.col("_until")))
+    )
+    probes = probes.join(there.hint("merge"), was_there, "left").select(
+        "order_id", "order_row", "transporter_id", "r_lat", "r_lng", "fetch_time_unix", "_until",
+        F.coalesce("_hour", "_block").alias("_block"), "_lat_cell", "_lng_cell",
     )
     inside = (
         (F.col("transporter_id") == F.col("user_id"))
@@ -134,6 +150,19 @@ def without_orders(pings: DataFrame, rejected: DataFrame) -> DataFrame:
     return pings.join(rejected.select(*key), key, "left_anti").select(*pings.columns)
 
 
+def without_overdwell(ranked: DataFrame, rules: DwellRules = CURRENT) -> DataFrame:
+    """As `without_orders` with `overdwell_orders`: each order's first position is read along in the order of ranking."""
+    by_time = Window.partitionBy("order_id").orderBy("report_unixtime", "t_lat", "t_lng")
+    key = F.struct("transporter_id", "receiver_id")
+    late = F.col("report_unixtime") < F.col("finish_time_unix") - rules.overdwell_s
+    rejected = F.first(F.when(late, key)).over(by_time.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return (
+        ranked.withColumn("_rejected", rejected)
+        .where(~F.coalesce((F.col("_rejected.transporter_id") == F.col("transporter_id")) & (F.col("_rejected.receiver_id") == F.col("receiver_id")), F.lit(False)))
+        .drop("_rejected")
+    )
+
+
 def stays(in_circle: DataFrame, orders: DataFrame, *also: str) -> DataFrame:
     """One row per order: seconds from entry to finish, entry to last position, positions, and `also` of the order."""
     totals = in_circle.groupBy("order_id", "order_row").agg(

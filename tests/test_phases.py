@@ -133,6 +133,23 @@ def test_windows_of_days_find_late_positions(spark):
     assert "sequence" in plan and str(geofence.ALL_TIME) in plan
 
 
+def test_positions_are_not_repeated(spark):
+    orders = [order(1, 7, BASE, BASE + 500), order(2, 7, BASE - 90 * 86400, BASE + 500)]
+    found = in_circle(spark, orders, [(7, 30.0, 120.0, BASE + 400), (7, 30.0, 120.0, BASE - 40 * 86400), (8, 30.0, 120.0, BASE)])
+    assert sorted((r.order_id, r.report_unixtime) for r in found.collect()) == [(1, BASE + 400), (2, BASE - 40 * 86400), (2, BASE + 400)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode") == 3  # blocks and cells of orders
+
+
+def test_overdwell_in_one_pass_equals_the_stepwise_flow(spark):
+    orders = [order(k % 17, 7 + k % 2, BASE + 40 * k, BASE + 40 * k + 900 * (k % 4)) for k in range(40)]
+    pings = [(7 + k % 2, 30.0, 120.0, BASE + 13 * k) for k in range(300)]
+    ranked = geofence.ranked_pings(geofence.with_orders(in_circle(spark, orders, pings), spark.createDataFrame(orders, ORDER)))
+    want = geofence.without_orders(ranked, geofence.overdwell_orders(ranked))
+    got = sorted(map(str, geofence.without_overdwell(ranked).collect()))
+    assert got == sorted(map(str, want.collect())) and 0 < len(got) < ranked.count()
+
+
 def test_orders_that_share_an_id_keep_their_own_stay(spark):
     orders = [order(1, 7, BASE, BASE + 500), order(1, 8, BASE, BASE + 900)]
     pings = [(7, 30.0, 120.0, BASE + 400), (7, 30.0, 120.0, BASE + 550), (8, 30.0, 120.0, BASE + 700), (8, 30.0, 120.0, BASE + 950)]
