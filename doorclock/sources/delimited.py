@@ -30,13 +30,26 @@ def parse_lines(
     )
 
 
+TASK_BYTES = 128 * 2**20
+TASKS_PER_CORE = 4
+
+
+def _several_splits_a_task(lines: DataFrame) -> DataFrame:
+    """The same splits, read one after the other in fewer tasks, so that a task is worth its start however short splits are."""
+    read = lines._jdf.queryExecution()
+    size = int(str(read.optimizedPlan().stats().sizeInBytes()))  # by the files
+    tasks = max(TASKS_PER_CORE * lines.sparkSession.sparkContext.defaultParallelism, -(-size // TASK_BYTES))
+    return lines.coalesce(tasks)  # never more tasks than splits
+
+
 def first_lines(spark: SparkSession, path: str, limit: int = -1, until_blank: bool = True) -> DataFrame:
     """(file, line, value): a file's lines up to its first blank one, numbered from 1; of all, the first `limit`.
 
     Files follow each other by path, and with `until_blank` only lines that are kept count towards the
     limit. A file may be read in many splits. Each split counts its lines and finds its first blank one; sums over
     the splits before it, by file and place in the file, then tell how many of its lines are taken. The
-    lines are written once with their split, so both steps see the same splits, whatever executors are there.
+    lines are written once with their split, so both steps see the same splits, whatever executors are there. Short
+    splits share a task, and stay splits of their own.
     """
     lines = spark.read.text(path).select(
         "value",
@@ -44,7 +57,7 @@ def first_lines(spark: SparkSession, path: str, limit: int = -1, until_blank: bo
         F.col("_metadata.file_block_start").alias("split"),
         F.monotonically_increasing_id().alias("at"),  # rises along the lines of a split
     )
-    lines = staged(lines, "sample-lines")
+    lines = staged(_several_splits_a_task(lines), "sample-lines")
     blank = F.lit(until_blank) & (stripped(F.col("value")) == "")
     splits = lines.groupBy("file", "split").agg(
         F.min("at").alias("first"), F.count(F.lit(1)).alias("lines"), F.min(F.when(blank, F.col("at"))).alias("blank")

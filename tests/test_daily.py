@@ -12,6 +12,7 @@ from doorclock import schemas
 from doorclock import settings as S
 from doorclock.operators import history, moments
 from doorclock.plans import phase_a, rolling
+from doorclock.plans.staging import staged
 from doorclock.sources import daily, delimited, sinks
 
 
@@ -174,3 +175,17 @@ def test_a_blank_line_in_a_later_split(spark, sample):
     assert sorted(int(r.k) for r in got.collect()) == list(range(650))
     assert whole.count() == 698
     assert sorted(int(r.k) for r in part.collect()) == [k for k in range(655) if k != 650]
+
+
+def test_short_splits_share_tasks(spark, sample, monkeypatch):
+    path, files, kept = sample
+    tasks = []
+    monkeypatch.setattr(delimited, "staged", lambda df, name: tasks.append(df.rdd.getNumPartitions()) or staged(df, name))
+    with small_splits(spark, "100"):
+        splits = spark.read.text(path).rdd.getNumPartitions()
+        got = delimited.first_lines(spark, path)
+    most = delimited.TASKS_PER_CORE * spark.sparkContext.defaultParallelism
+    assert splits > 100 and tasks == [most]
+    rows = got.collect()
+    assert sorted(r.value for r in rows) == sorted(kept)
+    assert all(r.value == f"{r.value[0]}{r.line - 1}\t{r.line - 1}" for r in rows)
