@@ -288,3 +288,13 @@ def test_scan_filters(spark, tiny):
     assert unfiltered.count() > scanned.count()
     one_day = tables.order_scan(wh.orders, S.DateRange("2024-01-02", "2024-01-02"), fx.ZONE)
     assert {r[0] for r in one_day.select("create_dt").distinct().collect()} == {"2024-01-02"}
+
+
+def test_times_are_parsed_once(spark, tiny):
+    wh = fx.warehouse(spark, tiny)
+    from doorclock.sources import tables
+
+    orders = tables.order_scan(wh.orders, fx.DATES, fx.ZONE).where("fetch_time_unix <= finish_time_unix")
+    deliveries = tables.delivery_scan(wh.deliveries, fx.DATES, fx.ZONE).where("accept_time_unix <= fetch_time_unix")
+    for scanned, texts in ((orders, 2), (deliveries, 4)):
+        assert scanned._jdf.queryExecution().optimizedPlan().toString().count("try_cast(") == texts
