@@ -184,6 +184,17 @@ def test_positions_are_read_and_moved_once(spark, tmp_path):
     assert plan.count("FileScan parquet") == 1
 
 
+def test_positions_are_sorted_once_in_small_shares(spark):
+    deliveries = spark.range(1).selectExpr(
+        "id as delivery_id", "id as transporter_id", "id as accept_time_unix", "id + 9 as fetch_time_unix"
+    )
+    pings = spark.range(1).selectExpr("id as user_id", "id as log_time", "1D as lat", "1D as lng")
+    plan = first_ping.first_pings(deliveries, pings)._jdf.queryExecution().executedPlan().toString()
+    shares = first_ping.TIMES_FINER * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert plan.count("Window [") == 2  # by hour, and by courier
+    assert plan.count(f", {shares}), REPARTITION_BY_NUM") == 2
+
+
 def test_first_position_after_days(spark):
     schema = "delivery_id long, transporter_id long, accept_time_unix long, fetch_time_unix long"
     rng = random.Random(8)
