@@ -18,8 +18,6 @@ from pyspark.sql import functions as F
 from doorclock.operators.errors import exact_percentiles, percentiles_by
 from doorclock.plans.staging import dropped, staged
 
-ROUNDS_APART = 8  # rounds between two writes of what is predicted so far
-
 
 @dataclass(frozen=True)
 class Node:
@@ -107,13 +105,10 @@ class BoostedTrees:
     def steps(self) -> list[float]:
         return [1.0, *[self.step] * (len(self.trees) - 1)][: len(self.trees)]
 
-    def expression(self, features: Column, since: int = 0) -> Column:
-        """The prediction, or what the trees from `since` on add to it.
-
-        The trees are one constant of the plan, walked by the same few expressions whatever their number.
-        """
-        trees = list(zip(self.trees, self.steps(), strict=True))[since:]
-        start = F.lit(0.0 if since else self.start)
+    def expression(self, features: Column) -> Column:
+        """The prediction. The trees are one constant of the plan, walked by the same few expressions whatever their number."""
+        trees = list(zip(self.trees, self.steps(), strict=True))
+        start = F.lit(self.start)
         if not trees:
             return start
         known = F.from_json(F.lit(json.dumps([tree.table(step) for tree, step in trees])), f"array<array<struct<{NODE}>>>")
@@ -195,30 +190,24 @@ def train_absolute(
     model = BoostedTrees(float(start.p50) if start else 0.0, step)
     if start is None:
         return model
-    table = staged(known.withColumn("so_far", F.lit(model.start)), "boosting-rows")
-    written = 0  # trees that the table's `so_far` holds
+    table = stored = staged(known.withColumn("so_far", F.lit(model.start)), "boosting-rows")
+    residual = F.col("target") - F.col("so_far")
     for number in range(trees):
-        if number - written == ROUNDS_APART:
-            older, table, written = table, staged(_so_far(table, model, written), "boosting-rows"), number
-            dropped(older)
-        current = _so_far(table, model, written).withColumn("residual", F.col("target") - F.col("so_far"))
         trainer = DecisionTreeRegressor(
             featuresCol="features", labelCol="sign", maxDepth=depth, maxBins=max_bins, seed=seed + number, leafCol="leaf"
         )
-        wanted = F.signum("residual") if number else F.col("residual")
-        fitted = trainer.fit(current.select("features", wanted.alias("sign")))
-        in_leaves = fitted.transform(current.select("features", "residual"))
-        medians = percentiles_by(in_leaves, F.col("leaf").cast("int").cast("string"), F.col("residual"), (0.5,), with_counts=True)
+        wanted = F.signum(residual) if number else residual
+        fitted = trainer.fit(table.select("features", wanted.alias("sign")))
+        # A round is written with its leaves: a row walks each tree once, however many rounds there are.
+        leaf = F.col("leaf").cast("int").alias("leaf")
+        older, stored = stored, staged(fitted.transform(table).select(*known.columns, "so_far", leaf), "boosting-rows")
+        dropped(older)
+        medians = percentiles_by(stored, F.col("leaf").cast("string"), residual, (0.5,), with_counts=True)
         found = {int(r.segment): (r.p50, r.n) for r in medians.collect()}  # a row per leaf
         tree = read_tree(fitted)
-        model.trees.append(tree.with_leaves(iter([Node(*found.get(k, (0.0, 0))) for k, _ in enumerate(tree.leaves())])))
-    dropped(table)
+        leaves = [Node(*found.get(k, (0.0, 0))) for k, _ in enumerate(tree.leaves())]
+        model.trees.append(tree.with_leaves(iter(leaves)))
+        steps = F.array(*[F.lit(model.steps()[-1] * node.value) for node in leaves])
+        table = stored.select(*known.columns, (F.col("so_far") + F.get(steps, F.col("leaf"))).alias("so_far"))
+    dropped(stored)
     return model
-
-
-def _so_far(table: DataFrame, model: BoostedTrees, written: int) -> DataFrame:
-    if len(model.trees) == written:
-        return table
-    if not written:
-        return model.predict(table, name="so_far")
-    return predicted_by(table, lambda x: F.col("so_far") + model.expression(x, written), name="so_far")

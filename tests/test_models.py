@@ -183,3 +183,23 @@ def test_trees_with_categories_as_expressions(spark):
     both = trained.model.transform(coded).select("order_id", "features", F.col("prediction").alias("fitted"))
     for r in model.predict(both).collect():
         assert r.prediction == pytest.approx(r.fitted, abs=1e-9)
+
+
+def test_rounds_do_not_walk_the_trees_of_earlier_rounds(spark, monkeypatch):
+    from pyspark.ml.feature import VectorAssembler
+
+    from doorclock.operators import boosting
+
+    e = F.col("id")
+    rows = spark.range(300).select((e % 13).cast("double").alias("a"), (e % 7).cast("double").alias("b"), (e % 13 * (e % 7)).cast("double").alias("y"))
+    rows = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(rows)
+
+    def walked(*_):
+        raise AssertionError("a round costs as much as all rounds before it")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(boosting.BoostedTrees, "expression", walked)
+        model = boosting.train_absolute(rows, "y", trees=4, depth=2)
+    error = model.predict(rows).agg(F.avg(F.abs(F.col("prediction") - F.col("y")))).first()[0]
+    start = rows.agg(F.avg(F.abs(F.lit(model.start) - F.col("y")))).first()[0]
+    assert len(model.trees) == 4 and error < start
