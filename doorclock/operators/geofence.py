@@ -41,13 +41,24 @@ def _row_key() -> Column:
     return F.xxhash64(*ORDER_ATTRIBUTES)
 
 
+def _place(*keys: Column) -> Column:
+    """One number for a courier, an hour and a cell."""
+    return F.xxhash64(*keys)
+
+
+def _equal(a: str, b: str) -> Column:
+    """Equality that is tested on rows of one place, and not made a join key of its own."""
+    return F.col(a).between(F.col(b), F.col(b))
+
+
 def pings_in_circle(orders: DataFrame, pings: DataFrame, rules: DwellRules = CURRENT) -> DataFrame:
     """Every position of the order's courier within the circle between fetch and finish + slack.
 
     Rows are narrow: (order_id, order_row, t_lat, t_lng, report_unixtime); `with_orders` adds the
     order's columns, `stays` only after it has aggregated.
 
-    Courier, hour and grid cell together form the equi-join key. A position has one hour and one cell; an
+    Courier, hour and grid cell together form the equi-join key, as one number: rows are sorted by a single
+    long, and what it stands for is compared where numbers meet. A position has one hour and one cell; an
     order is repeated for the few hours and cells that its window and circle touch. One courier with very
     many rows therefore spreads over many keys, and the pairs tested are those close in time and place. A
     long window (an order without a real fetch time) is repeated for those hours only in which its courier
@@ -55,6 +66,9 @@ def pings_in_circle(orders: DataFrame, pings: DataFrame, rules: DwellRules = CUR
     """
     until = F.col("finish_time_unix") + rules.slack_s
     first, last = _hour(F.col("fetch_time_unix")), _hour(until)
+    # Numbers of different types have different hashes, texts have not.
+    same = orders.schema["transporter_id"].dataType == pings.schema["user_id"].dataType
+    courier, user = (F.col(c) if same else F.col(c).cast("string") for c in ("transporter_id", "user_id"))
     positions = pings.select(
         F.col("user_id"),
         F.col("lat").alias("t_lat"),
@@ -93,11 +107,14 @@ def pings_in_circle(orders: DataFrame, pings: DataFrame, rules: DwellRules = CUR
         "order_id", "order_row", "transporter_id", "r_lat", "r_lng", "fetch_time_unix", "_until",
         F.coalesce("_hour", "_block").alias("_block"), "_lat_cell", "_lng_cell",
     )
+    probes = probes.withColumn("_place", _place(courier, F.col("_block"), F.col("_lat_cell"), F.col("_lng_cell")))
+    placed = positions.withColumn("_p_place", _place(user, F.col("_p_block"), F.col("_p_lat_cell"), F.col("_p_lng_cell")))
     inside = (
-        (F.col("transporter_id") == F.col("user_id"))
-        & (F.col("_block") == F.col("_p_block"))
-        & (F.col("_lat_cell") == F.col("_p_lat_cell"))
-        & (F.col("_lng_cell") == F.col("_p_lng_cell"))
+        (F.col("_place") == F.col("_p_place"))
+        & _equal("transporter_id", "user_id")
+        & _equal("_block", "_p_block")
+        & _equal("_lat_cell", "_p_lat_cell")
+        & _equal("_lng_cell", "_p_lng_cell")
         & (F.col("report_unixtime") > F.col("fetch_time_unix"))
         & (F.col("report_unixtime") <= F.col("_until"))
         & geo.near(F.col("r_lat"), F.col("t_lat"), rules.circle_m)
@@ -108,7 +125,7 @@ def pings_in_circle(orders: DataFrame, pings: DataFrame, rules: DwellRules = CUR
     )
     # Both sides grow with the data, and neither's size is known before it is repeated or derived,
     # so neither may be broadcast on an estimate: sort-merge, which spills and can be split.
-    return positions.join(probes.hint("merge"), inside).select(
+    return placed.join(probes.hint("merge"), inside).select(
         "order_id", "order_row", "t_lat", "t_lng", "report_unixtime"
     )
 

@@ -61,6 +61,21 @@ def test_geofence_join_is_sort_merge_on_courier_block_and_cell(spark, tiny):
     assert any(all(k in line for k in ("user_id", "_p_block", "_p_lat_cell", "_p_lng_cell")) for line in keys)
 
 
+def test_positions_are_sorted_by_one_number(spark, tiny):
+    plan = plan_of(queries()["c_dwell"](spark, tiny))
+    assert "Sort [_p_place#" in plan and not [line for line in plan.splitlines() if "Sort [_p_place#" in line and "," in line.split("]")[0]]
+
+
+def test_courier_ids_of_other_types_meet(spark):
+    from doorclock.operators import geofence
+
+    columns = "order_id, receiver_id, supplier_id, transporter_id, r_lng, r_lat, s_r_line_distance, finish_time, finish_time_unix, city_id, receiver_address, cargo_type_id, cargo_weight, fetch_time_unix"
+    types = dict(zip(columns.split(", "), "long long long int double double double string long long string long double long".split()))
+    orders = spark.createDataFrame([(1, 1, 1, 7, 120.008, 30.005, 1.0, "t", 1000, 1, "a", 1, 1.0, 500)], ", ".join(f"{k} {v}" for k, v in types.items()))
+    pings = spark.createDataFrame([(7, 30.005, 120.008, 700), (8, 30.005, 120.008, 700), (7, 30.005, 120.008, 9000)], "user_id long, lat double, lng double, log_time long")
+    assert [r.report_unixtime for r in geofence.pings_in_circle(orders, pings).collect()] == [700]
+
+
 def test_durations_are_counted_by_hash_before_medians(spark, tiny):
     plan = plan_of(queries()["courier_peak"](spark, tiny))
     first = plan.index("percentile(")
