@@ -66,15 +66,15 @@ NODE = "feature:int,value:double,threshold:double,categories:array<double>,left:
 
 
 def leaf_of(tree: Column, features: Column, depth: int) -> Column:
-    """The row of a tree's table in which an array of features ends."""
+    """The row of a tree's table in which an array of features ends. The row itself is carried on, so it is looked up once a level."""
 
-    def below(place: Column, _: Column) -> Column:
-        node = F.element_at(tree, place)
+    def below(node: Column, _: Column) -> Column:
         value = F.get(features, node["feature"])
         left = F.when(node["threshold"].isNotNull(), value <= node["threshold"]).otherwise(F.array_contains(node["categories"], value))
-        return F.when(node["feature"] < 0, place).when(left, node["left"]).otherwise(node["right"])
+        return F.when(node["feature"] < 0, node).otherwise(F.element_at(tree, F.when(left, node["left"]).otherwise(node["right"])))
 
-    return F.element_at(tree, F.aggregate(F.sequence(F.lit(1), F.lit(depth)), F.lit(1), below) if depth else F.lit(1))
+    root = F.element_at(tree, 1)
+    return F.aggregate(F.sequence(F.lit(1), F.lit(depth)), root, below) if depth else root
 
 
 def read_tree(model: DecisionTreeRegressionModel) -> Node:

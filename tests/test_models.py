@@ -203,3 +203,15 @@ def test_rounds_do_not_walk_the_trees_of_earlier_rounds(spark, monkeypatch):
     error = model.predict(rows).agg(F.avg(F.abs(F.col("prediction") - F.col("y")))).first()[0]
     start = rows.agg(F.avg(F.abs(F.lit(model.start) - F.col("y")))).first()[0]
     assert len(model.trees) == 4 and error < start
+
+
+def test_a_level_of_a_tree_looks_its_node_up_once(spark):
+    from doorclock.operators import boosting
+
+    leaf = [boosting.Node(float(k)) for k in range(4)]
+    sides = (boosting.Node(0.0, feature=1, categories=(1.0, 3.0), sides=(leaf[0], leaf[1])), boosting.Node(0.0, feature=0, threshold=9.0, sides=(leaf[2], leaf[3])))
+    model = boosting.BoostedTrees(0.0, 1.0, [boosting.Node(0.0, feature=0, threshold=5.0, sides=sides), leaf[3]])
+    rows = spark.createDataFrame([([5.0, 3.0], 3.0), ([5.0, 2.0], 4.0), ([9.0, 1.0], 5.0), ([9.5, 1.0], 6.0)], "x array<double>, expected double")
+    found = rows.select(model.expression(F.col("x")).alias("found"), "expected")
+    assert all(r.found == r.expected for r in found.collect())
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("element_at") == 2  # the root and a level's node
