@@ -44,6 +44,15 @@ def fit_tree_encoder(rows: DataFrame, categories: list[str], numbers: list[str])
     return tree_encoder(categories, numbers).fit(rows)
 
 
+def shared_out(rows: DataFrame) -> DataFrame:
+    """Rows in equal shares, one for each core.
+
+    Learning reads its rows hundreds of times in passes too short for more tasks than cores, and a pass lasts as
+    long as its largest share. Files are as large as the step before left them.
+    """
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism)
+
+
 def train_duration(
     rows: DataFrame,
     label: str,
@@ -65,8 +74,7 @@ def train_duration(
         checkpointInterval=10,  # cuts the lineage of the boosting rounds where a checkpoint folder is set
     )
     encoded = rows if "features" in rows.columns else encode.transform(rows)
-    encoded = encoded.select("features", compress(F.col(label)).alias("_target"))
-    model = trainer.fit(encoded)
+    model = trainer.fit(shared_out(encoded.select("features", compress(F.col(label)).alias("_target"))))
     return Trained(PipelineModel([*encode.stages, model]), feature_names(encode, numbers))
 
 
@@ -198,7 +206,7 @@ def train_duration_medians(
     """As `train_duration`, but every leaf holds the median of its residuals. `rows` may be encoded already."""
     encoded = rows if "features" in rows.columns else encode.transform(rows)
     encoded = encoded.select("features", compress(F.col(label)).alias("_target"))
-    return train_absolute(encoded, "_target", trees=trees, step=step, max_bins=max(32, largest_category(encode)), seed=seed)
+    return train_absolute(shared_out(encoded), "_target", trees=trees, step=step, max_bins=max(32, largest_category(encode)), seed=seed)
 
 
 def score_duration_medians(encode: PipelineModel, model: BoostedTrees, rows: DataFrame) -> DataFrame:

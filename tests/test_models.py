@@ -215,3 +215,14 @@ def test_a_level_of_a_tree_looks_its_node_up_once(spark):
     found = rows.select(model.expression(F.col("x")).alias("found"), "expected")
     assert all(r.found == r.expected for r in found.collect())
     assert found._jdf.queryExecution().optimizedPlan().toString().count("element_at") == 2  # the root and a level's node
+
+
+def test_learning_reads_equal_shares(spark, rows, monkeypatch):
+    taken = []
+    fit = training.GBTRegressor.fit
+    monkeypatch.setattr(training.GBTRegressor, "fit", lambda self, table: taken.append(table) or fit(self, table))
+    uneven = rows.coalesce(1)
+    training.train_duration(uneven, "label", training.fit_encoder(uneven, ["city"], ["x"]), ["x"], trees=1)
+    shares = [len(part) for part in taken[0].rdd.glom().collect()]
+    assert len(shares) == spark.sparkContext.defaultParallelism and sum(shares) == 600
+    assert max(shares) - min(shares) <= 1
