@@ -5,9 +5,12 @@ equals. Neighbouring strings share theirs, so a text is a sequence of runs, one
 strings have equal anchors wherever they occur. Runs are dealt by anchor. Of runs that are equal as
 a whole, only the first stays (within a batch of documents before the shuffle, so that a passage in a
 third of all documents is one row per batch); the others repeat it. Where different runs share an
-anchor, their bytes are fetched, and a suffix array over all of a bucket's runs, built by linear
+anchor, their bytes are fetched, and a suffix array over the runs of some anchors, built by linear
 grouping on 8-byte symbols in step with the anchors, brings equal strings together. The exact check
 compares all `LENGTH` bytes: common leading symbols and bytes, and up to seven bytes before them.
+An anchor with very many different runs, as at the border of a passage that is in most documents,
+would be one task's: its runs are cut to their single strings, which are dealt by digest, and as runs
+of one string they are equal as a whole or not at all.
 
 Ids are whole numbers.
 
@@ -28,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from doorclock.llm.linking import complete_groups
+from doorclock.llm.linking import complete_groups, gathered
 from doorclock.llm.suffixes import common_prefixes, suffix_array
 from doorclock.plans.staging import released, staged
 
@@ -36,7 +39,8 @@ LENGTH, GRAM = 100, 32
 REACH = LENGTH - GRAM + 1
 SLICE_BYTES, BATCH_BYTES = 1 << 20, 8 << 20
 BUCKET_BYTES = 4 << 20
-SPLIT = 50_000
+SPLIT = 10_000
+STRINGS, ROWS, TEXTS = 200_000, 10_000, 1000
 KEY_MASK = np.uint64(2**56 - 1)
 LAST = 2**63 - 1
 
@@ -178,29 +182,52 @@ def _dealt(bucket: np.ndarray, runs: dict[str, np.ndarray]) -> Iterator[pa.Recor
     """Runs of neighbouring documents packed by bucket, those after an equal one apart."""
     order, repeats = _first_of_equals(runs)
     for kind, chosen in ((0, order[~repeats]), (1, order[repeats])):
-        chosen = chosen[np.lexsort((runs["start"][chosen], runs["id"][chosen], bucket[chosen]))]
-        cuts = np.flatnonzero(np.diff(bucket[chosen], prepend=-1, append=-1))
-        blobs = [packed_runs({c: v[chosen[a:b]] for c, v in runs.items()}) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        of, blobs = zip(*_packed_by(bucket[chosen], {c: v[chosen] for c, v in runs.items()}), strict=True) if len(chosen) else ((), ())
         yield pa.RecordBatch.from_arrays(
-            [pa.array(bucket[chosen[cuts[:-1]]], pa.int32()), pa.array(np.full(len(blobs), kind, np.int32)), pa.array(blobs, pa.binary())],
+            [pa.array(of, pa.int32()), pa.array(np.full(len(blobs), kind, np.int32)), pa.array(blobs, pa.binary())],
             ["bucket", "repeated", "runs"],
         )
 
 
-SPANS = "id long, hash int, start long, n long, bucket int, key long, parts int"
+def _packed_by(bucket: np.ndarray, runs: dict[str, np.ndarray]) -> list[tuple[int, bytes]]:
+    """Each bucket with its runs packed, by id and start."""
+    by = np.lexsort((runs["start"], runs["id"], bucket))
+    bucket, runs = bucket[by], {c: v[by] for c, v in runs.items()}
+    cuts = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1)).tolist()
+    return [(int(bucket[a]), packed_runs({c: v[a:b] for c, v in runs.items()})) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+SPANS = "id long, hash int, start long, n long, bucket int, key long, single boolean"
+
+
+def _joined_runs(blobs: pd.Series, most: float = np.inf) -> Iterator[dict[str, np.ndarray]]:
+    """Runs of neighbouring blobs together, `most` of them or some more at a time."""
+    held, n = [], 0
+    for k, blob in enumerate(blobs, 1):
+        held.append(unpacked_runs(blob))
+        n += len(held[-1]["id"])
+        if n >= most or k == len(blobs):
+            yield {c: np.concatenate([r[c] for r in held]) for c, *_ in FIELDS}
+            held, n = [], 0
+
+
+def _spans(runs: dict[str, np.ndarray]) -> pd.DataFrame:
+    return pd.DataFrame({c: runs[c] for c in ("id", "hash", "start", "n")})
+
+
+def _in_order(blobs: pd.Series) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """The runs of blobs, equal ones together, and which of them come after an equal one."""
+    runs = next(_joined_runs(blobs), {c: np.zeros(0, np.int64) for c, *_ in FIELDS})
+    order, repeats = _first_of_equals(runs)
+    return {c: v[order] for c, v in runs.items()}, repeats
 
 
 def sorted_out(batches: Iterator[pd.DataFrame], buckets: int) -> Iterator[pd.DataFrame]:
     """Runs of a bucket to repeats (bucket null) and runs whose bytes are needed (with their anchor)."""
     for (bucket,), group in complete_groups(batches, ["bucket"]):
-        done = [unpacked_runs(b) for b in group.loc[group["repeated"] == 1, "runs"]]
-        fresh = [unpacked_runs(b) for b in group.loc[group["repeated"] == 0, "runs"]]
-        runs = {c: np.concatenate([r[c] for r in fresh]) if fresh else np.zeros(0, np.int64) for c, *_ in FIELDS}
-        order, repeats = _first_of_equals(runs)
-        runs = {c: v[order] for c, v in runs.items()}
-        done.append({c: v[repeats] for c, v in runs.items()})
-        for d in done:
-            yield pd.DataFrame({"id": d["id"], "hash": d["hash"], "start": d["start"], "n": d["n"], "bucket": pd.array([pd.NA] * len(d["id"]), "Int32"), "key": 0, "parts": 0})
+        runs, repeats = _in_order(group.loc[group["repeated"] == 0, "runs"])
+        for done in (*_joined_runs(group.loc[group["repeated"] == 1, "runs"], ROWS), {c: v[repeats] for c, v in runs.items()}):
+            yield _spans(done).assign(bucket=pd.array([pd.NA] * len(done["id"]), "Int32"), key=0, single=False)
         key, digest = runs["key"], runs["digest"]
         newer = np.ones(len(key), bool)
         newer[1:] = (key[1:] != key[:-1]) | (digest[1:] != digest[:-1])
@@ -209,32 +236,76 @@ def sorted_out(batches: Iterator[pd.DataFrame], buckets: int) -> Iterator[pd.Dat
         asked = (kinds > 1) & ~repeats
         yield pd.DataFrame({
             "id": runs["id"][asked], "hash": runs["hash"][asked], "start": runs["start"][asked], "n": runs["n"][asked],
-            "bucket": pd.array(np.full(int(asked.sum()), bucket), "Int32"), "key": key[asked].astype(np.int64), "parts": -(-kinds[asked] // SPLIT),
+            "bucket": pd.array(np.full(int(asked.sum()), bucket), "Int32"), "key": key[asked].astype(np.int64), "single": kinds[asked] > SPLIT,
         })
 
 
-SNIPPETS = "bucket int, key long, id long, hash int, start long, n long, bytes binary"
+#: `kind` is 0 for bytes of a run; 1 for packed strings, 2 for packed stretches of strings that are repeats.
+SNIPPETS = "bucket int, kind int, key long, id long, hash int, start long, n long, bytes binary"
+
+
+def _snippets(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+    columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["bucket", "kind", "key", "id", "hash", "start", "n", "bytes"])
+
+
+def _stretches(piece: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where neighbouring (piece, offset) begin, and how many they are."""
+    head = np.ones(len(piece), bool)
+    head[1:] = (piece[1:] != piece[:-1]) | (offset[1:] != offset[:-1] + 1)
+    at = np.flatnonzero(head)
+    return at, np.diff(np.append(at, len(piece)))
+
+
+def _single_strings(runs: list[tuple], buckets: int) -> pa.RecordBatch:
+    """Runs (key, id, hash, start, hashes of its strings) as packed strings, those after an equal one as stretches apart."""
+    if not runs:
+        return _snippets([])
+    keys, ids, hashes, starts, wholes = zip(*runs, strict=True)
+    n = np.array([len(w) for w in wholes])
+    whole, run = np.concatenate(wholes), np.repeat(np.arange(len(n)), n)
+    offset = np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n)
+    strings = {
+        "key": np.array(keys, np.uint64)[run], "digest": _mixed(whole, whole, 7) & np.uint64(2**48 - 1), "id": np.array(ids, np.int64)[run],
+        "hash": np.array(hashes, np.int32)[run], "start": np.array(starts, np.int64)[run] + offset, "n": np.ones(len(run), np.int64),
+    }
+    order, repeats = _first_of_equals(strings)
+    known = np.sort(order[repeats])
+    at, length = _stretches(run[known], offset[known])
+    again = {c: v[known[at]] for c, v in strings.items()} | {"n": length}
+    first = {c: v[order[~repeats]] for c, v in strings.items()}
+    dealt = ((first["digest"] % np.uint64(buckets)).astype(np.int32), first), ((again["hash"] % buckets).astype(np.int32), again)
+    return _snippets([
+        (bucket, kind, bucket, 0, 0, 0, 0, blob) for kind, (b, r) in enumerate(dealt, 1) for bucket, blob in _packed_by(b, r)
+    ])
 
 
 def fetched(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """The bytes of asked runs. Of an anchor with very many runs, single strings, dealt by their hash."""
+    """The bytes of asked runs. Of an anchor with very many runs, single strings, dealt by their digest."""
+    out: list[tuple] = []
+    single: list[tuple] = []
+    strings = 0
     for batch in batches:
-        out: list[tuple] = []
         for ident, hash_, text, asks in zip(*(batch.column(c) for c in ("id", "hash", "text", "asks")), strict=True):
             data = (text.as_py() or "").encode()
             ident, hash_ = ident.as_py(), hash_.as_py()
             for ask in asks.as_py():
-                start, n, bucket, key, parts = (ask[c] for c in ("start", "n", "bucket", "key", "parts"))
+                start, n, bucket, key = (ask[c] for c in ("start", "n", "bucket", "key"))
                 piece = data[start : start + n + LENGTH - 1]
-                if parts <= 1:
-                    out.append((bucket, key, ident, hash_, start, n, piece))
-                    continue
-                whole = string_hashes(gram_hashes(np.frombuffer(piece, np.uint8))) % np.uint64(parts)
-                for k, part in enumerate(whole.tolist()):
-                    out.append(((bucket + 1 + part) % buckets, key, ident, hash_, start + k, 1, piece[k : k + LENGTH]))
-        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
-        columns = list(zip(*out, strict=True)) or [()] * len(kinds)
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["bucket", "key", "id", "hash", "start", "n", "bytes"])
+                if ask["single"]:
+                    single.append((key, ident, hash_, start, string_hashes(gram_hashes(np.frombuffer(piece, np.uint8)))))
+                    strings += n
+                else:
+                    out.append((bucket, 0, key, ident, hash_, start, n, piece))
+            if len(out) >= ROWS:
+                yield _snippets(out)
+                out = []
+            if strings >= STRINGS:
+                yield _single_strings(single, buckets)
+                single, strings = [], 0
+    yield _snippets(out)
+    yield _single_strings(single, buckets)
 
 
 def anchor_places(pieces: list[bytes], n: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -284,15 +355,21 @@ def repeated_strings(pieces: list[bytes], n: np.ndarray, keys: np.ndarray, ids:
 
 
 def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Fetched runs of a bucket to the stretches of their strings that are repeats."""
-    for _, group in complete_groups(batches, ["bucket"]):
-        n, ids, hashes, starts = (group[c].to_numpy() for c in ("n", "id", "hash", "start"))
+    """Fetched runs, of some anchors at a time, to the stretches of their strings that are repeats; and of single strings."""
+    for group in gathered(batches, ["kind", "key"]):
+        kind = group["kind"].to_numpy()
+        for done in _joined_runs(group.loc[kind == 2, "bytes"], ROWS):
+            yield _spans(done)
+        for _, blobs in group[kind == 1].groupby("key")["bytes"]:
+            strings, repeats = _in_order(blobs)
+            yield _spans({c: v[repeats] for c, v in strings.items()})
+        group = group[kind == 0]
+        if not len(group):
+            continue
+        n, ids, hashes, starts = (group[c].to_numpy().astype(np.int64) for c in ("n", "id", "hash", "start"))
         piece, offset = repeated_strings(list(group["bytes"]), n, group["key"].to_numpy().astype(np.uint64), ids, starts)
         if len(piece):
-            head = np.ones(len(piece), bool)
-            head[1:] = (piece[1:] != piece[:-1]) | (offset[1:] != offset[:-1] + 1)
-            at = np.flatnonzero(head)
-            length = np.diff(np.append(at, len(piece)))
+            at, length = _stretches(piece, offset)
             p = piece[at]
             yield pd.DataFrame({"id": ids[p], "hash": hashes[p], "start": starts[p] + offset[at], "n": length})
 
@@ -312,15 +389,16 @@ def _removal(as_text: bool):
 
     def remove(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for texts, spans in batches:
-            out = []
-            for text, gone in zip(texts, spans, strict=True):
-                data = (text or "").encode()
-                if gone is None or not len(gone):
-                    kept, n_removed, n_spans = data, 0, 0
-                else:
-                    kept, n_removed, n_spans = _kept(data, np.array([g["start"] for g in gone]), np.array([g["n"] for g in gone]))
-                out.append((kept.decode("utf-8", "ignore") if as_text else kept, n_removed, n_spans))
-            yield pd.DataFrame(out, columns=["kept", "n_removed", "n_spans"])
+            for at in range(0, len(texts), TEXTS):
+                out = []
+                for text, gone in zip(texts[at : at + TEXTS], spans[at : at + TEXTS], strict=True):
+                    data = (text or "").encode()
+                    if gone is None or not len(gone):
+                        kept, n_removed, n_spans = data, 0, 0
+                    else:
+                        kept, n_removed, n_spans = _kept(data, np.array([g["start"] for g in gone]), np.array([g["n"] for g in gone]))
+                    out.append((kept.decode("utf-8", "ignore") if as_text else kept, n_removed, n_spans))
+                yield pd.DataFrame(out, columns=["kept", "n_removed", "n_spans"])
 
     kind = "string" if as_text else "binary"
     return F.pandas_udf(remove, f"kept {kind}, n_removed long, n_spans long")  # type: ignore[call-overload]
@@ -345,9 +423,11 @@ def deduplicated(docs: DataFrame, text: str = "text", key: str = "doc_id", as_te
     spans = staged(dealt.mapInPandas(lambda it: sorted_out(it, buckets), SPANS), "runs")
     released(spark)
 
-    asked = spans.where("bucket is not null").groupBy("id", "hash").agg(F.collect_list(F.struct("start", "n", "bucket", "key", "parts")).alias("asks"))
+    asked = spans.where("bucket is not null").groupBy("id", "hash").agg(F.collect_list(F.struct("start", "n", "bucket", "key", "single")).alias("asks"))
     wanted = rows.select("id", "hash", "text").join(asked, ["id", "hash"]).mapInArrow(lambda it: fetched(it, buckets), SNIPPETS)
-    found = wanted.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(compared, "id long, hash int, start long, n long")
+    found = wanted.repartition("bucket").sortWithinPartitions("kind", "key").mapInPandas(compared, "id long, hash int, start long, n long")
+    found = staged(found, "found")
+    released(spark)
     gone = spans.where("bucket is null").select("id", "hash", "start", "n").unionByName(found)
     gone = gone.groupBy("id", "hash").agg(F.collect_list(F.struct("start", "n")).alias("gone"))
 
