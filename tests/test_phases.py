@@ -9,7 +9,7 @@ from doorclock import fixtures as fx
 from doorclock import settings as S
 from doorclock.functions.geo import METRES_PER_DEGREE
 from doorclock.operators import first_ping, geofence, history, peak, poi
-from doorclock.plans import phase_c
+from doorclock.plans import audited, phase_a, phase_c
 
 DATES = S.DateRange("2024-01-01", "2024-01-31")
 BASE = 1704067200  # 2024-01-01 00:00 UTC
@@ -229,6 +229,46 @@ def test_first_pings_agree_with_brute_force(spark):
     assert len(expected) > 80
 
 
+def test_libraries_move_positions_for_some_couriers_at_a_time(spark, tiny, monkeypatch):
+    """Each share is written, and what it left on disk released, before the next one; together they are the whole."""
+    seen, real = [], audited.staged
+    monkeypatch.setattr(audited, "staged", lambda df, name: (seen.append((name, real(df, name))), seen[-1][1])[1])
+    monkeypatch.setattr(audited, "released", lambda spark: seen.append(("released", None)))
+    monkeypatch.setattr(audited, "dropped", lambda table: None)
+    wh = fx.warehouse(spark, tiny)
+    got = audited.libraries(wh, fx.DATES, fx.ZONE)
+    for name, courier, want in (
+        ("stays", "transporter_id", geofence.stays(*phase_c.in_circle(wh, fx.DATES, fx.ZONE))),
+        ("first-positions", "delivery.transporter_id", None),
+    ):
+        at = [k for k, (n, _) in enumerate(seen) if n == name]
+        assert len(at) == audited.SHARES > 1 and all(seen[k + 1][0] == "released" for k in at)
+        couriers = [{r[0] for r in seen[k][1].select(courier).collect()} for k in at]
+        assert all(couriers) and len(set.union(*couriers)) == sum(map(len, couriers))
+        if want is not None:
+            assert sorted(map(str, want.collect())) == sorted(str(r) for k in at for r in seen[k][1].collect())
+    want = phase_a.accepted_positions(wh, fx.DATES, fx.ZONE)
+    assert sorted(map(str, got.accepted.collect())) == sorted(map(str, want.collect()))
+
+
+def test_shares_of_couriers_whose_ids_differ_in_type(spark):
+    """Every position meets its courier, whatever the tables name them by; a delivery id of two couriers stays one."""
+    schema = "delivery_id long, transporter_id long, accept_time_unix long, fetch_time_unix long"
+    deliveries = [(c // 2, c, BASE + c, BASE + c + 500) for c in range(40)] + [(99, None, BASE, BASE + 500)]
+    pings = [(c, 1.0, float(c), BASE + c + 10 + c % 2) for c in range(40)] + [(None, 1.0, 7.0, BASE + 3)]
+    left = spark.createDataFrame(deliveries, schema)
+    for kind in ("long", "int", "string", "double"):
+        right = spark.createDataFrame(pings, PING).withColumn("user_id", F.col("user_id").cast(kind) if kind != "string" else F.col("user_id").cast("string"))
+        shares = [first_ping.found_pings(*pair) for pair in audited._shares(left, right)]
+        whole = first_ping.first_pings(left, right)
+        together = shares[0]
+        for share in shares[1:]:
+            together = together.unionByName(share)
+        key = ["delivery_id", "transporter_id", "log_time", "lng"]
+        assert sorted(map(str, first_ping.earliest(together).select(key).collect())) == sorted(map(str, whole.select(key).collect()))
+        assert whole.count() == 21
+
+
 def test_single_city_owners(spark):
     rows = [(1, 5, 10, 1.0, 2.0), (2, 5, 1, 3.0, 4.0), (2, 6, 1, 5.0, 6.0)]
     df = spark.createDataFrame(
