@@ -1,5 +1,6 @@
 """Every stage of the pipeline on what the one before it kept, against brute force."""
 
+import random
 from collections import Counter
 
 import pytest
@@ -9,7 +10,7 @@ from test_quality import by_hand as measures
 from test_substrings import by_hand as without_repeats
 
 import corpus_pipeline
-from doorclock.llm import mixing
+from doorclock.llm import mixing, substrings
 from doorclock.llm.pieces import MODEL
 
 NAMES = ["quality rules", "MinHash near-dedup", "suffix-array dedup", "mixing sources", "SentencePiece encoding"]
@@ -96,3 +97,24 @@ def test_columns_named_like_results_keep_their_values(spark):
         got = stage(spark, df, "")
         assert got.schema.simpleString() == df.schema.simpleString()
         assert {tuple(r) for r in got.collect()} <= set(rows) and got.count() > 0
+
+
+def test_passage_of_very_many_documents_goes_but_for_the_first(spark, monkeypatch):
+    """More different runs at either border than a suffix array takes; what they left on disk goes before texts move again."""
+    rng, seen, real = random.Random(11), [], substrings.staged
+    monkeypatch.setattr(substrings, "staged", lambda df, name: (seen.append(name), real(df, name))[1])
+    monkeypatch.setattr(substrings, "released", lambda spark: seen.append("released"))
+    shared = "".join(rng.choice("abcdefghij ") for _ in range(160))
+    parts = [("".join(rng.choices("klmnop", k=70)), "".join(rng.choices("qrst", k=70))) for _ in range(substrings.SPLIT + 300)]
+    rows = [(k, a + shared + b) for k, (a, b) in enumerate(parts)]
+    kept = corpus_pipeline.repeated_passages(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(8), "")
+    got = {r.doc_id: r.text for r in kept.collect()}
+    assert seen == ["runs", "released", "found", "released"]
+    ends, begins = set(), set()
+    for k, (a, b) in enumerate(parts):
+        # What an earlier text has beside the passage too goes with it.
+        left = max((j for j in range(1, 61) if a[-j:] in ends), default=0)
+        right = max((j for j in range(1, 61) if b[:j] in begins), default=0)
+        assert got[k] == (a[: len(a) - left] + b[right:] if k else a + shared + b)
+        ends.update(a[-j:] for j in range(1, 61))
+        begins.update(b[:j] for j in range(1, 61))
